@@ -9,7 +9,11 @@ from textmason.checks.registry import query
 from textmason.functions.text import line_count
 from textmason.operators import extract, nodes
 
-_JOINED = F.array_join(F.col("args")["name"], "|")
+
+
+def _joined():
+    return F.array_join(F.col("args")["name"], "|")
+
 
 # -- JavaScript of three kinds, few names ----------------------------------------------
 
@@ -68,7 +72,7 @@ SELECT project_id, path, pass * 4294967296 + position AS ord, name,
 FROM firsts WHERE nth = 1""")
 def js_functions(spark, sf_dir):
     return extract.js_functions(_scripts(spark, sf_dir)).select(
-        "project_id", "path", "ord", "name", _JOINED.alias("args")
+        "project_id", "path", "ord", "name", _joined().alias("args")
     )
 
 
@@ -114,7 +118,7 @@ hits AS (
 SELECT project_id, snapshot_id, path, ord, name, array_to_string(args, '|') AS args FROM hits""")
 def py_functions_regex(spark, sf_dir):
     return extract.py_functions_regex(I.corpus(spark, sf_dir)).select(
-        "project_id", "snapshot_id", "path", "ord", "name", _JOINED.alias("args")
+        "project_id", "snapshot_id", "path", "ord", "name", _joined().alias("args")
     )
 
 
@@ -207,19 +211,17 @@ _ARGS_SQL = """CASE WHEN is_inner THEN 'q:unknown' ELSE CASE l_partkey % 4
   ELSE 'a0:int|a1:unknown|a2:unknown' END END"""
 _DOC_SQL = f"""CASE WHEN NOT is_inner AND l_suppkey % 2 = 0 THEN concat('Doc ', {I.QTY}, '.') END"""
 _NTH = "row_number() OVER (PARTITION BY project_id, path ORDER BY depth, place)"
-_TYPED = F.array_join(
-    F.transform("args", lambda a: F.concat(a["name"], F.lit(":"), a["type"])), "|"
-)
 
 
 def _numbered(entities):
+    typed = F.transform("args", lambda a: F.concat(a["name"], F.lit(":"), a["type"]))
     from pyspark.sql import Window
 
     # A window per file: the functions of one file.
     nth = F.row_number().over(Window.partitionBy("project_id", "path").orderBy("ord"))
     return entities.select(
         "project_id", "path", nth.cast("long").alias("nth"), "module", "name",
-        _TYPED.alias("args"), "docstring",
+        F.array_join(typed, "|").alias("args"), "docstring",
     )
 
 
