@@ -1,0 +1,221 @@
+"""Comparison of two versions, rollback, outcome comparison."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textmason.checks import inputs as I
+from textmason.checks.registry import query
+from textmason.functions.similarity import name_similarity as ratio
+from textmason.operators import diff, rollups, snapshots
+from textmason.operators import rename
+from textmason.operators.nodes import extract_entities
+from textmason.plans import versions
+
+
+def versions_by_pattern(spark, sf_dir):
+    """(old, new) functions found by pattern, one row per key."""
+    return tuple(
+        diff.dedup_last_wins(I.pattern_entities(I.corpus(spark, sf_dir, v))) for v in (1, 2)
+    )
+
+
+def versions_by_tree(spark, sf_dir):
+    """(old, new) functions with their syntax profiles, one row per key."""
+    return tuple(
+        diff.dedup_last_wins(extract_entities(I.corpus(spark, sf_dir, v))) for v in (1, 2)
+    )
+
+
+@query("entity_key", I.ENTITIES_SQL + """
+SELECT project_id, snapshot_id, path, position, key FROM entities""")
+def entity_key(spark, sf_dir):
+    entities = I.pattern_entities(I.corpus(spark, sf_dir))
+    return entities.select(
+        "project_id", "snapshot_id", "path", F.col("ord").alias("position"),
+        diff.entity_key(F.col("module"), F.col("name")).alias("key"),
+    )
+
+
+@query("dedup_last_wins", I.ENTITIES_SQL + """
+SELECT project_id, path, key, snapshot_id, n_args,
+       (SELECT min(position) FROM entities e WHERE e.snapshot_id = l.snapshot_id
+          AND e.path = l.path AND e.project_id = l.project_id AND e.key = l.key) AS position
+FROM latest l""")
+def dedup_last_wins(spark, sf_dir):
+    old, new = versions_by_pattern(spark, sf_dir)
+    return old.unionByName(new).select(
+        "project_id", "path", "key", "snapshot_id", F.size("args").alias("n_args"),
+        F.col("position.ord").alias("position"),
+    )
+
+
+_CHANGED_SQL = """
+SELECT project_id, path, key, o.name AS old_name, n.name AS new_name, o.n_args AS old_count,
+       n.n_args AS new_count
+FROM old o JOIN new n USING (project_id, path, key) WHERE o.n_args <> n.n_args"""
+
+
+@query("signature_count_change", I.ENTITIES_SQL + f"""
+SELECT *, 'count_change' AS type FROM ({_CHANGED_SQL})""")
+def signature_count_change(spark, sf_dir):
+    return diff.signature_count_change(*versions_by_pattern(spark, sf_dir))
+
+
+@query("diff_exact", I.ENTITIES_SQL + f"""
+SELECT project_id, path, 'signature_changed' AS change_type, key AS old_key, key AS new_key,
+       0.9::DOUBLE AS confidence, concat('Signature of ', old_name, ' changed') AS description
+FROM ({_CHANGED_SQL})""")
+def diff_exact(spark, sf_dir):
+    return diff.diff_exact(*versions_by_pattern(spark, sf_dir))
+
+
+@query("key_intersection", I.ENTITIES_SQL + """
+SELECT project_id, path, key FROM old INTERSECT SELECT project_id, path, key FROM new""")
+def key_intersection(spark, sf_dir):
+    return diff.key_intersection(*versions_by_pattern(spark, sf_dir))
+
+
+@query("key_union", I.ENTITIES_SQL + """
+SELECT project_id, path, key FROM old UNION SELECT project_id, path, key FROM new""")
+def key_union(spark, sf_dir):
+    return diff.key_union(*versions_by_pattern(spark, sf_dir), ("project_id", "path", "key"))
+
+
+def _difference_sql(left, right):
+    return f"""SELECT project_id, path, key FROM {left}
+EXCEPT SELECT project_id, path, key FROM {right}"""
+
+
+@query("key_difference", I.ENTITIES_SQL + f"""
+SELECT *, 'old' AS side FROM ({_difference_sql('old', 'new')})
+UNION ALL SELECT *, 'new' AS side FROM ({_difference_sql('new', 'old')})""")
+def key_difference(spark, sf_dir):
+    old, new = versions_by_pattern(spark, sf_dir)
+    sides = [
+        diff.key_difference(a, b).select("project_id", "path", "key", F.lit(name).alias("side"))
+        for a, b, name in ((old, new, "old"), (new, old, "new"))
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+@query("unmatched_old", I.ENTITIES_SQL + _difference_sql("old", "new"))
+def unmatched_old(spark, sf_dir):
+    old, new = versions_by_pattern(spark, sf_dir)
+    return diff.key_difference(old, new).select("project_id", "path", "key")
+
+
+@query("unmatched_new", I.ENTITIES_SQL + _difference_sql("new", "old"))
+def unmatched_new(spark, sf_dir):
+    old, new = versions_by_pattern(spark, sf_dir)
+    return diff.key_difference(new, old).select("project_id", "path", "key")
+
+
+def _leftover_sql(change, left, right, old_key, new_key, verb):
+    return f"""
+SELECT l.project_id, l.path, '{change}' AS change_type, {old_key} AS old_key,
+       {new_key} AS new_key, 1.0::DOUBLE AS confidence,
+       concat('Function ', l.name, ' was {verb}') AS description
+FROM {left} l ANTI JOIN {right} r USING (project_id, path, key)"""
+
+
+@query("diff_added", I.ENTITIES_SQL
+       + _leftover_sql("function_added", "new", "old", "NULL", "l.key", "added"))
+def diff_added(spark, sf_dir):
+    """Exact keys only: no rename matching."""
+    old, new = versions_by_pattern(spark, sf_dir)
+    return diff.diff_added(diff.key_difference(new, old))
+
+
+@query("diff_removed", I.ENTITIES_SQL
+       + _leftover_sql("function_removed", "old", "new", "l.key", "NULL", "removed"))
+def diff_removed(spark, sf_dir):
+    """Exact keys only: no rename matching."""
+    old, new = versions_by_pattern(spark, sf_dir)
+    return diff.diff_removed(diff.key_difference(old, new))
+
+
+def _unmatched_by_tree(spark, sf_dir):
+    old, new = versions_by_tree(spark, sf_dir)
+    return diff.key_difference(old, new), diff.key_difference(new, old)
+
+
+@query("rename_candidates")
+def rename_candidates(spark, sf_dir):
+    return rename.rename_candidates(*_unmatched_by_tree(spark, sf_dir))
+
+
+@query("rename_match")
+def rename_match(spark, sf_dir):
+    return rename.rename_match(*_unmatched_by_tree(spark, sf_dir))
+
+
+@query("diff_versions")
+def diff_versions(spark, sf_dir):
+    old, new = (extract_entities(I.corpus(spark, sf_dir, v)) for v in (1, 2))
+    return versions.diff_versions(old, new)
+
+
+@query("name_similarity")
+def name_similarity(spark, sf_dir):
+    """Each distinct function name against the names of the other version of its line."""
+    items = I.table(spark, sf_dir, "lineitem")
+    name = lambda suffix: F.concat(
+        F.lit("load_"), F.col("l_suppkey").cast("string"), F.lit("_"),
+        F.col("l_linenumber").cast("string"), suffix,
+    )
+    pairs = items.select(
+        name(F.lit("")).alias("old_name"),
+        name(F.concat(F.lit("_"), F.lower("l_returnflag"), F.lit("_v2"))).alias("new_name"),
+    ).distinct()
+    return pairs.withColumn("score", F.round(ratio("old_name", "new_name"), 6))
+
+
+@query("signature_compat", I.ENTITIES_SQL + """,
+source AS (SELECT * FROM old WHERE language = 'python'),
+target AS (SELECT * FROM new WHERE language = 'python')
+SELECT project_id, path, key, s.n_args AS source_params, t.n_args AS target_params,
+       s.n_args IS NOT NULL AND t.n_args IS NOT NULL AS exists_in_both,
+       abs(s.n_args - t.n_args) <= 2 AS compatible
+FROM source s FULL JOIN target t USING (project_id, path, key)""")
+def signature_compat(spark, sf_dir):
+    return diff.signature_compat(*versions_by_pattern(spark, sf_dir))
+
+
+@query("compare_outcomes", I.RESULTS_SQL + """
+SELECT project_id, coalesce(s.overall_success, FALSE) AS source_success,
+       coalesce(t.overall_success, FALSE) AS target_success,
+       coalesce(s.overall_success, FALSE) = coalesce(t.overall_success, FALSE) AS equivalent,
+       CASE WHEN coalesce(s.overall_success, FALSE) = coalesce(t.overall_success, FALSE)
+            THEN 'Test success status matches' ELSE 'Test success status differs' END AS note
+FROM (SELECT * FROM rollup WHERE run = 'source') s
+FULL JOIN (SELECT * FROM rollup WHERE run = 'target') t USING (project_id)""")
+def compare_outcomes(spark, sf_dir):
+    rollup = rollups.test_rollup(I.test_results(spark, sf_dir))
+    return rollups.compare_outcomes(
+        rollup.filter("run = 'source'"), rollup.filter("run = 'target'")
+    )
+
+
+@query("rollback_partial", I.OUTCOMES_SQL + """
+SELECT project_id, path FROM outcomes WHERE lower(status) <> 'failed'""")
+def rollback_partial(spark, sf_dir):
+    operations = I.outcomes(spark, sf_dir)
+    target = operations.select("project_id", "path")
+    return snapshots.rollback_partial(target, operations)
+
+
+@query("rollback_full", I.FILES_SQL + """
+SELECT project_id, snapshot_id, path, sha256(content) AS content_hash FROM files
+WHERE snapshot_id = 1 AND project_id % 2 = 0""")
+def rollback_full(spark, sf_dir):
+    """Even projects have version 1 as backup of version 2; odd ones have none."""
+    files = I.corpus(spark, sf_dir)
+    manifest = I.table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 50).alias("project_id"), F.lit(2).alias("snapshot_id")
+    ).distinct().withColumn(
+        "backup_snapshot_id", F.when(F.col("project_id") % 2 == 0, 1)
+    )
+    return snapshots.rollback_full(files, manifest).select(
+        "project_id", "snapshot_id", "path", F.sha2("content", 256).alias("content_hash")
+    )
