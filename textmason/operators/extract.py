@@ -69,16 +69,23 @@ def js_functions(files: DataFrame) -> DataFrame:
     return _as_entities(hits, order, "javascript", split_params(F.col("params")))
 
 
+def pattern_functions(content: Column) -> Column:
+    """Python functions found by pattern, as an array of (name, params)."""
+    return _groups(content, P.PY_FUNCTION, "name", "params")
+
+
+def pattern_params(params: Column) -> Column:
+    return split_params(params, keep_self=False, cut_default=True)
+
+
 def py_functions_regex(files: DataFrame) -> DataFrame:
     """Fallback for Python text that does not parse."""
     hits = files.select(
-        *KEYS,
-        F.posexplode(_groups(F.col("content"), P.PY_FUNCTION, "name", "params")).alias(
-            "position", "hit"
-        ),
+        *KEYS, F.posexplode(pattern_functions(F.col("content"))).alias("position", "hit")
     ).select(*KEYS, "position", "hit.*")
-    args = split_params(F.col("params"), keep_self=False, cut_default=True)
-    return _as_entities(hits, F.col("position").cast("long"), "python", args)
+    return _as_entities(
+        hits, F.col("position").cast("long"), "python", pattern_params(F.col("params"))
+    )
 
 
 def explode_params(entities: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import ast
 import warnings
-from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,7 +21,8 @@ from textmason.operators.extract import (
     ENTITY_COLUMNS,
     KEYS,
     js_functions,
-    py_functions_regex,
+    pattern_functions,
+    pattern_params,
 )
 
 NODE_SCHEMA = (
@@ -42,15 +42,30 @@ _ARROW = pa.schema(
 _ROWS_PER_BATCH = 50_000
 
 
-def _children(node):
-    """(field, position, child) in the syntax tree's own field order."""
-    for field, value in ast.iter_fields(node):
-        if isinstance(value, ast.AST):
-            yield field, 0, value
-        elif isinstance(value, list):
-            for i, item in enumerate(value):
-                if isinstance(item, ast.AST):
-                    yield field, i, item
+class _Shape:
+    """What to read from one syntax node type."""
+
+    def __init__(self, kind):
+        self.name = kind.__name__
+        self.fields = tuple(reversed(kind._fields))
+        self.label = next((f for f in ("name", "id", "arg", "attr") if f in kind._fields), None)
+        self.is_call = kind is ast.Call
+        self.is_import = kind is ast.ImportFrom
+        self.is_function = kind is ast.FunctionDef
+        self.is_constant = kind is ast.Constant
+        self.is_argument = kind is ast.arg
+        self.is_keyword = kind is ast.keyword
+
+
+class _Shapes(dict):
+    def __missing__(self, kind):
+        shape = self[kind] = _Shape(kind)
+        return shape
+
+
+_shapes = _Shapes()
+# Read and write marks of names say nothing an operator uses.
+_MARKS = (ast.Load, ast.Store)
 
 
 def _dotted(call):
@@ -64,26 +79,21 @@ def _dotted(call):
     return ".".join(reversed(parts)) or None
 
 
-def _label(node):
-    if isinstance(node, ast.Call):
+def _label(node, shape):
+    if shape.is_call:
         return _dotted(node)
-    if isinstance(node, ast.ImportFrom):
+    if shape.is_import:
         return node.module or None
-    for slot in ("name", "id", "arg", "attr"):
-        value = getattr(node, slot, None)
-        if isinstance(value, str):
-            return value
-    return None
+    label = getattr(node, shape.label, None) if shape.label else None
+    return label if isinstance(label, str) else None
 
 
-def _text(node, parent):
-    if isinstance(node, ast.arg) and node.annotation is not None:
-        return ast.unparse(node.annotation)
-    if isinstance(node, ast.FunctionDef):
+def _text(node, shape, parent):
+    if shape.is_argument:
+        return None if node.annotation is None else ast.unparse(node.annotation)
+    if shape.is_function:
         return ast.get_docstring(node)
-    if isinstance(parent, ast.keyword):
-        return ast.unparse(node)
-    return None
+    return ast.unparse(node) if parent is not None and parent.is_keyword else None
 
 
 def _failed(kind, text):
@@ -101,43 +111,52 @@ def tree_rows(source: str) -> list[tuple]:
 
 
 def _number(root) -> list[tuple]:
-    # Visits are numbered, not objects: the parser shares some leaf objects.
-    nodes, depth_first, stack = [], 0, [(root, None, None, 0)]
-    children: list[list[int]] = []
+    """Visits are numbered, not objects: the parser shares some leaf objects."""
+    visits, shapes, depths = [], [], []
+    stack = [(root, None, None, 0, 0)]
     while stack:
-        node, parent, field, pos = stack.pop()
-        if node is None:
-            nodes[parent][4] = depth_first - 1
-            continue
-        index = len(nodes)
-        nodes.append([node, parent, field, pos, depth_first])
-        children.append([])
-        if parent is not None:
-            children[parent].append(index)
-        depth_first += 1
-        stack.append((None, index, None, 0))
-        for child_field, child_pos, child in reversed(list(_children(node))):
-            stack.append((child, index, child_field, child_pos))
-    breadth_first, queue = [0] * len(nodes), deque([0])
-    for number in range(len(nodes)):
-        index = queue.popleft()
-        breadth_first[index] = number
-        queue.extend(children[index])
-    labels = [_label(entry[0]) for entry in nodes]
-    types = [type(entry[0]).__name__ for entry in nodes]
-    scopes: list[list[int]] = []
-    rows = []
-    for pre, (node, parent, field, pos, post) in enumerate(nodes):
-        around = scopes[parent] if parent is not None else []
-        scopes.append(around + [pre] if isinstance(node, ast.FunctionDef) else around)
-        value_type = type(node.value).__name__ if isinstance(node, ast.Constant) else None
+        visit = stack.pop()
+        node, _, _, _, depth = visit
+        pre = len(visits)
+        shape = _shapes[type(node)]
+        visits.append(visit)
+        shapes.append(shape)
+        depths.append(depth)
+        depth += 1
+        for field in shape.fields:
+            value = getattr(node, field, None)
+            if isinstance(value, ast.AST):
+                if not isinstance(value, _MARKS):
+                    stack.append((value, pre, field, 0, depth))
+            elif isinstance(value, list):
+                for pos in range(len(value) - 1, -1, -1):
+                    if isinstance(value[pos], ast.AST):
+                        stack.append((value[pos], pre, field, pos, depth))
+    # Breadth-first order is depth-first order sorted by depth.
+    breadth_first = [0] * len(visits)
+    for number, pre in enumerate(sorted(range(len(visits)), key=depths.__getitem__)):
+        breadth_first[pre] = number
+    last = list(range(len(visits)))
+    for pre in range(len(visits) - 1, 0, -1):
+        parent = visits[pre][1]
+        if last[parent] < last[pre]:
+            last[parent] = last[pre]
+    labels, scopes, rows = [], [], []
+    for pre, (node, parent, field, pos, _) in enumerate(visits):
+        shape = shapes[pre]
+        label = _label(node, shape)
+        labels.append(label)
+        if parent is None:
+            up, around, above = (None, None, None), [], None
+        else:
+            above = shapes[parent]
+            up, around = (breadth_first[parent], above.name, labels[parent]), scopes[parent]
+        around = around + [pre] if shape.is_function else around
+        scopes.append(around)
         rows.append((
-            breadth_first[pre], pre, post, parent,
-            None if parent is None else breadth_first[parent],
-            None if parent is None else types[parent],
-            None if parent is None else labels[parent],
-            field, pos, types[pre], labels[pre], value_type,
-            _text(node, None if parent is None else nodes[parent][0]), scopes[pre],
+            breadth_first[pre], pre, last[pre], parent, *up, field, pos, shape.name, label,
+            type(node.value).__name__ if shape.is_constant else None,
+            _text(node, shape, above), around,
         ))
     return rows
 
@@ -147,14 +166,13 @@ def _parse(batches):
     rows: list[tuple] = []
 
     def flush():
-        columns = zip(*rows)
-        arrays = [pa.array(c, type=f.type) for c, f in zip(columns, _ARROW)]
+        arrays = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ARROW)]
         return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
     for batch in batches:
-        for key in zip(*(batch.column(i) for i in range(batch.num_columns))):
-            project, snapshot, path, content = (value.as_py() for value in key)
-            rows.extend((project, snapshot, path, *row) for row in tree_rows(content))
+        for project, snapshot, path, content in zip(*(c.to_pylist() for c in batch.columns)):
+            key = (project, snapshot, path)
+            rows.extend(key + row for row in tree_rows(content))
             if len(rows) >= _ROWS_PER_BATCH:
                 yield flush()
                 rows.clear()
@@ -170,93 +188,120 @@ def syntax_nodes(files: DataFrame) -> DataFrame:
     ).mapInArrow(_parse, NODE_SCHEMA)
 
 
-def _qualified(parent_type: Column, parent_name: Column, field: Column, name: Column) -> Column:
-    method = (parent_type == "ClassDef") & (field == "body")
-    return F.when(method, F.concat(parent_name, F.lit("."), name)).otherwise(name)
+def _order(first: Column, second: Column) -> Column:
+    return first.cast("long") * (1 << 32) + second
 
 
-def _definition() -> Column:
-    method = (F.col("parent_type") == "ClassDef") & (F.col("field") == "body")
-    # A method takes its class's place in the visiting order, then its body position.
-    first = F.when(method, F.col("parent_bfs")).otherwise(F.col("bfs"))
-    second = F.when(method, F.col("pos")).otherwise(0)
-    return F.struct(
-        (first.cast("long") * (1 << 32) + second).alias("ord"),
-        _qualified(
-            F.col("parent_type"), F.col("parent_name"), F.col("field"), F.col("name")
-        ).alias("name"),
-        F.col("text").alias("docstring"),
-    )
+def _detail(ord: Column, name: Column, kind: Column, doc: Column | None = None) -> Column:
+    doc = F.lit(None).cast("string") if doc is None else doc
+    return F.struct(ord.alias("ord"), name.alias("name"), kind.alias("type"), doc.alias("doc"))
 
 
-def _is_own_arg() -> Column:
-    # The ``arguments`` node directly follows its definition in depth-first order.
-    return (
-        (F.col("node_type") == "arg")
-        & (F.col("field") == "args")
-        & (F.col("parent_pre") == F.col("scope") + 1)
-    )
+def _pieces(fallback: bool) -> Column:
+    """What one node row contributes to which function, as an array of small structs.
 
+    A node counts once for every definition around it; a definition and its own arguments
+    also contribute their details. Text that does not parse contributes the functions
+    found in it by pattern, so one pass over the parser's output is enough.
+    """
+    node_type, scopes = F.col("node_type"), F.col("scopes")
+    own = F.element_at(scopes, -1)
+    no_detail = F.lit(None).cast("struct<ord:bigint,name:string,type:string,doc:string>")
+
+    def piece(scope: Column, detail: Column, n: int) -> Column:
+        return F.struct(
+            scope.alias("scope"), node_type.alias("kind"), detail.alias("detail"),
+            F.lit(n).alias("n"),
+        )
 
-def _entity_args(args: Column) -> Column:
-    return F.transform(
-        F.array_sort(args),
-        lambda a: F.struct(a["name"].alias("name"), a["type"].alias("type")),
-    )
+    none = F.slice(F.array(piece(F.lit(0), no_detail, 0)), 1, 0)
+    counted = F.when(
+        node_type.isin(*P.PROFILE_SKIPPED_NODES), none
+    ).otherwise(F.transform(scopes, lambda scope: piece(scope, no_detail, 1)))
 
+    method = (F.col("parent_type") == "ClassDef") & (F.col("field") == "body")
+    # A method takes its class's place in the visiting order, then its body position.
+    place = _order(
+        F.when(method, F.col("parent_bfs")).otherwise(F.col("bfs")),
+        F.when(method, F.col("pos")).otherwise(0),
+    )
+    full_name = F.when(
+        method, F.concat("parent_name", F.lit("."), "name")
+    ).otherwise(F.col("name"))
+    definition = _detail(place, full_name, F.lit(None).cast("string"), F.col("text"))
+    # The "arguments" node directly follows its definition in depth-first order.
+    is_arg = (
+        (node_type == "arg") & (F.col("field") == "args") & (F.col("parent_pre") == own + 1)
+    )
+    arg = _detail(
+        F.col("pos").cast("long"), F.col("name"), F.coalesce("text", F.lit("unknown"))
+    )
+    details = (
+        F.when(node_type == "FunctionDef", F.array(piece(own, definition, 0)))
+        .when(is_arg, F.array(piece(own, arg, 0)))
+    )
+    if fallback:
+        found = F.transform(
+            pattern_functions(F.col("text")),
+            lambda hit, position: piece(
+                -1 - position,
+                _detail(position.cast("long"), hit["name"], hit["params"]),
+                0,
+            ),
+        )
+        details = details.when(node_type == "SyntaxError", found)
+    return F.concat(counted, details.otherwise(none))
 
-def py_functions_ast(nodes: DataFrame) -> DataFrame:
-    """Functions and methods with parameters, docstring and node profile.
 
-    A node counts once for every definition around it. Counting per (definition, node
-    type) combines before the shuffle; the second grouping sees a few rows per function.
-    """
-    scoped = nodes.filter(F.size("scopes") > 0).select(
-        *KEYS, "pre", "bfs", "parent_pre", "parent_bfs", "parent_type", "parent_name",
-        "field", "pos", "node_type", "name", "text", F.explode("scopes").alias("scope"),
+def _functions(nodes: DataFrame, fallback: bool) -> DataFrame:
+    # The first grouping combines before its shuffle; the second sees a few rows per function.
+    per_type = (
+        nodes.select(*KEYS, F.inline(_pieces(fallback)))
+        .groupBy(*KEYS, "scope", "kind", "detail")
+        .agg(F.sum("n").cast("int").alias("n"))
     )
-    arg = F.struct(
-        "pos", F.col("name"), F.coalesce("text", F.lit("unknown")).alias("type")
+    grouped = per_type.groupBy(*KEYS, "scope").agg(
+        F.array_sort(F.collect_list(F.struct("kind", "n", "detail"))).alias("parts")
     )
-    own = (F.col("node_type") == "FunctionDef") & (F.col("pre") == F.col("scope"))
-    per_type = scoped.groupBy(*KEYS, "scope", "node_type").agg(
-        F.count("*").cast("int").alias("n"),
-        F.collect_list(F.when(_is_own_arg(), arg)).alias("args"),
-        F.max(F.when(own, _definition())).alias("definition"),
+    parts = F.col("parts")
+    of_kind = lambda kind: F.filter(
+        parts, lambda p: (p["kind"] == kind) & p["detail"].isNotNull()
+    )["detail"]
+    broken = F.col("scope") < 0
+    definition = F.when(broken, F.get(of_kind("SyntaxError"), F.lit(0))).otherwise(
+        F.get(of_kind("FunctionDef"), F.lit(0))
     )
-    counted = ~F.col("node_type").isin(*P.PROFILE_SKIPPED_NODES)
-    return (
-        per_type.groupBy(*KEYS, "scope")
-        .agg(
-            F.max("definition").alias("definition"),
-            F.flatten(F.collect_list("args")).alias("args"),
-            F.map_from_entries(
-                F.array_sort(F.collect_list(F.when(counted, F.struct("node_type", "n"))))
-            ).alias("profile"),
-        )
-        .select(
-            *KEYS,
-            "definition.ord",
-            module_name(F.col("path")).alias("module"),
-            "definition.name",
-            F.lit("python").alias("language"),
-            _entity_args(F.col("args")).alias("args"),
-            "definition.docstring",
-            "profile",
+    args = F.transform(
+        F.array_sort(of_kind("arg")), lambda a: F.struct(a["name"].alias("name"), a["type"].alias("type"))
+    )
+    profile = F.map_from_entries(
+        F.transform(
+            F.filter(parts, lambda p: p["n"] > 0),
+            lambda p: F.struct(p["kind"].alias("key"), p["n"].alias("value")),
         )
     )
+    return grouped.select(*KEYS, broken.alias("broken"), definition.alias("definition"),
+                          args.alias("own_args"), profile.alias("counts")).select(
+        *KEYS,
+        "definition.ord",
+        module_name(F.col("path")).alias("module"),
+        "definition.name",
+        F.lit("python").alias("language"),
+        F.when(F.col("broken"), pattern_params(F.col("definition.type")))
+        .otherwise(F.col("own_args")).alias("args"),
+        F.col("definition.doc").alias("docstring"),
+        F.when(~F.col("broken"), F.col("counts")).alias("profile"),
+    )
 
 
-def broken_files(nodes: DataFrame) -> DataFrame:
-    """Text of the files that did not parse, as a files table."""
-    return nodes.filter(F.col("node_type") == "SyntaxError").select(
-        *KEYS, F.col("text").alias("content")
-    )
+def py_functions_ast(nodes: DataFrame) -> DataFrame:
+    """Functions and methods of parsed files: parameters, docstring, node profile."""
+    return _functions(nodes, fallback=False)
 
 
 def py_functions(nodes: DataFrame) -> DataFrame:
     """Tree-based functions, and pattern-based ones for text that does not parse."""
-    return py_functions_ast(nodes).unionByName(py_functions_regex(broken_files(nodes)))
+    return _functions(nodes, fallback=True)
 
 
 def extract_entities(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
