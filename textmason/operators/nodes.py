@@ -205,7 +205,7 @@ def _pieces(fallback: bool) -> Column:
     found in it by pattern, so one pass over the parser's output is enough.
     """
     node_type, scopes = F.col("node_type"), F.col("scopes")
-    own = F.element_at(scopes, -1)
+    own = F.get(scopes, F.size(scopes) - 1)
     no_detail = F.lit(None).cast("struct<ord:bigint,name:string,type:string,doc:string>")
 
     def piece(scope: Column, detail: Column, n: int) -> Column:

@@ -31,14 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local-mode session may fall back to a scratch folder of its own: on a
     cluster a machine-local folder would be lost with its machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="textmason-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="textmason-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
