@@ -2,8 +2,9 @@
 
 ``syntax_nodes`` parses each Python file once and emits its tree as flat rows. All the
 other operators are relational queries over such a table. A node row repeats its
-parent's type, name and visiting number and lists the function definitions around it,
-so most questions need no self-join and none needs a range join.
+parent's type, name and visiting number and lists the function definitions around it, and
+a definition's row holds its parameters and node counts, so most questions need no
+self-join, none needs a range join, and the functions of a corpus need no shuffle.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ NODE_SCHEMA = (
     "project_id BIGINT, snapshot_id INT, path STRING, bfs INT, pre INT, post INT, "
     "parent_pre INT, parent_bfs INT, parent_type STRING, parent_name STRING, "
     "field STRING, pos INT, node_type STRING, name STRING, const_type STRING, text STRING, "
-    "scopes ARRAY<INT>"
+    "scopes ARRAY<INT>, args ARRAY<STRUCT<name: STRING, type: STRING>>, profile MAP<STRING, INT>"
 )
 _ARROW = pa.schema(
     [("project_id", pa.int64()), ("snapshot_id", pa.int32()), ("path", pa.string())]
@@ -38,6 +39,8 @@ _ARROW = pa.schema(
     + [("field", pa.string()), ("pos", pa.int32())]
     + [(c, pa.string()) for c in ("node_type", "name", "const_type", "text")]
     + [("scopes", pa.list_(pa.int32()))]
+    + [("args", pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())])))]
+    + [("profile", pa.map_(pa.string(), pa.int32()))]
 )
 _ROWS_PER_BATCH = 50_000
 
@@ -55,6 +58,7 @@ class _Shape:
         self.is_constant = kind is ast.Constant
         self.is_argument = kind is ast.arg
         self.is_keyword = kind is ast.keyword
+        self.is_counted = self.name not in P.PROFILE_SKIPPED_NODES
 
 
 class _Shapes(dict):
@@ -88,42 +92,45 @@ def _label(node, shape):
     return label if isinstance(label, str) else None
 
 
+def _annotation(arg):
+    return None if arg.annotation is None else ast.unparse(arg.annotation)
+
+
 def _text(node, shape, parent):
     if shape.is_argument:
-        return None if node.annotation is None else ast.unparse(node.annotation)
+        return _annotation(node)
     if shape.is_function:
         return ast.get_docstring(node)
     return ast.unparse(node) if parent is not None and parent.is_keyword else None
 
 
 def _failed(kind, text):
-    return [(0, 0, 0, None, None, None, None, None, 0, kind, None, None, text, [])]
+    return [(0, 0, 0, None, None, None, None, None, 0, kind, None, None, text, [], None, None)]
 
 
-def tree_rows(source: str) -> list[tuple]:
+def tree_rows(source: str, definitions_only: bool = False) -> list[tuple]:
     """Rows of one file without its keys, in depth-first order."""
     try:
-        return _number(ast.parse(source))
+        return _number(ast.parse(source), definitions_only)
     except SyntaxError:
         return _failed("SyntaxError", source)
     except (ValueError, RecursionError, MemoryError):
         return _failed("Unparsable", None)
 
 
-def _number(root) -> list[tuple]:
-    """Visits are numbered, not objects: the parser shares some leaf objects."""
-    visits, shapes, depths = [], [], []
+def _visit(root):
+    """(node, parent, field, position, depth) of every visit, depth first.
+
+    Visits are numbered, not objects: the parser shares some leaf objects.
+    """
+    visits = []
     stack = [(root, None, None, 0, 0)]
     while stack:
         visit = stack.pop()
-        node, _, _, _, depth = visit
         pre = len(visits)
-        shape = _shapes[type(node)]
         visits.append(visit)
-        shapes.append(shape)
-        depths.append(depth)
-        depth += 1
-        for field in shape.fields:
+        node, depth = visit[0], visit[4] + 1
+        for field in _shapes[type(node)].fields:
             value = getattr(node, field, None)
             if isinstance(value, ast.AST):
                 if not isinstance(value, _MARKS):
@@ -132,176 +139,133 @@ def _number(root) -> list[tuple]:
                 for pos in range(len(value) - 1, -1, -1):
                     if isinstance(value[pos], ast.AST):
                         stack.append((value[pos], pre, field, pos, depth))
+    return visits
+
+
+def _number(root, definitions_only: bool) -> list[tuple]:
+    visits = _visit(root)
+    shapes = [_shapes[type(visit[0])] for visit in visits]
     # Breadth-first order is depth-first order sorted by depth.
     breadth_first = [0] * len(visits)
-    for number, pre in enumerate(sorted(range(len(visits)), key=depths.__getitem__)):
+    for number, pre in enumerate(sorted(range(len(visits)), key=lambda p: visits[p][4])):
         breadth_first[pre] = number
     last = list(range(len(visits)))
     for pre in range(len(visits) - 1, 0, -1):
         parent = visits[pre][1]
         if last[parent] < last[pre]:
             last[parent] = last[pre]
-    labels, scopes, rows = [], [], []
-    for pre, (node, parent, field, pos, _) in enumerate(visits):
+    scopes: list[list[int]] = []
+    profiles: dict[int, dict[str, int]] = {}
+    for pre, (_, parent, _, _, _) in enumerate(visits):
         shape = shapes[pre]
-        label = _label(node, shape)
-        labels.append(label)
-        if parent is None:
-            up, around, above = (None, None, None), [], None
-        else:
-            above = shapes[parent]
-            up, around = (breadth_first[parent], above.name, labels[parent]), scopes[parent]
-        around = around + [pre] if shape.is_function else around
+        around = scopes[parent] if parent is not None else []
+        if shape.is_function:
+            around = around + [pre]
+            profiles[pre] = {}
         scopes.append(around)
+        if shape.is_counted:
+            for scope in around:
+                counts = profiles[scope]
+                counts[shape.name] = counts.get(shape.name, 0) + 1
+    rows = []
+    for pre in profiles if definitions_only else range(len(visits)):
+        node, parent, field, pos, _ = visits[pre]
+        shape, up, args, profile = shapes[pre], (None, None, None), None, None
+        if parent is not None:
+            up = (breadth_first[parent], shapes[parent].name, _label(visits[parent][0], shapes[parent]))
+        if shape.is_function:
+            args = [{"name": a.arg, "type": _annotation(a) or "unknown"} for a in node.args.args]
+            profile = list(profiles[pre].items())
         rows.append((
-            breadth_first[pre], pre, last[pre], parent, *up, field, pos, shape.name, label,
-            type(node.value).__name__ if shape.is_constant else None,
-            _text(node, shape, above), around,
+            breadth_first[pre], pre, last[pre], parent, *up, field, pos, shape.name,
+            _label(node, shape), type(node.value).__name__ if shape.is_constant else None,
+            _text(node, shape, None if parent is None else shapes[parent]), scopes[pre],
+            args, profile,
         ))
     return rows
 
 
-def _parse(batches):
-    warnings.simplefilter("ignore", SyntaxWarning)
-    rows: list[tuple] = []
+def _parser(definitions_only: bool):
+    def parse(batches):
+        warnings.simplefilter("ignore", SyntaxWarning)
+        rows: list[tuple] = []
+
+        def flush():
+            arrays = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ARROW)]
+            return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+
+        for batch in batches:
+            for *key, content in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.extend((*key, *row) for row in tree_rows(content, definitions_only))
+                if len(rows) >= _ROWS_PER_BATCH:
+                    yield flush()
+                    rows.clear()
+        if rows:
+            yield flush()
 
-    def flush():
-        arrays = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ARROW)]
-        return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+    return parse
 
-    for batch in batches:
-        for project, snapshot, path, content in zip(*(c.to_pylist() for c in batch.columns)):
-            key = (project, snapshot, path)
-            rows.extend(key + row for row in tree_rows(content))
-            if len(rows) >= _ROWS_PER_BATCH:
-                yield flush()
-                rows.clear()
-    if rows:
-        yield flush()
 
+def syntax_nodes(files: DataFrame, definitions_only: bool = False) -> DataFrame:
+    """One row per syntax node of every Python file; unparsable text gives one row.
 
-def syntax_nodes(files: DataFrame) -> DataFrame:
-    """One row per syntax node of every Python file; unparsable text gives one row."""
+    ``definitions_only`` leaves out all rows but those of functions and unparsable text.
+    """
     python = files.filter(detect_language(F.col("content")) == "python")
     return python.select(
         F.col("project_id").cast("bigint"), F.col("snapshot_id").cast("int"), "path", "content"
-    ).mapInArrow(_parse, NODE_SCHEMA)
-
-
-def _order(first: Column, second: Column) -> Column:
-    return first.cast("long") * (1 << 32) + second
-
+    ).mapInArrow(_parser(definitions_only), NODE_SCHEMA)
 
-def _detail(ord: Column, name: Column, kind: Column, doc: Column | None = None) -> Column:
-    doc = F.lit(None).cast("string") if doc is None else doc
-    return F.struct(ord.alias("ord"), name.alias("name"), kind.alias("type"), doc.alias("doc"))
 
+def _function(ord: Column, name: Column, args: Column, doc: Column, profile: Column) -> Column:
+    return F.struct(
+        ord.alias("ord"), name.alias("name"), args.alias("args"), doc.alias("docstring"),
+        profile.alias("profile"),
+    )
 
-def _pieces(fallback: bool) -> Column:
-    """What one node row contributes to which function, as an array of small structs.
-
-    A node counts once for every definition around it; a definition and its own arguments
-    also contribute their details. Text that does not parse contributes the functions
-    found in it by pattern, so one pass over the parser's output is enough.
-    """
-    node_type, scopes = F.col("node_type"), F.col("scopes")
-    own = F.get(scopes, F.size(scopes) - 1)
-    no_detail = F.lit(None).cast("struct<ord:bigint,name:string,type:string,doc:string>")
-
-    def piece(scope: Column, detail: Column, n: int) -> Column:
-        return F.struct(
-            scope.alias("scope"), node_type.alias("kind"), detail.alias("detail"),
-            F.lit(n).alias("n"),
-        )
-
-    none = F.slice(F.array(piece(F.lit(0), no_detail, 0)), 1, 0)
-    counted = F.when(
-        node_type.isin(*P.PROFILE_SKIPPED_NODES), none
-    ).otherwise(F.transform(scopes, lambda scope: piece(scope, no_detail, 1)))
 
+def _defined() -> Column:
+    """The function of a definition's row."""
     method = (F.col("parent_type") == "ClassDef") & (F.col("field") == "body")
     # A method takes its class's place in the visiting order, then its body position.
-    place = _order(
-        F.when(method, F.col("parent_bfs")).otherwise(F.col("bfs")),
-        F.when(method, F.col("pos")).otherwise(0),
-    )
-    full_name = F.when(
-        method, F.concat("parent_name", F.lit("."), "name")
-    ).otherwise(F.col("name"))
-    definition = _detail(place, full_name, F.lit(None).cast("string"), F.col("text"))
-    # The "arguments" node directly follows its definition in depth-first order.
-    is_arg = (
-        (node_type == "arg") & (F.col("field") == "args") & (F.col("parent_pre") == own + 1)
-    )
-    arg = _detail(
-        F.col("pos").cast("long"), F.col("name"), F.coalesce("text", F.lit("unknown"))
-    )
-    details = (
-        F.when(node_type == "FunctionDef", F.array(piece(own, definition, 0)))
-        .when(is_arg, F.array(piece(own, arg, 0)))
+    first = F.when(method, F.col("parent_bfs")).otherwise(F.col("bfs"))
+    second = F.when(method, F.col("pos")).otherwise(0)
+    name = F.when(method, F.concat("parent_name", F.lit("."), "name")).otherwise(F.col("name"))
+    return _function(
+        first.cast("long") * (1 << 32) + second, name, F.col("args"), F.col("text"),
+        F.col("profile"),
     )
-    if fallback:
-        found = F.transform(
-            pattern_functions(F.col("text")),
-            lambda hit, position: piece(
-                -1 - position,
-                _detail(position.cast("long"), hit["name"], hit["params"]),
-                0,
-            ),
-        )
-        details = details.when(node_type == "SyntaxError", found)
-    return F.concat(counted, details.otherwise(none))
 
 
-def _functions(nodes: DataFrame, fallback: bool) -> DataFrame:
-    # The first grouping combines before its shuffle; the second sees a few rows per function.
-    per_type = (
-        nodes.select(*KEYS, F.inline(_pieces(fallback)))
-        .groupBy(*KEYS, "scope", "kind", "detail")
-        .agg(F.sum("n").cast("int").alias("n"))
-    )
-    grouped = per_type.groupBy(*KEYS, "scope").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "n", "detail"))).alias("parts")
-    )
-    parts = F.col("parts")
-    of_kind = lambda kind: F.filter(
-        parts, lambda p: (p["kind"] == kind) & p["detail"].isNotNull()
-    )["detail"]
-    broken = F.col("scope") < 0
-    definition = F.when(broken, F.get(of_kind("SyntaxError"), F.lit(0))).otherwise(
-        F.get(of_kind("FunctionDef"), F.lit(0))
-    )
-    args = F.transform(
-        F.array_sort(of_kind("arg")), lambda a: F.struct(a["name"].alias("name"), a["type"].alias("type"))
-    )
-    profile = F.map_from_entries(
-        F.transform(
-            F.filter(parts, lambda p: p["n"] > 0),
-            lambda p: F.struct(p["kind"].alias("key"), p["n"].alias("value")),
-        )
-    )
-    return grouped.select(*KEYS, broken.alias("broken"), definition.alias("definition"),
-                          args.alias("own_args"), profile.alias("counts")).select(
-        *KEYS,
-        "definition.ord",
-        module_name(F.col("path")).alias("module"),
-        "definition.name",
-        F.lit("python").alias("language"),
-        F.when(F.col("broken"), pattern_params(F.col("definition.type")))
-        .otherwise(F.col("own_args")).alias("args"),
-        F.col("definition.doc").alias("docstring"),
-        F.when(~F.col("broken"), F.col("counts")).alias("profile"),
+def _entities(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        *KEYS, "ord", module_name(F.col("path")).alias("module"), "name",
+        F.lit("python").alias("language"), "args", "docstring", "profile",
     )
 
 
 def py_functions_ast(nodes: DataFrame) -> DataFrame:
     """Functions and methods of parsed files: parameters, docstring, node profile."""
-    return _functions(nodes, fallback=False)
+    defined = nodes.filter(F.col("node_type") == "FunctionDef")
+    return _entities(defined.select(*KEYS, _defined().alias("f")).select(*KEYS, "f.*"))
 
 
 def py_functions(nodes: DataFrame) -> DataFrame:
-    """Tree-based functions, and pattern-based ones for text that does not parse."""
-    return _functions(nodes, fallback=True)
+    """Tree-based functions, and pattern-based ones for text that does not parse.
+
+    One pass: a row of unparsable text carries that text.
+    """
+    broken = F.col("node_type") == "SyntaxError"
+    by_pattern = F.transform(
+        pattern_functions(F.col("text")),
+        lambda hit, position: _function(
+            position.cast("long"), hit["name"], pattern_params(hit["params"]),
+            F.lit(None).cast("string"), F.lit(None).cast("map<string,int>"),
+        ),
+    )
+    kept = nodes.filter(F.col("node_type").isin("FunctionDef", "SyntaxError"))
+    functions = F.when(broken, by_pattern).otherwise(F.array(_defined()))
+    return _entities(kept.select(*KEYS, F.inline(functions)))
 
 
 def extract_entities(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -309,7 +273,7 @@ def extract_entities(files: DataFrame, nodes: DataFrame | None = None) -> DataFr
 
     Pass a stored ``nodes`` table to avoid parsing again.
     """
-    nodes = syntax_nodes(files) if nodes is None else nodes
+    nodes = syntax_nodes(files, definitions_only=True) if nodes is None else nodes
     js = js_functions(files.filter(detect_language(F.col("content")) == "javascript"))
     return py_functions(nodes).unionByName(js).select(*ENTITY_COLUMNS)
 
