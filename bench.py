@@ -66,8 +66,9 @@ def main() -> None:
         stored["new"] = cut_lineage(nodes.extract_entities(new))
 
     def unmatched():
-        a, b = (diff.dedup_last_wins(stored[v]) for v in ("old", "new"))
-        return diff.key_difference(a, b), diff.key_difference(b, a)
+        sides = (diff.dedup_last_wins(stored[v]) for v in ("old", "new"))
+        aligned = cut_lineage(diff.align(*sides))
+        return diff.unmatched_old(aligned), diff.unmatched_new(aligned)
 
     def neighbours():
         documents = I.table(spark, sf_dir, "documents")
@@ -92,7 +93,7 @@ def main() -> None:
     timed("syntax_nodes", lambda: nodes.syntax_nodes(old))
     timed("extract_entities", store_entities)
     timed("project_analysis", lambda: rollups.project_analysis(old, stored["old"]))
-    timed("diff_exact", lambda: diff.diff_exact(*pattern_versions()))
+    timed("diff_exact", lambda: diff.diff_exact(diff.align(*pattern_versions())))
     timed("rename_match", lambda: rename.rename_match(*unmatched()))
     timed("diff_versions", lambda: diff_versions(stored["old"], stored["new"]))
     timed("multiset_jaccard", neighbours)

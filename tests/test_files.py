@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmason.operators import graph, snapshots
+from textmason.operators.evidence import plan_operations
 from textmason.operators.rollups import report_summary
+from textmason.operators.rules import RuleBook
 from textmason.plans.migration import run_migration, select_project
 from textmason.sources import files as tree
 from textmason.sources import tables
@@ -162,8 +164,9 @@ def test_rerun_of_a_snapshot_does_not_duplicate(spark, files, tmp_path):
 
 def test_failed_rows_are_marked(spark, files, tmp_path):
     root = str(tmp_path / "out")
-    run = run_migration(files(CODE), issued())
-    broken = run.operations.withColumn(
+
+    planned = plan_operations(files(CODE), RuleBook(), issued())
+    broken = planned.withColumn(
         "rewritten", F.when(F.col("path") != "api.py", F.col("rewritten"))
     )
     executed = tables.write_snapshot(broken, root, 1)

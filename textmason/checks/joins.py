@@ -11,6 +11,7 @@ from textmason.operators import diff, rollups, snapshots
 from textmason.operators import rename
 from textmason.operators.nodes import extract_entities
 from textmason.plans import versions
+from textmason.session import cut_lineage
 
 
 def versions_by_pattern(spark, sf_dir):
@@ -20,11 +21,8 @@ def versions_by_pattern(spark, sf_dir):
     )
 
 
-def versions_by_tree(spark, sf_dir):
-    """(old, new) functions with their syntax profiles, one row per key."""
-    return tuple(
-        diff.dedup_last_wins(extract_entities(I.corpus(spark, sf_dir, v))) for v in (1, 2)
-    )
+def aligned_by_pattern(spark, sf_dir):
+    return diff.align(*versions_by_pattern(spark, sf_dir))
 
 
 @query("entity_key", I.ENTITIES_SQL + """
@@ -59,7 +57,7 @@ FROM old o JOIN new n USING (project_id, path, key) WHERE o.n_args <> n.n_args""
 @query("signature_count_change", I.ENTITIES_SQL + f"""
 SELECT *, 'count_change' AS type FROM ({_CHANGED_SQL})""")
 def signature_count_change(spark, sf_dir):
-    return diff.signature_count_change(*versions_by_pattern(spark, sf_dir))
+    return diff.signature_count_change(aligned_by_pattern(spark, sf_dir))
 
 
 @query("diff_exact", I.ENTITIES_SQL + f"""
@@ -67,7 +65,7 @@ SELECT project_id, path, 'signature_changed' AS change_type, key AS old_key, key
        0.9::DOUBLE AS confidence, concat('Signature of ', old_name, ' changed') AS description
 FROM ({_CHANGED_SQL})""")
 def diff_exact(spark, sf_dir):
-    return diff.diff_exact(*versions_by_pattern(spark, sf_dir))
+    return diff.diff_exact(aligned_by_pattern(spark, sf_dir))
 
 
 @query("key_intersection", I.ENTITIES_SQL + """
@@ -101,14 +99,16 @@ def key_difference(spark, sf_dir):
 
 @query("unmatched_old", I.ENTITIES_SQL + _difference_sql("old", "new"))
 def unmatched_old(spark, sf_dir):
-    old, new = versions_by_pattern(spark, sf_dir)
-    return diff.key_difference(old, new).select("project_id", "path", "key")
+    return diff.unmatched_old(aligned_by_pattern(spark, sf_dir)).select(
+        "project_id", "path", "key"
+    )
 
 
 @query("unmatched_new", I.ENTITIES_SQL + _difference_sql("new", "old"))
 def unmatched_new(spark, sf_dir):
-    old, new = versions_by_pattern(spark, sf_dir)
-    return diff.key_difference(new, old).select("project_id", "path", "key")
+    return diff.unmatched_new(aligned_by_pattern(spark, sf_dir)).select(
+        "project_id", "path", "key"
+    )
 
 
 def _leftover_sql(change, left, right, old_key, new_key, verb):
@@ -123,21 +123,22 @@ FROM {left} l ANTI JOIN {right} r USING (project_id, path, key)"""
        + _leftover_sql("function_added", "new", "old", "NULL", "l.key", "added"))
 def diff_added(spark, sf_dir):
     """Exact keys only: no rename matching."""
-    old, new = versions_by_pattern(spark, sf_dir)
-    return diff.diff_added(diff.key_difference(new, old))
+    return diff.diff_added(diff.unmatched_new(aligned_by_pattern(spark, sf_dir)))
 
 
 @query("diff_removed", I.ENTITIES_SQL
        + _leftover_sql("function_removed", "old", "new", "l.key", "NULL", "removed"))
 def diff_removed(spark, sf_dir):
     """Exact keys only: no rename matching."""
-    old, new = versions_by_pattern(spark, sf_dir)
-    return diff.diff_removed(diff.key_difference(old, new))
+    return diff.diff_removed(diff.unmatched_old(aligned_by_pattern(spark, sf_dir)))
 
 
 def _unmatched_by_tree(spark, sf_dir):
-    old, new = versions_by_tree(spark, sf_dir)
-    return diff.key_difference(old, new), diff.key_difference(new, old)
+    """Functions with their syntax profiles on one side only."""
+    aligned = cut_lineage(diff.align(*[
+        diff.dedup_last_wins(extract_entities(I.corpus(spark, sf_dir, v))) for v in (1, 2)
+    ]))
+    return diff.unmatched_old(aligned), diff.unmatched_new(aligned)
 
 
 @query("rename_candidates")
@@ -179,7 +180,7 @@ SELECT project_id, path, key, s.n_args AS source_params, t.n_args AS target_para
        abs(s.n_args - t.n_args) <= 2 AS compatible
 FROM source s FULL JOIN target t USING (project_id, path, key)""")
 def signature_compat(spark, sf_dir):
-    return diff.signature_compat(*versions_by_pattern(spark, sf_dir))
+    return diff.signature_compat(aligned_by_pattern(spark, sf_dir))
 
 
 @query("compare_outcomes", I.RESULTS_SQL + """

@@ -44,7 +44,8 @@ def scan_single_file(spark, sf_dir):
     root = scratch_dir(spark, "single")
     files = I.corpus(spark, sf_dir, 1).withColumn("path", F.concat("path", F.lit(".txt")))
     written = tree.write_tree(files, root)
-    paths = written.select(F.concat(F.lit(f"{root}/"), "path").alias("uri"), "path")
+    uri = F.concat(F.lit(f"{root}/"), "path")
+    paths = written.select(uri.alias("uri"), "path", F.lit(0).alias("size"))
     return tree.readable(tree.read_paths(paths)).select(
         "path", F.sha2("content", 256).alias("content_hash")
     )

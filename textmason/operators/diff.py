@@ -47,18 +47,36 @@ def key_union(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.select(*keys).union(right.select(*keys)).distinct()
 
 
-def signature_count_change(old: DataFrame, new: DataFrame, scope=FILE_SCOPE) -> DataFrame:
-    """Common keys whose number of parameters differs; other edits are no change."""
-    counted = [
-        side.select(*scope, "key", F.col("name").alias(f"{label}_name"),
-                    F.size("args").alias(f"{label}_count"))
-        for side, label in ((old, "old"), (new, "new"))
+def align(old: DataFrame, new: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+    """Full outer join on the key: (scope, key, old, new) with one struct per side.
+
+    Both inputs hold one row per key and come out of a grouping by it, so the join adds no
+    shuffle, and every kind of difference is a filter on its result.
+    """
+    sides = [
+        rows.select(
+            *scope, "key", F.struct("position", "name", "language", "args", "profile").alias(label)
+        )
+        for rows, label in ((old, "old"), (new, "new"))
     ]
-    return (
-        counted[0]
-        .join(counted[1], [*scope, "key"])
-        .filter(F.col("old_count") != F.col("new_count"))
-        .withColumn("type", F.lit("count_change"))
+    return sides[0].join(sides[1], [*scope, "key"], "full_outer")
+
+
+def unmatched_old(aligned: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+    return aligned.filter(F.col("new").isNull()).select(*scope, "key", "old.*")
+
+
+def unmatched_new(aligned: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+    return aligned.filter(F.col("old").isNull()).select(*scope, "key", "new.*")
+
+
+def signature_count_change(aligned: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+    """Common keys whose number of parameters differs; other edits are no change."""
+    return aligned.filter(F.size("old.args") != F.size("new.args")).select(
+        *scope, "key",
+        F.col("old.name").alias("old_name"), F.size("old.args").alias("old_count"),
+        F.col("new.name").alias("new_name"), F.size("new.args").alias("new_count"),
+        F.lit("count_change").alias("type"),
     )
 
 
@@ -74,9 +92,9 @@ def _diff_rows(rows: DataFrame, scope, change: str, old, new, confidence, descri
     )
 
 
-def diff_exact(old: DataFrame, new: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+def diff_exact(aligned: DataFrame, scope=FILE_SCOPE) -> DataFrame:
     return _diff_rows(
-        signature_count_change(old, new, scope), scope, "signature_changed", "key", "key",
+        signature_count_change(aligned, scope), scope, "signature_changed", "key", "key",
         F.lit(P.SIGNATURE_CHANGE_CONFIDENCE),
         F.concat(F.lit("Signature of "), "old_name", F.lit(" changed")),
     )
@@ -120,20 +138,25 @@ def checkable_entities(entities: DataFrame) -> DataFrame:
 
 
 def signature_compat(
-    source: DataFrame, target: DataFrame, tolerance=P.PARAMETER_TOLERANCE, scope=FILE_SCOPE
+    aligned: DataFrame, tolerance=P.PARAMETER_TOLERANCE, scope=FILE_SCOPE
 ) -> DataFrame:
-    """Whether each checkable source function exists in the target with a similar arity."""
-    old = checkable_entities(source).select(
-        *scope, "key", F.size("args").alias("source_params"), F.lit(True).alias("in_source")
-    )
-    new = checkable_entities(target).select(
-        *scope, "key", F.size("args").alias("target_params"), F.lit(True).alias("in_target")
-    )
-    joined = old.join(new, [*scope, "key"], "full_outer")
-    both = F.col("in_source").isNotNull() & F.col("in_target").isNotNull()
-    near = F.abs(F.col("source_params") - F.col("target_params")) <= tolerance
-    return joined.select(
-        *scope, "key", "source_params", "target_params",
-        both.alias("exists_in_both"),
-        F.when(both, near).alias("compatible"),
+    """Whether each checkable function exists on both sides with a similar arity."""
+
+    def params(side: str) -> Column:
+        checkable = (F.col(f"{side}.language") == "python") & ~F.col(f"{side}.name").isin(
+            *P.UNCHECKED_NAMES
+        )
+        return F.when(checkable, F.size(f"{side}.args"))
+
+    source, target = F.col("source_params"), F.col("target_params")
+    both = source.isNotNull() & target.isNotNull()
+    return (
+        aligned.select(
+            *scope, "key", params("old").alias("source_params"), params("new").alias("target_params")
+        )
+        .filter(source.isNotNull() | target.isNotNull())
+        .withColumns({
+            "exists_in_both": both,
+            "compatible": F.when(both, F.abs(source - target) <= tolerance),
+        })
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmason.functions import patterns as P
-from textmason.functions.text import two_decimals
+from textmason.functions.text import has_opportunity, two_decimals
 from textmason.operators.rewrite import rewrite_chain
 from textmason.operators.rules import RuleBook, matches_of
 
@@ -100,6 +100,7 @@ def plan_operations(
             content.alias("original"),
             rewritten,
             changes_of(matches).alias("changes"),
+            has_opportunity(content).alias("opportunity"),
             F.lit("pending").alias("status"),
             F.lit(None).cast("string").alias("error"),
             F.when(

@@ -11,7 +11,6 @@ from textmason.operators.evidence import plan_operations
 from textmason.operators.nodes import extract_entities
 from textmason.operators.rollups import (
     execution_summary,
-    opportunities,
     project_analysis,
     report_summary,
     run_metrics,
@@ -48,13 +47,19 @@ def run_migration(
     target_root: str | None = None, snapshot_id: int = 1, report_path: str | None = None,
     projects: DataFrame | None = None,
 ) -> Migration:
-    """Run every step. Parsed entities and planned operations are stored once and shared."""
+    """Run every step.
+
+    Parsed entities are stored once and shared. So are the operations: with their texts in
+    the target snapshot, or, in a dry run, without any text.
+    """
     if not dry_run and target_root is None:
         raise ValueError("target_root is needed unless dry_run is set")
     entities = cut_lineage(extract_entities(files))
-    operations = cut_lineage(plan_operations(files, book or RuleBook(), issued_at))
+    operations = plan_operations(files, book or RuleBook(), issued_at)
     manifest = None
-    if not dry_run:
+    if dry_run:
+        operations = cut_lineage(operations.drop("original", "rewritten"))
+    else:
         operations = write_snapshot(operations, target_root, snapshot_id)
         written = read_snapshots(files.sparkSession, target_root)
         manifest = backup_manifest(written).filter(F.col("snapshot_id") == snapshot_id)
@@ -69,6 +74,6 @@ def run_migration(
         operations=operations,
         execution=execution_summary(operations, dry_run),
         summary=summary,
-        metrics=run_metrics(entities, opportunities(files), operations),
+        metrics=run_metrics(entities, operations.filter("opportunity"), operations),
         manifest=manifest,
     )

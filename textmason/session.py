@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,7 +56,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def forget(*stored: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` stored and no later table reads."""
+    for table in stored:
+        delete_folder(table.stored_at)
+
+
+def delete_folder(uri: str) -> None:
+    """Delete a folder of stored rows if it exists."""
+    files, path = file_system(uri)
+    if files.get_file_info(path).type == pafs.FileType.Directory:
+        files.delete_dir(path)
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """(file system, plain path) of an address."""
+    if "://" in uri and not uri.startswith("file:"):
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), local_path(uri)
 
 
 def local_path(uri: str) -> str:

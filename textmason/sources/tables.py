@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SNAPSHOT_SCHEMA = (
-    "project_id BIGINT, path STRING, content STRING, status STRING, error STRING, snapshot_id INT"
-)
 PROOF = (
     "STRUCT<rule_name: STRING, confidence: DOUBLE, proof_obligation: STRING, "
     "matched_code: STRING, replacement_code: STRING>"
@@ -17,6 +14,12 @@ CERTIFICATE = (
     "rewritten_sha256: STRING, status: STRING, confidence: DOUBLE, "
     f"proofs: ARRAY<{PROOF}>, guarantee: STRING>"
 )
+CHANGES = "ARRAY<STRUCT<type: STRING, description: STRING, matched: STRING, replacement: STRING>>"
+SNAPSHOT_SCHEMA = (
+    f"project_id BIGINT, path STRING, op_id STRING, content STRING, changes {CHANGES}, "
+    f"opportunity BOOLEAN, status STRING, error STRING, certificate {CERTIFICATE}, "
+    "snapshot_id INT"
+)
 PROJECT_SECTION = (
     "project_id BIGINT, project_info STRUCT<name: STRING, source_path: STRING, "
     "target_path: STRING, created_at: TIMESTAMP, status: STRING, completed_at: TIMESTAMP>, "
@@ -39,26 +42,31 @@ SECTIONS = {
 
 
 def write_snapshot(operations: DataFrame, root: str, snapshot_id: int) -> DataFrame:
-    """Store rewritten files as one immutable snapshot; returns the executed operations.
+    """Store rewritten files and their evidence as one immutable snapshot.
 
-    Writing the same snapshot again replaces it, so a rerun does not duplicate rows.
-    A row that cannot be written is marked, not raised. ``rebalance`` lets the engine split
-    a huge project over several output files and pack small ones together.
+    Returns the executed operations as stored: texts are written once and later steps
+    read only the columns they need. Writing the same snapshot again replaces it, so a
+    rerun does not duplicate rows. A row that cannot be written is marked, not raised.
+    ``rebalance`` lets the engine split a huge project over several output files and pack
+    small ones together.
     """
     failed = F.col("rewritten").isNull() | F.col("error").isNotNull()
-    executed = operations.withColumns({
-        "status": F.when(failed, "failed").otherwise("completed"),
-        "error": F.when(failed, F.coalesce("error", F.lit("no text to write"))),
-    })
-    rows = executed.select("project_id", "path", F.col("rewritten").alias("content"),
-                           "status", "error")
+    rows = operations.select(
+        "project_id", "path", "op_id", F.col("rewritten").alias("content"), "changes",
+        "opportunity",
+        F.when(failed, "failed").otherwise("completed").alias("status"),
+        F.when(failed, F.coalesce("error", F.lit("no text to write"))).alias("error"),
+        "certificate",
+    )
     (
         rows.hint("rebalance", "project_id")
         .sortWithinPartitions("project_id", "path")
         .write.mode("overwrite")
         .parquet(f"{root}/snapshot_id={snapshot_id}")
     )
-    return executed
+    return read_snapshots(operations.sparkSession, root).filter(
+        F.col("snapshot_id") == snapshot_id
+    )
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
