@@ -136,7 +136,8 @@ def diff_removed(spark, sf_dir):
 def _unmatched_by_tree(spark, sf_dir):
     """Functions with their syntax profiles on one side only."""
     aligned = cut_lineage(diff.align(*[
-        diff.dedup_last_wins(extract_entities(I.corpus(spark, sf_dir, v))) for v in (1, 2)
+        diff.dedup_last_wins(extract_entities(I.corpus(spark, sf_dir, v)).drop("docstring"))
+        for v in (1, 2)
     ]))
     return diff.unmatched_old(aligned), diff.unmatched_new(aligned)
 

@@ -46,5 +46,19 @@ SIGNATURE_CHANGE_CONFIDENCE = 0.9
 VERIFIED_CONFIDENCE = 0.5
 ENTITY_COMPLEXITY = 10
 PARAMETER_TOLERANCE = 2
+# Sentences of evidence records, differences and comparisons; braces are filled in.
+PROOF_SENTENCE = (
+    "Transformation '{name}' preserves behavioral semantics with confidence {confidence:.2f}"
+)
+CHANGE_SENTENCE = "Apply {name}"
+GUARANTEE_SENTENCE = (
+    "All {} transformation(s) preserve behavioral semantics with average confidence {}"
+)
+SIGNATURE_SENTENCE = "Signature of {} changed"
+RENAME_SENTENCE = "Signature of {} changed (renamed to {})"
+ADDED_SENTENCE = "Function {} was added"
+REMOVED_SENTENCE = "Function {} was removed"
+OUTCOMES_MATCH = "Test success status matches"
+OUTCOMES_DIFFER = "Test success status differs"
 DEFAULT_CHANGE = ("api_migration", "Migrate API calls to new version")
 # --------------------------------------------------------------------------------

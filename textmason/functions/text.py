@@ -62,6 +62,13 @@ def two_decimals(value: Column) -> Column:
     return F.format_string("%.2f", F.bround(value, 2))
 
 
+def fill(sentence: str, *values: Column) -> Column:
+    """A sentence with its braces filled by columns."""
+    pieces = [F.lit(piece) for piece in sentence.split("{}")]
+    filled = [c for pair in zip(pieces, values) for c in pair]
+    return F.concat(*filled, *pieces[len(values):])
+
+
 def split_params(params: Column, keep_self: bool = True, cut_default: bool = False) -> Column:
     """Comma-separated parameter text as ``ARRAY<STRUCT<name, type>>``."""
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

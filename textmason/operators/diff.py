@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmason.functions import patterns as P
+from textmason.functions.text import fill
 
 # Functions are compared within one of these scopes: the two versions of one file.
 FILE_SCOPE = ("project_id", "path")
@@ -96,15 +97,14 @@ def diff_exact(aligned: DataFrame, scope=FILE_SCOPE) -> DataFrame:
     return _diff_rows(
         signature_count_change(aligned, scope), scope, "signature_changed", "key", "key",
         F.lit(P.SIGNATURE_CHANGE_CONFIDENCE),
-        F.concat(F.lit("Signature of "), "old_name", F.lit(" changed")),
+        fill(P.SIGNATURE_SENTENCE, F.col("old_name")),
     )
 
 
 def diff_renamed(renames: DataFrame, scope=FILE_SCOPE) -> DataFrame:
     return _diff_rows(
         renames, scope, "signature_changed", "old_key", "new_key", F.col("score"),
-        F.concat(F.lit("Signature of "), "old_name", F.lit(" changed (renamed to "),
-                 "new_name", F.lit(")")),
+        fill(P.RENAME_SENTENCE, F.col("old_name"), F.col("new_name")),
     )
 
 
@@ -115,7 +115,7 @@ def diff_added(unmatched_new: DataFrame, renames: DataFrame | None = None, scope
         left = key_difference(left, taken, scope)
     return _diff_rows(
         left, scope, "function_added", None, "key", F.lit(1.0),
-        F.concat(F.lit("Function "), "name", F.lit(" was added")),
+        fill(P.ADDED_SENTENCE, F.col("name")),
     )
 
 
@@ -126,7 +126,7 @@ def diff_removed(unmatched_old: DataFrame, renames: DataFrame | None = None, sco
         left = key_difference(left, taken, scope)
     return _diff_rows(
         left, scope, "function_removed", "key", None, F.lit(1.0),
-        F.concat(F.lit("Function "), "name", F.lit(" was removed")),
+        fill(P.REMOVED_SENTENCE, F.col("name")),
     )
 
 

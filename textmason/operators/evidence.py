@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmason.functions import patterns as P
-from textmason.functions.text import has_opportunity, two_decimals
+from textmason.functions.text import fill, has_opportunity, two_decimals
 from textmason.operators.rewrite import rewrite_chain
 from textmason.operators.rules import RuleBook, matches_of
 
@@ -35,11 +35,8 @@ def certificate(
             m["replacement"].alias("replacement_code"),
         ),
     )
-    guarantee = F.concat(
-        F.lit("All "),
-        F.size(matches).cast("string"),
-        F.lit(" transformation(s) preserve behavioral semantics with average confidence "),
-        two_decimals(confidence),
+    guarantee = fill(
+        P.GUARANTEE_SENTENCE, F.size(matches).cast("string"), two_decimals(confidence)
     )
     return F.struct(
         F.sha2(F.concat_ws("|", *[c.cast("string") for c in owner], before, after), 256).alias(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmason.functions import patterns as P
@@ -106,9 +106,7 @@ def compare_outcomes(source: DataFrame, target: DataFrame) -> DataFrame:
         flags[0].alias("source_success"),
         flags[1].alias("target_success"),
         same.alias("equivalent"),
-        F.when(same, "Test success status matches")
-        .otherwise("Test success status differs")
-        .alias("note"),
+        F.when(same, P.OUTCOMES_MATCH).otherwise(P.OUTCOMES_DIFFER).alias("note"),
     )
 
 
@@ -160,7 +158,3 @@ def distinct_dates(events: DataFrame, ts: str = "ts") -> DataFrame:
     return days.withColumn("has_event", F.lit(True)).unionByName(
         missing_dates(events, ts).withColumn("has_event", F.lit(False))
     )
-
-
-def mean_by(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.avg(value).alias("confidence"))

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmason.functions import patterns as P
+
 RULE_TYPES = ("parameter_scale", "parameter_rename", "method_replace", "type_convert")
 
 RULE_SCHEMA = (
@@ -149,10 +151,10 @@ def matches_of(content: Column, book: RuleBook) -> Column:
 
     def hits(order: int, rule: Rule) -> Column:
         found = F.regexp_extract_all(content, F.lit(java_pattern(rule.pattern)), F.lit(0))
-        obligation = rule.proof_obligation or (
-            f"Transformation '{rule.name}' preserves behavioral semantics "
-            f"with confidence {rule.confidence:.2f}"
+        obligation = rule.proof_obligation or P.PROOF_SENTENCE.format(
+            name=rule.name, confidence=rule.confidence
         )
+        description = rule.description or P.CHANGE_SENTENCE.format(name=rule.name)
         return F.transform(
             found,
             lambda text, position: F.struct(
@@ -160,7 +162,7 @@ def matches_of(content: Column, book: RuleBook) -> Column:
                 position.alias("match_ord"),
                 F.lit(rule.name).alias("rule_name"),
                 F.lit(rule.type).alias("rule_type"),
-                F.lit(rule.description or f"Apply {rule.name}").alias("description"),
+                F.lit(description).alias("description"),
                 F.lit(obligation).alias("proof_obligation"),
                 text.alias("matched"),
                 replacement_text(text, rule).alias("replacement"),
