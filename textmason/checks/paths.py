@@ -12,7 +12,6 @@ from textmason.operators import rollups
 from textmason.operators.diff import checkable_entities as checkable
 from textmason.operators.rules import split_by_confidence
 from textmason.operators.snapshots import failed_operations as failed
-from textmason.sources.files import files_table
 
 _NAME = "regexp_extract(path, '[^/]*$')"
 

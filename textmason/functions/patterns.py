@@ -17,7 +17,8 @@ JS_ARROW_FUNCTION = (
 )
 PY_FUNCTION = r"(?U)def\s+(\w+)\s*\(([^)]*)\):"
 
-PY_REQUEST_CALL = r"(?U)requests\.(\w+)\s*\(([^)]*(?:\([^)]*\)[^)]*)*)\)"
+# Arguments end at the first closing parenthesis, nested calls or not.
+PY_REQUEST_CALL = r"(?U)requests\.(\w+)\s*\(([^)]*)\)"
 PY_URL = r"""['"](https?://[^'"]+)['"]"""
 PY_FORMATTED_URL = r"""f['"]([^'"]*)['"]"""
 PY_TIMEOUT = r"(?U)timeout\s*=\s*(\d+)"

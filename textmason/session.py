@@ -64,20 +64,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def forget(*stored: DataFrame) -> None:
     """Delete tables that ``cut_lineage`` stored and no later table reads."""
     for table in stored:
-        delete_folder(table.stored_at)
+        delete_folder(table.sparkSession, table.stored_at)
 
 
-def delete_folder(uri: str) -> None:
-    """Delete a folder of stored rows if it exists."""
-    files, path = file_system(uri)
-    if files.get_file_info(path).type == pafs.FileType.Directory:
-        files.delete_dir(path)
+def delete_folder(spark: SparkSession, uri: str) -> None:
+    """Delete a folder of stored rows, on any file system Spark can write to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """(file system, plain path) of an address."""
     if "://" in uri and not uri.startswith("file:"):
-        return pafs.FileSystem.from_uri(uri)
+        return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
     return pafs.LocalFileSystem(), local_path(uri)
 
 
