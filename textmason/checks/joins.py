@@ -142,20 +142,41 @@ def _unmatched_by_tree(spark, sf_dir):
     return diff.unmatched_old(aligned), diff.unmatched_new(aligned)
 
 
-@query("rename_candidates")
+_RENAME_COLUMNS = """project_id, path, old_key, new_key, old_name, new_name,
+       round(score, 6) AS score"""
+
+
+@query("rename_candidates", I.RENAMES_SQL + f"SELECT {_RENAME_COLUMNS} FROM candidates")
 def rename_candidates(spark, sf_dir):
-    return rename.rename_candidates(*_unmatched_by_tree(spark, sf_dir))
+    found = rename.rename_candidates(*_unmatched_by_tree(spark, sf_dir))
+    return found.withColumn("score", F.round("score", 6))
 
 
-@query("rename_match")
+@query("rename_match", I.RENAMES_SQL + f"SELECT {_RENAME_COLUMNS} FROM renames")
 def rename_match(spark, sf_dir):
-    return rename.rename_match(*_unmatched_by_tree(spark, sf_dir))
+    found = rename.rename_match(*_unmatched_by_tree(spark, sf_dir))
+    return found.withColumn("score", F.round("score", 6))
 
 
-@query("diff_versions")
+@query("diff_versions", I.RENAMES_SQL + """
+SELECT project_id, path, 'signature_changed' AS change_type, key AS old_key, key AS new_key,
+       0.9::DOUBLE AS confidence, concat('Signature of ', o.name, ' changed') AS description
+FROM old o JOIN new n USING (project_id, path, key) WHERE o.n_params <> n.n_params
+UNION ALL
+SELECT project_id, path, 'signature_changed', old_key, new_key, round(score, 6),
+       concat('Signature of ', old_name, ' changed (renamed to ', new_name, ')') FROM renames
+UNION ALL
+SELECT project_id, path, 'function_added', NULL, key, 1.0, concat('Function ', name, ' was added')
+FROM only_new WHERE (project_id, path, key) NOT IN (SELECT (project_id, path, new_key) FROM renames)
+UNION ALL
+SELECT project_id, path, 'function_removed', key, NULL, 1.0,
+       concat('Function ', name, ' was removed')
+FROM only_old WHERE (project_id, path, key) NOT IN (SELECT (project_id, path, old_key) FROM renames)
+""")
 def diff_versions(spark, sf_dir):
     old, new = (extract_entities(I.corpus(spark, sf_dir, v)) for v in (1, 2))
-    return versions.diff_versions(old, new)
+    found = versions.diff_versions(old, new)
+    return found.withColumn("confidence", F.round("confidence", 6))
 
 
 # The old name begins the new one, so all of it is in common.
