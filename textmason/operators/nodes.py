@@ -43,6 +43,7 @@ _ARROW = pa.schema(
     + [("profile", pa.map_(pa.string(), pa.int32()))]
 )
 _ROWS_PER_BATCH = 50_000
+_TEXT_PER_BATCH = 32 << 20
 
 
 class _Shape:
@@ -189,6 +190,7 @@ def _parser(definitions_only: bool):
     def parse(batches):
         warnings.simplefilter("ignore", SyntaxWarning)
         rows: list[tuple] = []
+        read = 0
 
         def flush():
             arrays = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ARROW)]
@@ -197,9 +199,11 @@ def _parser(definitions_only: bool):
         for batch in batches:
             for *key, content in zip(*(c.to_pylist() for c in batch.columns)):
                 rows.extend((*key, *row) for row in tree_rows(content, definitions_only))
-                if len(rows) >= _ROWS_PER_BATCH:
+                read += len(content)
+                if rows and (len(rows) >= _ROWS_PER_BATCH or read >= _TEXT_PER_BATCH):
                     yield flush()
                     rows.clear()
+                    read = 0
         if rows:
             yield flush()
 
