@@ -155,6 +155,32 @@ def test_run_report_and_rollback(spark, files, tmp_path):
     assert any(op["proof_certificate"] is None for op in raw)
 
 
+def test_rollback_strategies(spark, files):
+    every = files({"a.py": "1", "b.py": "2"}).unionByName(
+        files({"a.py": "10", "b.py": "20", "c.py": "30"}, snapshot_id=2)
+    )
+    manifest = spark.createDataFrame(
+        [(1, 1, None), (1, 2, 1)], "project_id BIGINT, snapshot_id INT, backup_snapshot_id INT"
+    )
+    operations = spark.createDataFrame(
+        [(1, "a.py", "completed"), (1, "c.py", "failed")],
+        "project_id BIGINT, path STRING, status STRING",
+    )
+
+    def after(strategy, snapshot_id=2):
+        rows = snapshots.rollback(strategy, every, snapshot_id, manifest, operations).collect()
+        return {r.path: r.content for r in rows}
+
+    assert after("full_rollback") == {"a.py": "1", "b.py": "2"}
+    assert after("full_rollback", 1) == {}
+    assert after("partial_rollback") == {"a.py": "10", "b.py": "20"}
+    assert after("manual_verification") == after("selective_rollback") == {
+        "a.py": "10", "b.py": "20", "c.py": "30"
+    }
+    with pytest.raises(ValueError):
+        after("other")
+
+
 def test_rerun_of_a_snapshot_does_not_duplicate(spark, files, tmp_path):
     root = str(tmp_path / "out")
     for _ in range(2):

@@ -90,6 +90,28 @@ def test_confidence_outside_range_is_refused(confidence):
         rules.Rule("r", "type_convert", "a", "b", confidence)
 
 
+def test_rule_tables_are_checked(spark):
+    good = rules.RuleBook().to_df(spark)
+    assert rules.require_valid(good).count() == 2
+    assert [r.name for r in rules.require_valid(good).orderBy("ord").collect()] == [
+        "requests_timeout_scale", "requests_data_to_json"
+    ]
+    for broken in (good.withColumn("confidence", F.lit(1.5)), good.withColumn("type", F.lit("x"))):
+        with pytest.raises(Exception, match="outside 0..1|unknown rule type"):
+            rules.require_valid(broken).collect()
+    usable, quarantined = rules.split_by_confidence(
+        good.withColumn("confidence", F.when(F.col("ord") == 0, 2.0))
+    )
+    assert (usable.count(), quarantined.count()) == (0, 2)
+
+
+def test_allowed_values(spark):
+    status = lambda c: text.one_of(c, ("pending", "failed"), "status")
+    assert column(spark, ["failed", "pending"], status) == ["failed", "pending"]
+    with pytest.raises(Exception, match="unknown status: odd"):
+        column(spark, ["odd"], status)
+
+
 @pytest.mark.parametrize(
     "pattern, template, value, wanted",
     [

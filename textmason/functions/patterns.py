@@ -36,6 +36,16 @@ REWRITE_PAYLOAD = (r"data=json\.dumps\(([^)]+)\)", "json=$1")
 REWRITE_SELF_TIMEOUT = (r"(?U)(self\.timeout\s*=\s*timeout)(?!\s*\*\s*1000)", "$1 * 1000")
 REWRITE_DATA_KEYWORD = (r"(?U)(requests\.(?:post|put)\([^,]+),\s*data=", "$1, json=")
 
+CHANGE_TYPES = (
+    "signature_changed", "parameter_added", "parameter_removed", "parameter_type_changed",
+    "return_type_changed", "function_added", "function_removed",
+)
+STATUSES = ("pending", "in_progress", "completed", "failed", "rolled_back")
+RULE_TYPES = ("parameter_scale", "parameter_rename", "method_replace", "type_convert")
+ROLLBACK_STRATEGIES = (
+    "full_rollback", "partial_rollback", "manual_verification", "selective_rollback",
+)
+
 PROFILE_SKIPPED_NODES = ("Load", "Store", "alias", "Name")
 CONTROL_FLOW_NODES = ("If", "For", "While", "Try")
 UNCHECKED_NAMES = ("__init__", "main")

@@ -69,6 +69,12 @@ def fill(sentence: str, *values: Column) -> Column:
     return F.concat(*filled, *pieces[len(values):])
 
 
+def one_of(value: Column, allowed: tuple[str, ...], what: str) -> Column:
+    """The value itself; a row with any other value fails the job."""
+    message = F.concat(F.lit(f"unknown {what}: "), F.coalesce(value, F.lit("null")))
+    return F.when(value.isin(*allowed), value).otherwise(F.raise_error(message))
+
+
 def split_params(params: Column, keep_self: bool = True, cut_default: bool = False) -> Column:
     """Comma-separated parameter text as ``ARRAY<STRUCT<name, type>>``."""
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmason.functions import patterns as P
-
-RULE_TYPES = ("parameter_scale", "parameter_rename", "method_replace", "type_convert")
+from textmason.functions.text import one_of
 
 RULE_SCHEMA = (
     "ord INT, name STRING, type STRING, pattern STRING, replacement STRING, "
@@ -42,7 +41,7 @@ class Rule:
     def __post_init__(self):
         if not 0.0 <= self.confidence <= 1.0:
             raise ValueError(f"confidence {self.confidence} lies outside 0..1")
-        if self.type not in RULE_TYPES:
+        if self.type not in P.RULE_TYPES:
             raise ValueError(f"unknown rule type {self.type!r}")
 
 
@@ -141,6 +140,17 @@ def split_by_confidence(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rules.filter(usable), rules.filter(~usable)
 
 
+def require_valid(rules: DataFrame) -> DataFrame:
+    """The same rules; an unknown type or a confidence outside 0..1 fails the job."""
+    confidence = F.col("confidence")
+    return rules.withColumns({
+        "type": one_of(F.col("type"), P.RULE_TYPES, "rule type"),
+        "confidence": F.when(confidence.between(0.0, 1.0), confidence).otherwise(
+            F.raise_error(F.concat(F.lit("confidence outside 0..1 in rule "), F.col("name")))
+        ),
+    })
+
+
 def replacement_text(matched: Column, rule: Rule) -> Column:
     """Replacement worked out on the matched fragment alone, without its surroundings."""
     return F.regexp_replace(matched, java_pattern(rule.pattern), java_replacement(rule.replacement))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmason.functions import patterns as P
 from textmason.functions.text import is_code_file
 
 FILE_KEYS = ["project_id", "path"]
@@ -56,3 +57,20 @@ def consume_backup(manifest: DataFrame, rolled_back: DataFrame) -> DataFrame:
     return manifest.join(done, "project_id", "left").select(
         "project_id", "snapshot_id", kept.alias("backup_snapshot_id")
     )
+
+
+def rollback(
+    strategy: str, files: DataFrame, snapshot_id: int, manifest: DataFrame, operations: DataFrame
+) -> DataFrame:
+    """Files of the target after rolling back one snapshot.
+
+    ``files`` holds all snapshots. The manual and selective strategies change nothing.
+    """
+    if strategy not in P.ROLLBACK_STRATEGIES:
+        raise ValueError(f"unknown rollback strategy {strategy!r}")
+    target = files.filter(F.col("snapshot_id") == snapshot_id)
+    if strategy == "full_rollback":
+        return rollback_full(files, manifest.filter(F.col("snapshot_id") == snapshot_id))
+    if strategy == "partial_rollback":
+        return rollback_partial(target, operations)
+    return target
