@@ -42,7 +42,6 @@ def test_rewrite_chain(spark):
 
 def test_rewrite_chain_twice_changes_nothing_more(spark):
     once = column(spark, REWRITES, rewrite_chain)
-    # Its own output ".5" after a scaled number is the one case that grows no further match.
     assert column(spark, once, rewrite_chain) == once
 
 
