@@ -62,9 +62,10 @@ def compare(spark, sf_dir: str, function, sql: str) -> tuple[int, str | None]:
 
 
 def main() -> int:
-    from textmason.checks import ORACLES, QUERIES
+    import __spark_entry__
     from textmason.session import local_session
 
+    QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     sf_dir, chosen = sys.argv[1], sys.argv[2:] or list(QUERIES)
     spark = local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
