@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textmason.llm import licenses, quality, url_filter
+from textmason.llm import byte_bpe, licenses, quality, token_counts, token_files, url_filter, warc
 from textmason.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,15 +21,60 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), model)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).drop("purity")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.read_tokens(
+        token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer, end_id=1)
+    )
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.with_revisits(table(spark, sf_dir, "pages"), least_bytes=0)
+    return warc.read_archives(warc.write_archives(records))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_quality_rules, op3_license_scan, op6_url_filter)
+    f.__name__: f
+    for f in (
+        op2_quality_rules, op3_license_scan, op5_token_counts, op6_url_filter, op7_token_files,
+        op8_byte_bpe, op9_warc,
+    )
 }
+# base32 of a digest: its 160 bits in groups of five
+WARC_SQL = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), digits AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS largest,
+    array_to_string(list_transform(range(1, 41), lambda i:
+      ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011',
+       '1100','1101','1110','1111'][strpos('0123456789abcdef', hex[i])]), '') AS bits FROM hashed
+)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * bits[5*i+1]::INT + 8 * bits[5*i+2]::INT
+      + 4 * bits[5*i+3]::INT + 2 * bits[5*i+4]::INT + bits[5*i+5]::INT]), '') AS payload_digest,
+  CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM digits
+"""
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE,
     "op3_license_scan": licenses.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op9_warc": WARC_SQL,
 }
