@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textmason.llm import byte_bpe, licenses, quality, token_counts, token_files, url_filter, warc
+from textmason.llm import (
+    byte_bpe, decontaminate, licenses, quality, token_counts, token_files, url_filter, warc,
+)
 from textmason.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +23,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), benchmark).drop("body")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), model)
@@ -50,7 +57,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op2_quality_rules, op3_license_scan, op5_token_counts, op6_url_filter, op7_token_files,
+        op2_quality_rules, op3_license_scan, op4_decontaminate, op5_token_counts,
+        op6_url_filter, op7_token_files,
         op8_byte_bpe, op9_warc,
     )
 }
@@ -75,6 +83,7 @@ FROM digits
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE,
     "op3_license_scan": licenses.ORACLE,
+    "op4_decontaminate": decontaminate.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op9_warc": WARC_SQL,
 }
