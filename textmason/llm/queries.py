@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textmason.llm import (
-    byte_bpe, decontaminate, licenses, quality, token_counts, token_files, url_filter, warc,
+    byte_bpe, decontaminate, jaccard_join, licenses, quality, token_counts, token_files, url_filter, warc,
 )
 from textmason.llm.common import table
 
@@ -54,12 +54,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(records))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op2_quality_rules, op3_license_scan, op4_decontaminate, op5_token_counts,
         op6_url_filter, op7_token_files,
-        op8_byte_bpe, op9_warc,
+        op8_byte_bpe, op9_warc, op10_jaccard_join,
     )
 }
 # base32 of a digest: its 160 bits in groups of five
