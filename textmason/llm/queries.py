@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textmason.llm import (
-    byte_bpe, decontaminate, jaccard_join, licenses, quality, token_counts, token_files, url_filter, warc,
+    byte_bpe, decontaminate, jaccard_join, licenses, quality, suffix_dedup,
+    token_counts, token_files, url_filter, warc,
 )
 from textmason.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(table(spark, sf_dir, "documents"))
 
@@ -61,11 +66,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op2_quality_rules, op3_license_scan, op4_decontaminate, op5_token_counts,
-        op6_url_filter, op7_token_files,
-        op8_byte_bpe, op9_warc, op10_jaccard_join,
+        op1_suffix_dedup, op2_quality_rules, op3_license_scan, op4_decontaminate,
+        op5_token_counts, op6_url_filter, op7_token_files, op8_byte_bpe, op9_warc, op10_jaccard_join,
     )
 }
+
 # base32 of a digest: its 160 bits in groups of five
 WARC_SQL = """
 WITH hashed AS (
