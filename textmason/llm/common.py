@@ -15,12 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, text) of a table, whatever else it has; a null text is empty."""
-    return docs.select(
+def texts(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: bool = False
+) -> DataFrame:
+    """(doc_id, text) of a table, whatever else it has; a null text is empty.
+
+    With ``carry`` also ``rest``, the whole row as a struct.
+    """
+    columns = [
         docs[id_column].cast("bigint").alias("doc_id"),
         F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"),
-    )
+    ]
+    if carry:
+        columns.append(F.struct(*(docs[name].alias(name) for name in docs.columns)).alias("rest"))
+    return docs.select(*columns)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -28,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmason.llm.common import ascii_lower, mix64, partitions, texts
 from textmason.llm.components import components
-from textmason.session import cut_lineage
+from textmason.session import cut_lineage, forget
 
 WORDS, PERCENT = 5, 80
 #: A block of documents is closed beyond so many shingles.
@@ -74,6 +74,11 @@ def least_shared(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
+def digest_of(text: Column) -> Column:
+    """Name of all texts that are equal in lower case."""
+    return F.md5(ascii_lower(text).cast("binary"))
+
+
 class Shingler:
     """Sets of shingle hashes of lower-cased texts."""
 
@@ -218,7 +223,7 @@ def token_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     distinct = (
         texts(docs).select("doc_id", ascii_lower(F.col("text")).alias("text"))
         .groupBy("text").agg(F.min("doc_id").alias("first"))
-        .select(F.md5(F.col("text").cast("binary")).alias("digest"), "first", "text")
+        .select(digest_of(F.col("text")).alias("digest"), "first", "text")
         .sortWithinPartitions("digest")  # a repeated task must build the same blocks
     )
 
@@ -343,7 +348,7 @@ def star_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 def group_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between sets of different components, found through the token-group matrix.
 
-    ``sets`` has node, n, tokens, front, component and group.
+    ``sets`` has node, n, tokens, front, component and grp. The links are stored.
     """
 
     def front(batches):
@@ -414,15 +419,21 @@ def group_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                         found[1].append(other)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["u", "v"])
 
-    return (
+    links = cut_lineage(
         members.unionAll(asking)
         .repartition(partitions(sets.sparkSession), "grp", "part")
         .sortWithinPartitions("grp", "part", "role").mapInArrow(answer, "u BIGINT, v BIGINT")
     )
+    forget(entries, pairs)
+    return links
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per document: n_shingles and component_id, the least doc_id reachable by links."""
+    """Per document: n_shingles and component_id, the least doc_id reachable by links.
+
+    ``digest`` is that of the lower-cased text, for callers that need the row again. The
+    result reads two stored tables; the others are deleted here.
+    """
     everything = token_sets(docs, words, percent)
     sets = everything.filter("tokens IS NOT NULL")
     stars = cut_lineage(star_links(sets, percent))
@@ -440,8 +451,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
             ).alias("grp"),
         )
     )
-    more = cut_lineage(group_links(grouped, percent))
+    more = group_links(grouped, percent)
     linked = components(stars.unionAll(more))
+    forget(stars, first, grouped, more)
     labels = (
         everything.select("node", "first").join(linked, "node")
         .groupBy("component").agg(F.min("first").alias("component_id"))
@@ -451,11 +463,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         "digest", F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "first").alias("component_id"),
     )
-    rows = texts(docs).select(
-        "doc_id", F.md5(ascii_lower(F.col("text")).cast("binary")).alias("digest")
-    )
+    rows = texts(docs).select("doc_id", digest_of(F.col("text")).alias("digest"))
     return rows.join(by_text, "digest").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
         .alias("component_id"),
+        "digest",
     )

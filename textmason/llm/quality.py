@@ -108,16 +108,23 @@ def _measure(batches):
     for batch in batches:
         rows = [measure(raw) for raw in utf8(batch.column(1))]
         columns = zip(*rows) if rows else [[] for _ in COUNTS]
+        carried = range(2, batch.num_columns)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, pa.int64()) for c in columns)],
-            names=["doc_id", *COUNTS],
+            [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), *map(batch.column, carried)],
+            names=["doc_id", *COUNTS, *(batch.schema.names[k] for k in carried)],
         )
 
 
-def repetition_quality(docs: DataFrame) -> DataFrame:
-    """Counts per document, ``base_failed`` and the verdict ``kept``. No shuffle."""
+def repetition_quality(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """Counts per document, ``base_failed`` and the verdict ``kept``. No shuffle.
+
+    With ``carry`` also ``rest``, the whole input row as a struct.
+    """
     schema = "doc_id BIGINT, " + ", ".join(f"{name} BIGINT" for name in COUNTS)
-    counted = texts(docs).mapInArrow(_measure, schema)
+    rows = texts(docs, carry=carry)
+    if carry:
+        schema += f", rest {rows.schema['rest'].dataType.simpleString()}"
+    counted = rows.mapInArrow(_measure, schema)
     failed = (F.col("n_words") < BASE_WORDS) | (
         100 * F.col("n_repeat_words") > BASE_PERCENT * F.col("n_words")
     )

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmason.llm.common import gather, mix64, partitions, utf8
+from textmason.llm.common import gather, mix64, partitions, texts, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -377,7 +377,8 @@ def _remove(with_rest: bool):
             kept.append(whole[at:end])
             rest = b"".join(kept)
             for column, value in zip(out, (
-                end - begin, removed, int(cuts[k + 1] - cuts[k]), hashlib.sha256(rest).hexdigest(), rest,
+                end - begin, removed, int(cuts[k + 1] - cuts[k]), hashlib.sha256(rest).hexdigest(),
+                rest.decode("utf-8", "ignore"),
             )):
                 column.append(value)
         taken = block.take(pa.array(order, pa.int64()))
@@ -387,32 +388,29 @@ def _remove(with_rest: bool):
             "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string()),
         }
         if with_rest:
-            found["kept"] = pa.array(out[4], pa.binary())
+            found["kept"] = pa.array(out[4], pa.string())
             found["rest"] = taken.column("rest")
         return pa.table(found)
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans and kept_sha256.
 
-    With ``carry`` also ``kept`` (the remaining bytes) and ``rest`` (a struct of the named
-    columns of ``docs``).
+    With ``carry`` also ``kept`` (the remaining bytes as text, without characters that lost
+    some of their bytes) and ``rest`` (the input row but for its text, as a struct).
     """
     if length < GRAM + 1 or length > 255:
         raise ValueError(f"length must be from {GRAM + 1} to 255")
     spark = docs.sparkSession
     count = partitions(spark)
     buckets = blocks = 4 * count
-    columns = [
-        docs["doc_id"].cast("bigint").alias("doc_id"),
-        F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
-    ]
+    rows = texts(docs, carry=carry)
     if carry:
-        columns.append(F.struct(*(docs[name].alias(name) for name in carry)).alias("rest"))
+        rows = rows.withColumn("rest", F.col("rest").dropFields("text"))
     dealt = (
-        docs.select(*columns)
+        rows
         .withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
         .repartition(count, "block")
     )
@@ -430,7 +428,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     )
     schema = "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING"
     if carry:
-        schema += f", kept BINARY, rest {dealt.schema['rest'].dataType.simpleString()}"
+        schema += f", kept STRING, rest {dealt.schema['rest'].dataType.simpleString()}"
     return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(
         _remove(bool(carry)), schema
     )
