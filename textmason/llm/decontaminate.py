@@ -87,8 +87,8 @@ def benchmark_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
         .withColumn("number", F.explode_outer(kept_grams("words", length)))
         for length in lengths
     ]
-    if not found:
-        return items.withColumn("number", F.lit(0).cast("bigint")), []
+    if not found:  # no item has words, and so no row is left
+        found = [items.withColumn("number", F.lit(0).cast("bigint"))]
     rows = reduce(DataFrame.unionAll, found).withColumn("at", _place("number"))
     first = F.greatest(F.col("at") - F.col("window"), F.lit(0))
     return rows.select(
