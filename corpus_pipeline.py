@@ -14,6 +14,14 @@ from textmason.llm.common import table
 from textmason.session import cut_lineage, forget
 
 
+def _free_name(docs: DataFrame) -> str:
+    """A column name that ``docs`` hasn't."""
+    name = "_body"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
     return quality.repetition_quality(docs, carry=True).filter("kept").select("rest.*")
@@ -28,10 +36,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("_doc_id"), F.col("digest").alias("_digest")
     ).distinct()
-    rows = docs.withColumn("_body", jaccard_join.digest_of(F.coalesce("text", F.lit(""))))
-    same = rows["doc_id"].eqNullSafe(chosen["_doc_id"]) & (rows["_body"] == chosen["_digest"])
+    body = _free_name(docs)
+    rows = docs.withColumn(body, jaccard_join.digest_of(F.coalesce("text", F.lit(""))))
+    same = rows["doc_id"].eqNullSafe(chosen["_doc_id"]) & (rows[body] == chosen["_digest"])
     return (
-        rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_body"])
+        rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", body])
         .select(*docs.columns)
     )
 
@@ -51,8 +60,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = found.filter("contaminated").select(
         F.col("doc_id").alias("_doc_id"), F.col("body").alias("_hash")
     )
-    rows = docs.withColumn("_body", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = rows["doc_id"].eqNullSafe(found["_doc_id"]) & (rows["_body"] == found["_hash"])
+    body = _free_name(docs)
+    rows = docs.withColumn(body, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = rows["doc_id"].eqNullSafe(found["_doc_id"]) & (rows[body] == found["_hash"])
     return rows.join(found, same, "left_anti").select(*docs.columns)
 
 
