@@ -24,6 +24,12 @@ def issued_at():
 
 # -- two versions of a code corpus ---------------------------------------------------
 
+# Some files share a stem; in version 2 some are in another folder, some have another stem.
+MODULE = """CASE WHEN l_orderkey % 10 = 1 THEN 'shared'
+  WHEN v = 2 AND l_orderkey % 10 = 7 THEN concat('g_', cast(l_orderkey as string))
+  ELSE concat('f_', cast(l_orderkey as string)) END"""
+FOLDER = """CASE WHEN l_orderkey % 10 = 1 THEN concat('pkg_', cast(l_orderkey as string), '/')
+  WHEN v = 2 AND l_orderkey % 10 = 3 THEN 'moved/' ELSE 'src/' END"""
 EXT = "CASE WHEN l_orderkey % 4 = 3 THEN 'js' ELSE 'py' END"
 FN = (
     "concat('load_', cast(l_suppkey as string), '_', cast(l_linenumber as string), "
@@ -55,11 +61,17 @@ def _ordered_text(rows: DataFrame, group: list[str], order: list[str]) -> DataFr
     )
 
 
-def _with_project(spark, sf_dir, texts: DataFrame, path) -> DataFrame:
+# Projects of the comparisons of versions: few files each, as the checking SQL goes by pairs.
+SMALL = "o_custkey"
+
+
+def _with_project(
+    spark, sf_dir, texts: DataFrame, path, project: str = "o_custkey % 50"
+) -> DataFrame:
     # Line items are grouped by order key first, so this join reuses their partitioning.
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return texts.join(orders, texts["l_orderkey"] == orders["o_orderkey"]).select(
-        (F.col("o_custkey") % 50).alias("project_id"),
+        F.expr(project).alias("project_id"),
         F.col("v").cast("int").alias("snapshot_id"),
         path.alias("path"),
         "content",
@@ -73,19 +85,20 @@ def _items(spark, sf_dir, versions) -> DataFrame:
     return items.filter("v = 1 OR l_partkey % 11 <> 0")
 
 
-def corpus(spark: SparkSession, sf_dir: str, *versions: int) -> DataFrame:
+def corpus(
+    spark: SparkSession, sf_dir: str, *versions: int, project: str = "o_custkey % 50"
+) -> DataFrame:
     rows = _items(spark, sf_dir, versions or (1, 2)).select(
         "l_orderkey", "v", "l_linenumber", "l_partkey", F.expr(SNIPPET).alias("snippet")
     )
     texts = _ordered_text(rows, ["l_orderkey", "v"], ["l_linenumber", "l_partkey"])
-    path = F.expr(f"concat('src/f_', cast(l_orderkey as string), '.', {EXT})")
-    return _with_project(spark, sf_dir, texts, path)
+    return _with_project(spark, sf_dir, texts, F.expr(PATH), project)
 
 
-ITEMS_SQL = f"""items AS (
+PATH = f"concat({FOLDER}, {MODULE}, '.', {EXT})"
+ITEMS_SQL = f"""items AS MATERIALIZED (
   SELECT l.*, o_custkey % 50 AS project_id, v, v AS snapshot_id,
-         concat('src/f_', cast(l_orderkey as string), '.', {EXT}) AS path,
-         concat('f_', cast(l_orderkey as string)) AS module,
+         {PATH} AS path, {MODULE} AS module,
          {FN} AS fn, {PARAMS} AS params, {SNIPPET} AS snippet
   FROM lineitem l JOIN orders ON o_orderkey = l_orderkey CROSS JOIN (VALUES (1), (2)) t(v)
   WHERE v = 1 OR l_partkey % 11 <> 0)"""
@@ -148,7 +161,7 @@ def pattern_entities(files: DataFrame) -> DataFrame:
 
 
 # JavaScript keeps the first of a name, Python all; a comparison then keeps the last.
-ENTITIES_SQL = f"""WITH {ITEMS_SQL},
+ENTITIES_SQL = f"""WITH {ITEMS_SQL.replace("o_custkey % 50", SMALL)},
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY project_id, snapshot_id, path
                                ORDER BY l_linenumber, l_partkey, snippet) - 1 AS position
@@ -160,17 +173,24 @@ named AS (
          CASE WHEN path LIKE '%.js' THEN 'javascript' ELSE 'python' END AS language,
          CASE WHEN path LIKE '%.js' THEN params
               ELSE regexp_replace(params, '^self, ', '') END AS params,
-         row_number() OVER (PARTITION BY project_id, snapshot_id, path, fn ORDER BY position) AS nth,
-         row_number() OVER (PARTITION BY project_id, snapshot_id, path, fn
-                            ORDER BY position DESC) AS nth_back
+         row_number() OVER (PARTITION BY project_id, snapshot_id, path, fn ORDER BY position) AS nth
   FROM placed),
-entities AS (
+entities AS MATERIALIZED (
   SELECT *, len(string_split(params, ', ')) AS n_args, concat(module, '.', name) AS key
   FROM named WHERE language = 'python' OR nth = 1),
-latest AS (
-  SELECT * FROM entities WHERE (language = 'python' AND nth_back = 1) OR language = 'javascript'),
+latest AS MATERIALIZED (
+  SELECT * EXCLUDE (nth_back) FROM (
+    SELECT *, row_number() OVER (of_key ORDER BY path DESC, position DESC) AS nth_back,
+           min((path, position)) OVER of_key AS first_place
+    FROM entities WINDOW of_key AS (PARTITION BY project_id, snapshot_id, key)) WHERE nth_back = 1),
 old AS (SELECT * FROM latest WHERE snapshot_id = 1),
-new AS (SELECT * FROM latest WHERE snapshot_id = 2)"""
+new AS (SELECT * FROM latest WHERE snapshot_id = 2),
+paired AS MATERIALIZED (
+  SELECT project_id, key, max(name) AS name, max(language) AS language,
+         max(name) FILTER (snapshot_id = 1) AS old_name, max(name) FILTER (snapshot_id = 2) AS new_name,
+         max(n_args) FILTER (snapshot_id = 1) AS old_count,
+         max(n_args) FILTER (snapshot_id = 2) AS new_count
+  FROM latest GROUP BY project_id, key)"""
 
 
 # -- Python files with classes, nested functions, imports and assignments -------------
@@ -350,14 +370,15 @@ _COUNTS = """CASE WHEN language = 'javascript' THEN NULL
   WHEN l_partkey % 3 = 1 THEN [1, 1, n_params, 1, 1, 1, 1, 2, 0, 0, 0]
   ELSE [1, 1, n_params, 1, 1, 2, 2, 2, 1, 1, 1] END"""
 RENAMES_SQL = ENTITIES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
-only_old AS (
+only_old AS MATERIALIZED (
   SELECT *, {_COUNTS} AS counts,
-         row_number() OVER (PARTITION BY project_id, path ORDER BY first_position) AS nth_old
-  FROM old ANTI JOIN new USING (project_id, path, key)),
-only_new AS (
-  SELECT *, {_COUNTS} AS counts FROM new ANTI JOIN old USING (project_id, path, key)),
-names AS (
-  SELECT DISTINCT o.name AS a, n.name AS b FROM only_old o JOIN only_new n USING (project_id, path)),
+         row_number() OVER (PARTITION BY project_id ORDER BY first_place) AS nth_old
+  FROM old JOIN (SELECT project_id, key FROM paired WHERE new_name IS NULL) USING (project_id, key)),
+only_new AS MATERIALIZED (
+  SELECT *, {_COUNTS} AS counts
+  FROM new JOIN (SELECT project_id, key FROM paired WHERE old_name IS NULL) USING (project_id, key)),
+names AS MATERIALIZED (
+  SELECT DISTINCT o.name AS a, n.name AS b FROM only_old o JOIN only_new n USING (project_id)),
 cells AS (
   SELECT a, b, i, j FROM names, unnest(range(length(a))) x(i), unnest(range(length(b))) y(j)
   WHERE substr(a, i + 1, 1) = substr(b, j + 1, 1)),
@@ -383,32 +404,32 @@ segments(a, b, alo, ahi, blo, bhi, size) AS (
 ratios AS (
   SELECT a, b, 2 * sum(size)::DOUBLE / (length(a) + length(b)) AS ratio FROM segments GROUP BY a, b),
 scored AS (
-  SELECT project_id, path, o.key AS old_key, n.key AS new_key, o.name AS old_name,
-         n.name AS new_name, nth_old, n.first_position AS new_position,
+  SELECT project_id, o.key AS old_key, n.key AS new_key, o.name AS old_name,
+         n.name AS new_name, nth_old, n.first_place AS new_position,
          CASE WHEN o.counts IS NULL OR n.counts IS NULL THEN ratio ELSE 0.4::DOUBLE * ratio
            + 0.6::DOUBLE
              * (list_sum(list_transform(range(1, 12), lambda x: least(o.counts[x], n.counts[x])))::DOUBLE
              / list_sum(list_transform(range(1, 12), lambda x: greatest(o.counts[x], n.counts[x])))::DOUBLE)
          END AS score
-  FROM only_old o JOIN only_new n USING (project_id, path)
+  FROM only_old o JOIN only_new n USING (project_id)
   JOIN ratios ON a = o.name AND b = n.name),
-candidates AS (SELECT * FROM scored WHERE score >= 0.4::DOUBLE),
-choices AS (
-  SELECT o.project_id, o.path, o.nth_old, o.key AS old_key,
+candidates AS MATERIALIZED (SELECT * FROM scored WHERE score >= 0.4::DOUBLE),
+choices AS MATERIALIZED (
+  SELECT o.project_id, o.nth_old, o.key AS old_key,
          list(new_key ORDER BY score DESC, new_position) FILTER (WHERE new_key IS NOT NULL) AS wanted
-  FROM only_old o LEFT JOIN candidates c USING (project_id, path, nth_old) GROUP BY ALL),
-picks(project_id, path, nth_old, old_key, taken, new_key) AS (
-  SELECT project_id, path, nth_old, old_key,
+  FROM only_old o LEFT JOIN candidates c USING (project_id, nth_old) GROUP BY ALL),
+picks(project_id, nth_old, old_key, taken, new_key) AS (
+  SELECT project_id, nth_old, old_key,
          CASE WHEN wanted[1] IS NULL THEN []::VARCHAR[] ELSE [wanted[1]] END, wanted[1]
   FROM choices WHERE nth_old = 1
   UNION ALL
-  SELECT project_id, path, nth_old, old_key,
+  SELECT project_id, nth_old, old_key,
          CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick
   FROM (
-    SELECT c.project_id, c.path, c.nth_old, c.old_key, p.taken,
+    SELECT c.project_id, c.nth_old, c.old_key, p.taken,
            list_filter(wanted, lambda x: NOT list_contains(p.taken, x))[1] AS pick
-    FROM picks p JOIN choices c ON c.project_id = p.project_id AND c.path = p.path
+    FROM picks p JOIN choices c ON c.project_id = p.project_id
      AND c.nth_old = p.nth_old + 1)),
 renames AS (
-  SELECT project_id, path, old_key, new_key, old_name, new_name, score
-  FROM picks JOIN candidates USING (project_id, path, old_key, new_key))"""
+  SELECT project_id, old_key, new_key, old_name, new_name, score
+  FROM picks JOIN candidates USING (project_id, old_key, new_key))"""

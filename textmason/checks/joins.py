@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textmason.checks import inputs as I
 from textmason.checks.registry import query
-from textmason.functions.similarity import name_similarity as ratio
+from textmason.functions.similarity import score_names
 from textmason.operators import diff, rollups, snapshots
 from textmason.operators import rename
 from textmason.operators.nodes import extract_entities
@@ -17,7 +17,7 @@ from textmason.session import cut_lineage
 def versions_by_pattern(spark, sf_dir):
     """(old, new) functions found by pattern, one row per key."""
     return tuple(
-        diff.dedup_last_wins(I.pattern_entities(I.corpus(spark, sf_dir, v))) for v in (1, 2)
+        diff.dedup_last_wins(I.pattern_entities(I.corpus(spark, sf_dir, v, project=I.SMALL))) for v in (1, 2)
     )
 
 
@@ -28,7 +28,7 @@ def aligned_by_pattern(spark, sf_dir):
 @query("entity_key", I.ENTITIES_SQL + """
 SELECT project_id, snapshot_id, path, position, key FROM entities""")
 def entity_key(spark, sf_dir):
-    entities = I.pattern_entities(I.corpus(spark, sf_dir))
+    entities = I.pattern_entities(I.corpus(spark, sf_dir, project=I.SMALL))
     return entities.select(
         "project_id", "snapshot_id", "path", F.col("ord").alias("position"),
         diff.entity_key(F.col("module"), F.col("name")).alias("key"),
@@ -36,22 +36,19 @@ def entity_key(spark, sf_dir):
 
 
 @query("dedup_last_wins", I.ENTITIES_SQL + """
-SELECT project_id, path, key, snapshot_id, n_args,
-       (SELECT min(position) FROM entities e WHERE e.snapshot_id = l.snapshot_id
-          AND e.path = l.path AND e.project_id = l.project_id AND e.key = l.key) AS position
-FROM latest l""")
+SELECT project_id, key, snapshot_id, n_args, first_place[1] AS path, first_place[2] AS position
+FROM latest""")
 def dedup_last_wins(spark, sf_dir):
     old, new = versions_by_pattern(spark, sf_dir)
     return old.unionByName(new).select(
-        "project_id", "path", "key", "snapshot_id", F.size("args").alias("n_args"),
-        F.col("position.ord").alias("position"),
+        "project_id", "key", "snapshot_id", F.size("args").alias("n_args"),
+        F.col("position.path").alias("path"), F.col("position.ord").alias("position"),
     )
 
 
 _CHANGED_SQL = """
-SELECT project_id, path, key, o.name AS old_name, n.name AS new_name, o.n_args AS old_count,
-       n.n_args AS new_count
-FROM old o JOIN new n USING (project_id, path, key) WHERE o.n_args <> n.n_args"""
+SELECT project_id, key, old_name, new_name, old_count, new_count
+FROM paired WHERE old_count <> new_count"""
 
 
 @query("signature_count_change", I.ENTITIES_SQL + f"""
@@ -61,7 +58,7 @@ def signature_count_change(spark, sf_dir):
 
 
 @query("diff_exact", I.ENTITIES_SQL + f"""
-SELECT project_id, path, 'signature_changed' AS change_type, key AS old_key, key AS new_key,
+SELECT project_id, 'signature_changed' AS change_type, key AS old_key, key AS new_key,
        0.9::DOUBLE AS confidence, concat('Signature of ', old_name, ' changed') AS description
 FROM ({_CHANGED_SQL})""")
 def diff_exact(spark, sf_dir):
@@ -69,20 +66,19 @@ def diff_exact(spark, sf_dir):
 
 
 @query("key_intersection", I.ENTITIES_SQL + """
-SELECT project_id, path, key FROM old INTERSECT SELECT project_id, path, key FROM new""")
+SELECT project_id, key FROM old INTERSECT SELECT project_id, key FROM new""")
 def key_intersection(spark, sf_dir):
     return diff.key_intersection(*versions_by_pattern(spark, sf_dir))
 
 
 @query("key_union", I.ENTITIES_SQL + """
-SELECT project_id, path, key FROM old UNION SELECT project_id, path, key FROM new""")
+SELECT project_id, key FROM old UNION SELECT project_id, key FROM new""")
 def key_union(spark, sf_dir):
-    return diff.key_union(*versions_by_pattern(spark, sf_dir), ("project_id", "path", "key"))
+    return diff.key_union(*versions_by_pattern(spark, sf_dir), ("project_id", "key"))
 
 
 def _difference_sql(left, right):
-    return f"""SELECT project_id, path, key FROM {left}
-EXCEPT SELECT project_id, path, key FROM {right}"""
+    return f"""SELECT project_id, key FROM {left} EXCEPT SELECT project_id, key FROM {right}"""
 
 
 @query("key_difference", I.ENTITIES_SQL + f"""
@@ -91,7 +87,7 @@ UNION ALL SELECT *, 'new' AS side FROM ({_difference_sql('new', 'old')})""")
 def key_difference(spark, sf_dir):
     old, new = versions_by_pattern(spark, sf_dir)
     sides = [
-        diff.key_difference(a, b).select("project_id", "path", "key", F.lit(name).alias("side"))
+        diff.key_difference(a, b).select("project_id", "key", F.lit(name).alias("side"))
         for a, b, name in ((old, new, "old"), (new, old, "new"))
     ]
     return sides[0].unionByName(sides[1])
@@ -99,35 +95,29 @@ def key_difference(spark, sf_dir):
 
 @query("unmatched_old", I.ENTITIES_SQL + _difference_sql("old", "new"))
 def unmatched_old(spark, sf_dir):
-    return diff.unmatched_old(aligned_by_pattern(spark, sf_dir)).select(
-        "project_id", "path", "key"
-    )
+    return diff.unmatched_old(aligned_by_pattern(spark, sf_dir)).select("project_id", "key")
 
 
 @query("unmatched_new", I.ENTITIES_SQL + _difference_sql("new", "old"))
 def unmatched_new(spark, sf_dir):
-    return diff.unmatched_new(aligned_by_pattern(spark, sf_dir)).select(
-        "project_id", "path", "key"
-    )
+    return diff.unmatched_new(aligned_by_pattern(spark, sf_dir)).select("project_id", "key")
 
 
-def _leftover_sql(change, left, right, old_key, new_key, verb):
+def _leftover_sql(change, missing, old_key, new_key, verb):
     return f"""
-SELECT l.project_id, l.path, '{change}' AS change_type, {old_key} AS old_key,
-       {new_key} AS new_key, 1.0::DOUBLE AS confidence,
-       concat('Function ', l.name, ' was {verb}') AS description
-FROM {left} l ANTI JOIN {right} r USING (project_id, path, key)"""
+SELECT project_id, '{change}' AS change_type, {old_key} AS old_key, {new_key} AS new_key,
+       1.0::DOUBLE AS confidence, concat('Function ', name, ' was {verb}') AS description
+FROM paired WHERE {missing} IS NULL"""
 
 
-@query("diff_added", I.ENTITIES_SQL
-       + _leftover_sql("function_added", "new", "old", "NULL", "l.key", "added"))
+@query("diff_added", I.ENTITIES_SQL + _leftover_sql("function_added", "old_name", "NULL", "key", "added"))
 def diff_added(spark, sf_dir):
     """Exact keys only: no rename matching."""
     return diff.diff_added(diff.unmatched_new(aligned_by_pattern(spark, sf_dir)))
 
 
-@query("diff_removed", I.ENTITIES_SQL
-       + _leftover_sql("function_removed", "old", "new", "l.key", "NULL", "removed"))
+@query("diff_removed",
+       I.ENTITIES_SQL + _leftover_sql("function_removed", "new_name", "key", "NULL", "removed"))
 def diff_removed(spark, sf_dir):
     """Exact keys only: no rename matching."""
     return diff.diff_removed(diff.unmatched_old(aligned_by_pattern(spark, sf_dir)))
@@ -136,13 +126,13 @@ def diff_removed(spark, sf_dir):
 def _unmatched_by_tree(spark, sf_dir):
     """Functions with their syntax profiles on one side only."""
     aligned = cut_lineage(diff.align(*[
-        diff.dedup_last_wins(extract_entities(I.corpus(spark, sf_dir, v)).drop("docstring"))
+        diff.dedup_last_wins(extract_entities(I.corpus(spark, sf_dir, v, project=I.SMALL)).drop("docstring"))
         for v in (1, 2)
     ]))
     return diff.unmatched_old(aligned), diff.unmatched_new(aligned)
 
 
-_RENAME_COLUMNS = """project_id, path, old_key, new_key, old_name, new_name,
+_RENAME_COLUMNS = """project_id, old_key, new_key, old_name, new_name,
        round(score, 6) AS score"""
 
 
@@ -158,56 +148,51 @@ def rename_match(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query("rename_match_in_rounds", I.RENAMES_SQL + f"SELECT {_RENAME_COLUMNS} FROM renames")
+def rename_match_in_rounds(spark, sf_dir):
+    """The same by the rounds that large scopes take."""
+    found = rename.rename_match(*_unmatched_by_tree(spark, sf_dir), task_pairs=0)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("diff_versions", I.RENAMES_SQL + """
-SELECT project_id, path, 'signature_changed' AS change_type, key AS old_key, key AS new_key,
+SELECT project_id, 'signature_changed' AS change_type, key AS old_key, key AS new_key,
        0.9::DOUBLE AS confidence, concat('Signature of ', o.name, ' changed') AS description
-FROM old o JOIN new n USING (project_id, path, key) WHERE o.n_params <> n.n_params
+FROM old o JOIN new n USING (project_id, key) WHERE o.n_params <> n.n_params
 UNION ALL
-SELECT project_id, path, 'signature_changed', old_key, new_key, round(score, 6),
+SELECT project_id, 'signature_changed', old_key, new_key, round(score, 6),
        concat('Signature of ', old_name, ' changed (renamed to ', new_name, ')') FROM renames
 UNION ALL
-SELECT project_id, path, 'function_added', NULL, key, 1.0, concat('Function ', name, ' was added')
-FROM only_new WHERE (project_id, path, key) NOT IN (SELECT (project_id, path, new_key) FROM renames)
+SELECT project_id, 'function_added', NULL, key, 1.0, concat('Function ', name, ' was added')
+FROM only_new WHERE (project_id, key) NOT IN (SELECT (project_id, new_key) FROM renames)
 UNION ALL
-SELECT project_id, path, 'function_removed', key, NULL, 1.0,
-       concat('Function ', name, ' was removed')
-FROM only_old WHERE (project_id, path, key) NOT IN (SELECT (project_id, path, old_key) FROM renames)
+SELECT project_id, 'function_removed', key, NULL, 1.0, concat('Function ', name, ' was removed')
+FROM only_old WHERE (project_id, key) NOT IN (SELECT (project_id, old_key) FROM renames)
 """)
 def diff_versions(spark, sf_dir):
-    old, new = (extract_entities(I.corpus(spark, sf_dir, v)) for v in (1, 2))
+    old, new = (extract_entities(I.corpus(spark, sf_dir, v, project=I.SMALL)) for v in (1, 2))
     found = versions.diff_versions(old, new)
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
-# The old name begins the new one, so all of it is in common.
-@query("name_similarity", """
-WITH names AS (
-  SELECT DISTINCT concat('load_', cast(l_suppkey as string), '_', cast(l_linenumber as string))
-           AS old_name, concat('_', lower(l_returnflag), '_v2') AS suffix FROM lineitem)
-SELECT old_name, concat(old_name, suffix) AS new_name,
-       round(2.0 * length(old_name) / (2 * length(old_name) + length(suffix)), 6) AS score
-FROM names""")
+@query("name_similarity", I.RENAMES_SQL + """
+SELECT a AS old_name, b AS new_name, round(ratio, 6) AS score FROM ratios""")
 def name_similarity(spark, sf_dir):
-    """Each distinct function name against longer names made of it."""
-    items = I.table(spark, sf_dir, "lineitem")
-    name = lambda suffix: F.concat(
-        F.lit("load_"), F.col("l_suppkey").cast("string"), F.lit("_"),
-        F.col("l_linenumber").cast("string"), suffix,
-    )
-    pairs = items.select(
-        name(F.lit("")).alias("old_name"),
-        name(F.concat(F.lit("_"), F.lower("l_returnflag"), F.lit("_v2"))).alias("new_name"),
-    ).distinct()
-    return pairs.withColumn("score", F.round(ratio("old_name", "new_name"), 6))
-
-
-@query("signature_compat", I.ENTITIES_SQL + """,
-source AS (SELECT * FROM old WHERE language = 'python'),
-target AS (SELECT * FROM new WHERE language = 'python')
-SELECT project_id, path, key, s.n_args AS source_params, t.n_args AS target_params,
-       s.n_args IS NOT NULL AND t.n_args IS NOT NULL AS exists_in_both,
-       abs(s.n_args - t.n_args) <= 2 AS compatible
-FROM source s FULL JOIN target t USING (project_id, path, key)""")
+    """Each name that left against each that came to the same project."""
+    old, new = _unmatched_by_tree(spark, sf_dir)
+    pairs = old.select("project_id", F.col("name").alias("old_name")).join(
+        new.select("project_id", F.col("name").alias("new_name")), "project_id"
+    ).select("old_name", "new_name").distinct()
+    return score_names(pairs, "old_name", "new_name").withColumn("score", F.round("score", 6))
+
+
+@query("signature_compat", I.ENTITIES_SQL + """
+SELECT project_id, key, old_count AS source_params, new_count AS target_params,
+       old_count IS NOT NULL AND new_count IS NOT NULL AS exists_in_both,
+       abs(old_count - new_count) <= 2 AS compatible
+FROM (SELECT project_id, key, max(n_args) FILTER (snapshot_id = 1) AS old_count,
+             max(n_args) FILTER (snapshot_id = 2) AS new_count
+      FROM latest WHERE language = 'python' GROUP BY project_id, key)""")
 def signature_compat(spark, sf_dir):
     return diff.signature_compat(aligned_by_pattern(spark, sf_dir))
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from textmason.functions import patterns as P
 from textmason.functions.text import fill
 
-# Functions are compared within one of these scopes: the two versions of one file.
+# Keys are compared over the whole inventory of a project, so a moved file is no change.
+PROJECT_SCOPE = ("project_id",)
+# Option: compare the two versions of each file only.
 FILE_SCOPE = ("project_id", "path")
 
 
@@ -16,7 +18,7 @@ def entity_key(module: Column, name: Column) -> Column:
     return F.concat_ws(".", module, name)
 
 
-def dedup_last_wins(entities: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+def dedup_last_wins(entities: DataFrame, scope=PROJECT_SCOPE) -> DataFrame:
     """One row per key: the last definition, at the position of the first.
 
     ``position`` orders the rows of a scope. Copies of a key combine before the shuffle.
@@ -34,12 +36,12 @@ def dedup_last_wins(entities: DataFrame, scope=FILE_SCOPE) -> DataFrame:
     )
 
 
-def key_intersection(old: DataFrame, new: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+def key_intersection(old: DataFrame, new: DataFrame, scope=PROJECT_SCOPE) -> DataFrame:
     """Keys in both versions; inputs hold one row per key."""
     return old.select(*scope, "key").join(new.select(*scope, "key"), [*scope, "key"], "left_semi")
 
 
-def key_difference(left: DataFrame, right: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+def key_difference(left: DataFrame, right: DataFrame, scope=PROJECT_SCOPE) -> DataFrame:
     """Rows of ``left`` whose key ``right`` lacks."""
     return left.join(right.select(*scope, "key"), [*scope, "key"], "left_anti")
 
@@ -48,7 +50,7 @@ def key_union(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.select(*keys).union(right.select(*keys)).distinct()
 
 
-def align(old: DataFrame, new: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+def align(old: DataFrame, new: DataFrame, scope=PROJECT_SCOPE) -> DataFrame:
     """Full outer join on the key: (scope, key, old, new) with one struct per side.
 
     Both inputs hold one row per key and come out of a grouping by it, so the join adds no
@@ -63,15 +65,15 @@ def align(old: DataFrame, new: DataFrame, scope=FILE_SCOPE) -> DataFrame:
     return sides[0].join(sides[1], [*scope, "key"], "full_outer")
 
 
-def unmatched_old(aligned: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+def unmatched_old(aligned: DataFrame, scope=PROJECT_SCOPE) -> DataFrame:
     return aligned.filter(F.col("new").isNull()).select(*scope, "key", "old.*")
 
 
-def unmatched_new(aligned: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+def unmatched_new(aligned: DataFrame, scope=PROJECT_SCOPE) -> DataFrame:
     return aligned.filter(F.col("old").isNull()).select(*scope, "key", "new.*")
 
 
-def signature_count_change(aligned: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+def signature_count_change(aligned: DataFrame, scope=PROJECT_SCOPE) -> DataFrame:
     """Common keys whose number of parameters differs; other edits are no change."""
     return aligned.filter(F.size("old.args") != F.size("new.args")).select(
         *scope, "key",
@@ -93,7 +95,7 @@ def _diff_rows(rows: DataFrame, scope, change: str, old, new, confidence, descri
     )
 
 
-def diff_exact(aligned: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+def diff_exact(aligned: DataFrame, scope=PROJECT_SCOPE) -> DataFrame:
     return _diff_rows(
         signature_count_change(aligned, scope), scope, "signature_changed", "key", "key",
         F.lit(P.SIGNATURE_CHANGE_CONFIDENCE),
@@ -101,14 +103,14 @@ def diff_exact(aligned: DataFrame, scope=FILE_SCOPE) -> DataFrame:
     )
 
 
-def diff_renamed(renames: DataFrame, scope=FILE_SCOPE) -> DataFrame:
+def diff_renamed(renames: DataFrame, scope=PROJECT_SCOPE) -> DataFrame:
     return _diff_rows(
         renames, scope, "signature_changed", "old_key", "new_key", F.col("score"),
         fill(P.RENAME_SENTENCE, F.col("old_name"), F.col("new_name")),
     )
 
 
-def diff_added(unmatched_new: DataFrame, renames: DataFrame | None = None, scope=FILE_SCOPE):
+def diff_added(unmatched_new: DataFrame, renames: DataFrame | None = None, scope=PROJECT_SCOPE):
     left = unmatched_new
     if renames is not None:
         taken = renames.select(*scope, F.col("new_key").alias("key"))
@@ -119,7 +121,7 @@ def diff_added(unmatched_new: DataFrame, renames: DataFrame | None = None, scope
     )
 
 
-def diff_removed(unmatched_old: DataFrame, renames: DataFrame | None = None, scope=FILE_SCOPE):
+def diff_removed(unmatched_old: DataFrame, renames: DataFrame | None = None, scope=PROJECT_SCOPE):
     left = unmatched_old
     if renames is not None:
         taken = renames.select(*scope, F.col("old_key").alias("key"))
@@ -138,7 +140,7 @@ def checkable_entities(entities: DataFrame) -> DataFrame:
 
 
 def signature_compat(
-    aligned: DataFrame, tolerance=P.PARAMETER_TOLERANCE, scope=FILE_SCOPE
+    aligned: DataFrame, tolerance=P.PARAMETER_TOLERANCE, scope=PROJECT_SCOPE
 ) -> DataFrame:
     """Whether each checkable function exists on both sides with a similar arity."""
 
