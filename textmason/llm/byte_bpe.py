@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 A pre-token is merged with a queue over merge ranks: one bucket of list positions per rank,
-and a bitmap of three levels whose lowest set bit is the next rank. Entries whose pair has
+and a bitmap of two levels whose lowest set bit is the next rank. Entries whose pair has
 changed are skipped when they come up, so a pre-token of n bytes takes n log n steps
 however long it is. Short pre-tokens are remembered in a table of bounded size.
 
@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import defaultdict
+import sys
+from array import array
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -26,56 +27,52 @@ from pyspark.sql import DataFrame
 from textmason.llm.common import small_bytes, texts
 
 #: Pre-tokens remembered per worker, and the longest of them in characters.
-MEMORY_TOKENS, MEMORY_CHARS = 1 << 18, 48
-WORD_BITS = 6
+MEMORY_TOKENS, MEMORY_CHARS = 3 << 18, 48
+#: A word of the bitmap has 2 ** WORD_BITS bits.
+WORD_BITS = 8
+_IN_WORD = (1 << WORD_BITS) - 1
+_BIT = [1 << k for k in range(1 << WORD_BITS)]
 _NONE = -1
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 class RankQueue:
-    """Buckets of positions by rank; the lowest rank comes first, in it the lowest position."""
+    """Buckets of positions by rank; the lowest rank comes first, in it the lowest position.
+
+    ``words`` has a bit for each rank with a bucket, ``top`` a bit for each word that isn't 0.
+    """
 
     def __init__(self, ranks: int):
-        self.levels = []
-        size = ranks
-        while True:
-            size = (size >> WORD_BITS) + 1
-            self.levels.append([0] * size)
-            if size == 1:
-                break
-        self.buckets: dict[int, list[int]] = defaultdict(list)
+        self.words = [0] * ((ranks >> WORD_BITS) + 1)
+        self.top = 0
+        self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if not bucket:
-            at = rank
-            for level in self.levels:
-                word, bit = at >> WORD_BITS, 1 << (at & 63)
-                occupied = level[word]
-                level[word] = occupied | bit
-                if occupied:
-                    break
-                at = word
-        heappush(bucket, position)
+        bucket = self.buckets.get(rank)
+        if bucket is not None:
+            heappush(bucket, position)
+            return
+        self.buckets[rank] = [position]
+        word = rank >> WORD_BITS
+        self.words[word] |= _BIT[rank & _IN_WORD]
+        self.top |= 1 << word
 
     def pop(self) -> tuple[int, int] | None:
-        if not self.levels[-1][0]:
+        top = self.top
+        if not top:
             return None
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            at = (at << WORD_BITS) | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[at]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            left = at
-            for level in self.levels:
-                word = left >> WORD_BITS
-                level[word] &= ~(1 << (left & 63))
-                if level[word]:
-                    break
-                left = word
-        return at, position
+        word = (top & -top).bit_length() - 1
+        ranks = self.words[word]
+        bit = ranks & -ranks
+        rank = (word << WORD_BITS) + bit.bit_length() - 1
+        bucket = self.buckets[rank]
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        self.words[word] = ranks = ranks ^ bit
+        if not ranks:
+            self.top = top ^ (1 << word)
+        return rank, bucket[0]
 
 
 class ByteBpe:
@@ -93,48 +90,51 @@ class ByteBpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, ranks, queue = len(piece), self.ranks, self.queue
+        n, rank_of, queue = len(piece), self.ranks.get, self.queue
+        push, pop = queue.push, queue.pop
         after = list(range(1, n + 1))  # first byte of the next part; n ends the list
         before = list(range(-1, n - 1))
-        pair = [ranks.get(piece[k : k + 2], _NONE) for k in range(n - 1)] + [_NONE]
+        pair = [rank_of(piece[k : k + 2], _NONE) for k in range(n - 1)]
+        pair.append(_NONE)
         for position, rank in enumerate(pair):
             if rank != _NONE:
-                queue.push(rank, position)
-        while (found := queue.pop()) is not None:
+                push(rank, position)
+        while (found := pop()) is not None:
             rank, left = found
             if pair[left] != rank:
                 continue  # the pair has changed since
             right = after[left]
             pair[right] = _NONE
-            end = after[right]
-            after[left] = end
+            after[left] = end = after[right]
             if end < n:
                 before[end] = left
-                changed = [left]
-                pair[left] = ranks.get(piece[left : after[end]], _NONE)
+                pair[left] = new = rank_of(piece[left : after[end]], _NONE)
+                if new != _NONE:
+                    push(new, left)
             else:
-                changed = []
                 pair[left] = _NONE
             previous = before[left]
             if previous >= 0:
-                pair[previous] = ranks.get(piece[previous:end], _NONE)
-                changed.append(previous)
-            for position in changed:
-                if pair[position] != _NONE:
-                    queue.push(pair[position], position)
+                pair[previous] = new = rank_of(piece[previous:end], _NONE)
+                if new != _NONE:
+                    push(new, previous)
         out, at = [], 0
         while at < n:
-            out.append(ranks[piece[at : after[at]]])
+            out.append(self.ranks[piece[at : after[at]]])
             at = after[at]
         return out
 
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         known, out = self.known, []
         for token in self.pattern.findall(text):
             ids = known.get(token)
             if ids is None:
-                ids = np.array(self.merge(token.encode("utf-8")), "<u4").tobytes()
+                ids = self._packed(self.merge(token.encode("utf-8")))
                 if len(token) <= MEMORY_CHARS:
                     if len(known) >= MEMORY_TOKENS:
                         known.clear()
