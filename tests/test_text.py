@@ -376,3 +376,21 @@ def test_call_arguments(files):
         ("timeout", "expr", "30 * 1000"), ("json", "const", "'payload'"),
         ("n", "expr", "None * 2"), ("other", "expr", "x.y"),
     }
+
+
+def test_an_empty_catalogue_plans_one_generic_change(files):
+    from textmason.operators.evidence import plan_operations
+    from textmason.operators.rules import RuleBook, match_rules
+
+    rows = files({"a.py": "import requests\nrequests.get(u, timeout=5)\n"})
+    assert match_rules(rows, RuleBook(())).count() == 0
+    plan = plan_operations(rows, RuleBook(()), F.lit("2024-01-01").cast("timestamp")).first()
+    assert [c.type for c in plan.changes] == ["api_migration"] and plan.certificate is None
+
+
+def test_dotted_names_leave_out_what_is_no_name(files):
+    from textmason.operators.nodes import extract_calls, syntax_nodes
+
+    code = "a.b.c(1)\nf().x.y(2)\n(p or q).z()\n[1][0]()\nlambda: g()\nh(k.m(), n=o.r())\n"
+    found = extract_calls(syntax_nodes(files({"a.py": code + "def f(): pass\n"}))).collect()
+    assert sorted(r.called for r in found) == ["a.b.c", "f", "g", "h", "k.m", "o.r", "x.y", "z"]

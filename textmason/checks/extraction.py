@@ -79,7 +79,8 @@ def js_functions(spark, sf_dir):
 @query("dedup_first_wins", SCRIPTS_SQL + """
 SELECT project_id, path, name, pass, position, params FROM firsts WHERE nth = 1""")
 def dedup_first_wins(spark, sf_dir):
-    hits = extract.js_function_hits(_scripts(spark, sf_dir))
+    found = extract.js_function_hits(F.col("content"))
+    hits = _scripts(spark, sf_dir).select(*extract.KEYS, F.inline(found))
     kept = extract.dedup_first_wins(
         hits, (*extract.KEYS, "name"), F.struct("pass", "position")
     )

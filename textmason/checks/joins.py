@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmason.checks import inputs as I
 from textmason.checks.registry import query
+from textmason.functions.patterns import ROLLBACK_STRATEGIES
 from textmason.functions.similarity import score_names
 from textmason.operators import diff, rollups, snapshots
 from textmason.operators import rename
@@ -234,3 +238,41 @@ def rollback_full(spark, sf_dir):
     return snapshots.rollback_full(files, manifest).select(
         "project_id", "snapshot_id", "path", F.sha2("content", 256).alias("content_hash")
     )
+
+
+_FAILED = "CASE WHEN length(content) % 3 = 0 THEN 'FAILED' ELSE 'completed' END"
+
+
+@query("rollback_strategies", I.FILES_SQL + f"""
+SELECT 'full_rollback' AS strategy, project_id, snapshot_id, path FROM files
+WHERE snapshot_id = 1 AND project_id % 2 = 0
+UNION ALL
+SELECT 'partial_rollback', project_id, snapshot_id, path FROM files
+WHERE snapshot_id = 2 AND {_FAILED} <> 'FAILED'
+UNION ALL
+SELECT strategy, project_id, snapshot_id, path
+FROM files, (VALUES ('manual_verification'), ('selective_rollback')) s(strategy) WHERE snapshot_id = 2
+UNION ALL
+SELECT DISTINCT 'backups left', project_id, 2, NULL FROM files WHERE FALSE""")
+def rollback_strategies(spark, sf_dir):
+    """Version 2 rolled back by each strategy; a full one leaves no backup behind."""
+    files = I.corpus(spark, sf_dir)
+    operations = files.filter("snapshot_id = 2").select(
+        "project_id", "path", F.expr(_FAILED).alias("status")
+    )
+    manifest = files.select("project_id").distinct().select(
+        "project_id", F.lit(2).alias("snapshot_id"),
+        F.when(F.col("project_id") % 2 == 0, 1).alias("backup_snapshot_id"),
+    )
+    found = [
+        snapshots.rollback(strategy, files, 2, manifest, operations)
+        .select(F.lit(strategy).alias("strategy"), "project_id", "snapshot_id", "path")
+        for strategy in ROLLBACK_STRATEGIES
+    ]
+    left = snapshots.consume_backup(manifest, snapshots.rollback_full(files, manifest)).filter(
+        "backup_snapshot_id IS NOT NULL"
+    ).select(
+        F.lit("backups left").alias("strategy"), "project_id", "snapshot_id",
+        F.lit(None).cast("string").alias("path"),
+    )
+    return reduce(DataFrame.unionByName, [*found, left])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmason.checks import inputs as I
@@ -11,6 +14,8 @@ from textmason.functions.similarity import multiset_jaccard as jaccard
 from textmason.operators import rollups
 from textmason.operators.nodes import extract_entities
 from textmason.plans.migration import run_migration as migrate
+from textmason.session import cut_lineage, scratch_dir
+from textmason.sources import tables
 
 _PER_FILE_SQL = I.MATCHES_SQL + """,
 per_file AS (
@@ -113,6 +118,83 @@ def run_migration(spark, sf_dir):
     )
 
 
+_OTHERS = """CASE WHEN o_orderkey % 2 = 0 THEN concat('docs/r_', cast(o_orderkey as string), '.md')
+  ELSE concat('src/f_', cast(o_orderkey as string), '.cfg') END"""
+
+
+# Twice: the second snapshot replaces the first, which its manifest names.
+@query("run_migration_executed", _PER_FILE_SQL + f""",
+found AS (
+  SELECT project_id, module, name, count(*) AS n FROM (
+    SELECT project_id, path, module, fn AS name FROM items WHERE snapshot_id = 1 AND path LIKE '%.py'
+    UNION ALL
+    SELECT DISTINCT project_id, path, module, fn FROM items WHERE snapshot_id = 1 AND path LIKE '%.js')
+  GROUP BY ALL)
+SELECT 'snapshot' AS section, project_id, path AS name,
+       concat('completed ', sha256({I.rewrite_steps_sql("content")})) AS value FROM v1
+UNION ALL
+SELECT 'snapshot', o_custkey % 50, {_OTHERS}, concat('copied ', sha256(o_orderpriority)) FROM orders
+UNION ALL
+SELECT DISTINCT 'manifest', project_id, '2', '1' FROM v1
+UNION ALL
+SELECT 'project', project_id, concat('project ', project_id), concat(count(*), ' ', count(*))
+FROM v1 GROUP BY project_id
+UNION ALL
+SELECT 'operations', project_id, path, concat('completed ', greatest(coalesce(n, 0), 1)) FROM planned
+UNION ALL
+SELECT 'api_entities', project_id, concat(module, '.', name), cast(n as string) FROM found""")
+def run_migration_executed(spark, sf_dir):
+    """An executing run of every project: stored files, manifest and all report sections."""
+    files = cut_lineage(I.corpus(spark, sf_dir, 1))
+    orders = I.table(spark, sf_dir, "orders")
+    others = orders.select(
+        (F.col("o_custkey") % 50).alias("project_id"), F.expr(_OTHERS).alias("path"),
+        F.col("o_orderpriority").alias("content"),
+    )
+    nothing = F.lit(None)
+    projects = files.select("project_id").distinct().select(
+        "project_id", F.concat(F.lit("project "), F.col("project_id").cast("string")).alias("name"),
+        nothing.cast("string").alias("source_path"), nothing.cast("string").alias("target_path"),
+        I.issued_at().alias("created_at"), F.lit("done").alias("status"),
+        I.issued_at().alias("completed_at"),
+    )
+    root, report = scratch_dir(spark, "target"), scratch_dir(spark, "report")
+    for snapshot in (1, 2):
+        run = migrate(
+            files, I.issued_at(), dry_run=False, target_root=root, snapshot_id=snapshot,
+            report_path=report, projects=projects, others=others,
+        )
+    text = lambda *parts: F.concat_ws(" ", *[p.cast("string") for p in parts])
+    summary = F.col("transformation_summary")
+    stored = tables.read_snapshots(spark, root).filter("snapshot_id = 2")
+    entities = tables.read_report(spark, report, "api_entities")
+    rows = {
+        "snapshot": stored.select(
+            "project_id", F.col("path").alias("name"),
+            text(F.col("status"), F.sha2("content", 256)).alias("value"),
+        ),
+        "manifest": run.manifest.select(
+            "project_id", F.col("snapshot_id").cast("string").alias("name"),
+            F.col("backup_snapshot_id").cast("string").alias("value"),
+        ),
+        "project": tables.read_report(spark, report, "project").select(
+            "project_id", F.col("project_info.name").alias("name"),
+            text(summary["total_operations"], summary["completed_operations"]).alias("value"),
+        ),
+        "operations": tables.read_report(spark, report, "operations").select(
+            "project_id", F.col("file").alias("name"),
+            text(F.col("status"), F.col("changes_count")).alias("value"),
+        ),
+        "api_entities": entities.groupBy(
+            "project_id", F.concat_ws(".", "module", "name").alias("name")
+        ).agg(F.count("*").cast("string").alias("value")),
+    }
+    return reduce(DataFrame.unionByName, [
+        found.select(F.lit(section).alias("section"), "project_id", "name", "value")
+        for section, found in rows.items()
+    ])
+
+
 @query("test_rollup", I.RESULTS_SQL + " SELECT * FROM rollup")
 def test_rollup(spark, sf_dir):
     return rollups.test_rollup(I.test_results(spark, sf_dir))

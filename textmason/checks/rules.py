@@ -8,6 +8,7 @@ from textmason.checks import inputs as I
 from textmason.checks.registry import query
 from textmason.checks.scans import planned
 from textmason.operators import evidence, rewrite
+from textmason.operators.nodes import call_arguments, syntax_nodes
 from textmason.operators import rules as R
 
 
@@ -135,6 +136,26 @@ def add_pattern(spark, sf_dir):
     return R.apply_patterns(I.call_args(spark, sf_dir), patterns)
 
 
+# Calls of the three Python snippets of version 1, keyword by keyword.
+@query("keyword_patterns", I.V1_SQL.replace(", v1 AS", """, calls AS (
+  SELECT project_id, path, snippet, l_partkey % 3 AS kind, """ + I.QTY + """ AS qty FROM items
+  WHERE snapshot_id = 1 AND path LIKE '%.py'), v1 AS""") + """
+SELECT project_id, path, 'json' AS kw, 'expr' AS value_kind,
+       CASE kind WHEN 0 THEN 'json.dumps(body)' ELSE 'body' END AS value
+FROM calls WHERE kind <> 1
+UNION ALL
+SELECT project_id, path, 'timeout', 'expr',
+       CASE kind WHEN 0 THEN concat(qty, ' * 1000') WHEN 1 THEN concat(qty, '0 * 1000')
+                 ELSE '30 * 1000' END FROM calls""")
+def keyword_patterns(spark, sf_dir):
+    """The default patterns on the keyword arguments of parsed calls."""
+    arguments = call_arguments(syntax_nodes(I.corpus(spark, sf_dir, 1)))
+    patterns = [R.scale_keyword("timeout", 1000), R.rename_keyword("data", "json")]
+    return R.apply_patterns(arguments, patterns).select(
+        "project_id", "path", "kw", "value_kind", "value"
+    )
+
+
 @query("plan_changes", I.MATCHES_SQL + """
 SELECT v1.project_id, v1.path,
        coalesce(row_number() OVER (PARTITION BY v1.project_id, v1.path

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmason.checks import inputs as I
@@ -17,13 +20,13 @@ from textmason.sources import tables
 
 # Some names start with "_" or ".", which Spark's own file sources would skip.
 TREE_PATH = """CASE l_orderkey % 10
-  WHEN 0 THEN replace(path, 'src/f_', 'src/_f_') WHEN 1 THEN replace(path, 'src/f_', 'src/.f_')
+  WHEN 0 THEN replace(path, 'src/f_', 'src/_f_') WHEN 5 THEN replace(path, 'src/f_', 'src/.f_')
   WHEN 2 THEN replace(path, 'src/f_', concat('src/d', cast(l_orderkey % 7 as string), '/f_'))
   ELSE path END"""
 
 
 def _tree(spark, sf_dir, path=TREE_PATH):
-    order = F.regexp_extract("path", r"f_(\d+)", 1).cast("bigint")
+    order = F.regexp_extract("path", r"_(\d+)", 1).cast("bigint")
     files = I.corpus(spark, sf_dir, 1).withColumn("l_orderkey", order)
     return files.withColumn("path", F.expr(path))
 
@@ -37,18 +40,24 @@ def scan_corpus(spark, sf_dir):
     return found.select("path", F.sha2("content", 256).alias("content_hash"))
 
 
-@query("scan_single_file", I.V1_SQL + """
-SELECT concat(path, '.txt') AS path, sha256(content) AS content_hash FROM v1""")
+@query("scan_single_file", """
+SELECT concat(source, '.txt') AS path,
+       sha256(string_agg(cast(doc_id as string), chr(10) ORDER BY doc_id)) AS content_hash
+FROM documents GROUP BY source""")
 def scan_single_file(spark, sf_dir):
-    """Each file is named and opened by itself; its suffix does not matter."""
+    """One file per source, each named and opened by itself; its suffix does not matter."""
     root = scratch_dir(spark, "single")
-    files = I.corpus(spark, sf_dir, 1).withColumn("path", F.concat("path", F.lit(".txt")))
-    written = tree.write_tree(files, root)
-    uri = F.concat(F.lit(f"{root}/"), "path")
-    paths = written.select(uri.alias("uri"), "path", F.lit(0).alias("size"))
-    return tree.readable(tree.read_paths(paths)).select(
-        "path", F.sha2("content", 256).alias("content_hash")
+    listed = F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), "\n")
+    rows = I.table(spark, sf_dir, "documents").groupBy("source").agg(listed.alias("content"))
+    files = rows.select(
+        F.lit(0).cast("bigint").alias("project_id"), F.concat("source", F.lit(".txt")).alias("path"),
+        "content",
+    )
+    names = [r.path for r in tree.write_tree(files, root).select("path").collect()]
+    found = reduce(
+        DataFrame.unionByName, [tree.scan_single_file(spark, f"{root}/{name}") for name in names]
     )
+    return tree.readable(found).select("path", F.sha2("content", 256).alias("content_hash"))
 
 
 @query("scan_files_table", r"""

@@ -43,11 +43,11 @@ def dedup_first_wins(hits: DataFrame, keys: tuple[str, ...], order: Column) -> D
     return hits.groupBy(*keys).agg(first).select(*keys, "first.*")
 
 
-def js_function_hits(files: DataFrame) -> DataFrame:
+def js_function_hits(content: Column) -> Column:
     """Hits of the three passes, numbered (pass, position), before deduplication."""
     def hits(number: int, pattern: str) -> Column:
         return F.transform(
-            _groups(F.col("content"), pattern, "name", "params"),
+            _groups(content, pattern, "name", "params"),
             lambda group, position: F.struct(
                 F.lit(number).alias("pass"),
                 position.alias("position"),
@@ -57,14 +57,23 @@ def js_function_hits(files: DataFrame) -> DataFrame:
         )
 
     passes = (P.JS_ASYNC_FUNCTION, P.JS_PLAIN_FUNCTION, P.JS_ARROW_FUNCTION)
-    found = F.concat(*[hits(number, pattern) for number, pattern in enumerate(passes)])
-    return files.select(*KEYS, F.inline(found))
+    return F.concat(*[hits(number, pattern) for number, pattern in enumerate(passes)])
+
+
+def first_of_each_name(hits: Column) -> Column:
+    """The first element of every name in an array; a file's hits never leave its row."""
+    def among(found: Column) -> Column:
+        names = F.array(F.transform(found, lambda hit: hit["name"]))
+        return F.flatten(F.transform(names, lambda known: F.filter(
+            found, lambda hit, at: F.array_position(known, hit["name"]) == at + 1
+        )))
+
+    return F.flatten(F.transform(F.array(hits), among))
 
 
 def js_functions(files: DataFrame) -> DataFrame:
-    hits = dedup_first_wins(
-        js_function_hits(files), (*KEYS, "name"), F.struct("pass", "position")
-    )
+    found = first_of_each_name(js_function_hits(F.col("content")))
+    hits = files.select(*KEYS, F.inline_outer(found)).filter(F.col("name").isNotNull())
     order = F.col("pass").cast("long") * (1 << 32) + F.col("position")
     return _as_entities(hits, order, "javascript", split_params(F.col("params")))
 

@@ -156,6 +156,13 @@ def replacement_text(matched: Column, rule: Rule) -> Column:
     return F.regexp_replace(matched, java_pattern(rule.pattern), java_replacement(rule.replacement))
 
 
+MATCHES = (
+    "ARRAY<STRUCT<rule_ord: INT, match_ord: INT, rule_name: STRING, rule_type: STRING, "
+    "description: STRING, proof_obligation: STRING, matched: STRING, replacement: STRING, "
+    "confidence: DOUBLE>>"
+)
+
+
 def matches_of(content: Column, book: RuleBook) -> Column:
     """All hits of all rules in rule order, then position, as one array."""
 
@@ -180,7 +187,8 @@ def matches_of(content: Column, book: RuleBook) -> Column:
             ),
         )
 
-    return F.concat(*[hits(i, rule) for i, rule in enumerate(book.rules)])
+    none = F.array().cast(MATCHES)
+    return F.concat(none, *[hits(i, rule) for i, rule in enumerate(book.rules)])
 
 
 def match_rules(files: DataFrame, book: RuleBook, keys=("project_id", "path")) -> DataFrame:

@@ -17,7 +17,8 @@ from textmason.operators.rollups import (
 )
 from textmason.operators.rules import RuleBook
 from textmason.operators.snapshots import backup_manifest
-from textmason.session import cut_lineage
+from textmason.session import cut_lineage, forget
+from textmason.sources.files import readable
 from textmason.sources.tables import read_snapshots, write_report, write_snapshot
 
 
@@ -45,24 +46,29 @@ def select_project(files: DataFrame, project_id: int) -> DataFrame:
 def run_migration(
     files: DataFrame, issued_at: Column, book: RuleBook | None = None, dry_run: bool = True,
     target_root: str | None = None, snapshot_id: int = 1, report_path: str | None = None,
-    projects: DataFrame | None = None,
+    projects: DataFrame | None = None, others: DataFrame | None = None,
 ) -> Migration:
     """Run every step.
 
-    Parsed entities are stored once and shared. So are the operations: with their texts in
-    the target snapshot, or, in a dry run, without any text.
+    ``files`` are the files to migrate, unreadable ones included; ``others`` are carried into
+    the target unchanged. The files are stored once, read by each step, and deleted at the
+    end. Parsed entities, counts and operations are stored too: operations with their texts
+    in the target snapshot, or, in a dry run, without any text.
     """
     if not dry_run and target_root is None:
         raise ValueError("target_root is needed unless dry_run is set")
-    entities = cut_lineage(extract_entities(files))
+    files = cut_lineage(files)
+    entities = cut_lineage(extract_entities(readable(files)))
     operations = plan_operations(files, book or RuleBook(), issued_at)
     manifest = None
     if dry_run:
         operations = cut_lineage(operations.drop("original", "rewritten"))
     else:
-        operations = write_snapshot(operations, target_root, snapshot_id)
+        operations = write_snapshot(operations, target_root, snapshot_id, others)
         written = read_snapshots(files.sparkSession, target_root)
         manifest = backup_manifest(written).filter(F.col("snapshot_id") == snapshot_id)
+    analysis = cut_lineage(project_analysis(files, entities))
+    forget(files)
     summary = report_summary(operations)
     if report_path is not None:
         if projects is None:
@@ -70,7 +76,7 @@ def run_migration(
         write_report(report_path, projects, summary, operations, entities)
     return Migration(
         entities=entities,
-        analysis=project_analysis(files, entities),
+        analysis=analysis,
         operations=operations,
         execution=execution_summary(operations, dry_run),
         summary=summary,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmason.operators.snapshots import passthrough
+
 PROOF = (
     "STRUCT<rule_name: STRING, confidence: DOUBLE, proof_obligation: STRING, "
     "matched_code: STRING, replacement_code: STRING>"
@@ -41,9 +43,14 @@ SECTIONS = {
 }
 
 
-def write_snapshot(operations: DataFrame, root: str, snapshot_id: int) -> DataFrame:
+def write_snapshot(
+    operations: DataFrame, root: str, snapshot_id: int, others: DataFrame | None = None
+) -> DataFrame:
     """Store rewritten files and their evidence as one immutable snapshot.
 
+    ``others`` (project_id, path, content) are carried unchanged, with status ``copied``, where
+    no operation has their path; they are no operations.
+
     Returns the executed operations as stored: texts are written once and later steps
     read only the columns they need. Writing the same snapshot again replaces it, so a
     rerun does not duplicate rows. A row that cannot be written is marked, not raised.
@@ -58,6 +65,14 @@ def write_snapshot(operations: DataFrame, root: str, snapshot_id: int) -> DataFr
         F.when(failed, F.coalesce("error", F.lit("no text to write"))).alias("error"),
         "certificate",
     )
+    if others is not None:
+        known = {f.name: f.dataType for f in rows.schema}
+        carried = passthrough(others, operations)
+        given = {"project_id": F.col("project_id"), "path": F.col("path"),
+                 "content": F.col("content"), "status": F.lit("copied"), "opportunity": F.lit(False)}
+        rows = rows.unionByName(carried.select(*(
+            given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in known.items()
+        )))
     (
         rows.hint("rebalance", "project_id")
         .sortWithinPartitions("project_id", "path")
@@ -65,7 +80,7 @@ def write_snapshot(operations: DataFrame, root: str, snapshot_id: int) -> DataFr
         .parquet(f"{root}/snapshot_id={snapshot_id}")
     )
     return read_snapshots(operations.sparkSession, root).filter(
-        F.col("snapshot_id") == snapshot_id
+        (F.col("snapshot_id") == snapshot_id) & (F.col("status") != "copied")
     )
 
 
@@ -76,7 +91,7 @@ def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
 
 def snapshot_files(spark: SparkSession, root: str, snapshot_id: int) -> DataFrame:
     rows = read_snapshots(spark, root).filter(
-        (F.col("snapshot_id") == snapshot_id) & (F.col("status") == "completed")
+        (F.col("snapshot_id") == snapshot_id) & F.col("status").isin("completed", "copied")
     )
     return rows.select("project_id", "snapshot_id", "path", "content")
 
