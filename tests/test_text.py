@@ -394,3 +394,14 @@ def test_dotted_names_leave_out_what_is_no_name(files):
     code = "a.b.c(1)\nf().x.y(2)\n(p or q).z()\n[1][0]()\nlambda: g()\nh(k.m(), n=o.r())\n"
     found = extract_calls(syntax_nodes(files({"a.py": code + "def f(): pass\n"}))).collect()
     assert sorted(r.called for r in found) == ["a.b.c", "f", "g", "h", "k.m", "o.r", "x.y", "z"]
+
+
+def test_queries_over_nodes_parse_once(files):
+    rows = files({"a.py": "x = y = 1\nz = [f()]\nx = 'a'\nimport os\n"})
+    for found in (
+        nodes.infer_variable_types(nodes.syntax_nodes(rows)),
+        nodes.semantic_context(rows, nodes.syntax_nodes(rows)),
+    ):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+    assert found.first().variable_types == {"x": "str", "y": "int", "z": "list"}

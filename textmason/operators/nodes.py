@@ -21,6 +21,7 @@ from textmason.functions.text import detect_language, module_name
 from textmason.operators.extract import (
     ENTITY_COLUMNS,
     KEYS,
+    first_of_each_name,
     js_functions,
     pattern_functions,
     pattern_params,
@@ -325,62 +326,92 @@ def extract_control_flow(nodes: DataFrame) -> DataFrame:
     )
 
 
-def infer_variable_types(nodes: DataFrame) -> DataFrame:
-    """Type of each simply assigned name; the last assignment in visiting order wins."""
+def _inferred() -> Column:
+    """Type of an assigned value, as far as its node tells it."""
     node_type = F.col("node_type")
-    inferred = (
+    return (
         F.when(node_type == "Constant", F.col("const_type"))
         .when(node_type.isin("Dict", "List", "Tuple", "Set"), F.lower(node_type))
         .when(node_type == "Call", F.col("name"))
     )
-    assigned = nodes.filter(F.col("parent_type") == "Assign")
-    values = assigned.filter((F.col("field") == "value") & inferred.isNotNull()).select(
-        *KEYS, "parent_pre", inferred.alias("var_type")
+
+
+def _is_value() -> Column:
+    return (F.col("parent_type") == "Assign") & (F.col("field") == "value") & _inferred().isNotNull()
+
+
+def _is_target() -> Column:
+    return (
+        (F.col("parent_type") == "Assign") & (F.col("field") == "targets")
+        & (F.col("node_type") == "Name")
     )
-    targets = assigned.filter((F.col("field") == "targets") & (node_type == "Name")).select(
-        *KEYS, "parent_pre", "parent_bfs", "pos", F.col("name").alias("variable")
+
+
+def infer_variable_types(nodes: DataFrame) -> DataFrame:
+    """Type of each simply assigned name; the last assignment in visiting order wins.
+
+    Both sides of an assignment are read in one pass and meet in one grouping.
+    """
+    target = F.struct("parent_bfs", "pos", F.col("name").alias("variable"))
+    assigned = (
+        nodes.filter(_is_value() | _is_target())
+        .groupBy(*KEYS, "parent_pre")
+        .agg(
+            F.max(F.when(_is_value(), _inferred())).alias("var_type"),
+            F.collect_list(F.when(_is_target(), target)).alias("targets"),
+        )
+        .filter(F.col("var_type").isNotNull())
     )
     return (
-        targets.join(values, [*KEYS, "parent_pre"])
+        assigned.select(*KEYS, "var_type", F.inline("targets"))
         .groupBy(*KEYS, "variable")
         .agg(F.max_by("var_type", F.struct("parent_bfs", "pos")).alias("var_type"))
     )
 
 
 def semantic_context(files: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per parsed file with its variable types, calls, imports and constructs."""
-
-    def listed(rows: DataFrame, value: str, *order: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct(*order, value)))
-        return rows.groupBy(*KEYS).agg(
-            F.transform(ordered, lambda s: s[value]).alias(value)
-        )
+    """One row per parsed file with its variable types, calls, imports and constructs.
 
-    types = infer_variable_types(nodes).groupBy(*KEYS).agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("variable", "var_type")))
-        ).alias("variable_types")
+    The nodes are read once and grouped by file.
+    """
+    node_type, name = F.col("node_type"), F.col("name")
+
+    def listed(hit: Column, value: Column, *order: Column) -> Column:
+        places = [place.alias(f"place{k}") for k, place in enumerate(order)]
+        found = F.array_sort(F.collect_list(F.when(hit, F.struct(*places, value.alias("value")))))
+        return F.transform(found, lambda s: s["value"])
+
+    plain = (node_type == "alias") & (F.col("parent_type") == "Import")
+    source = (node_type == "ImportFrom") & name.isNotNull()
+    per_file = nodes.groupBy(*KEYS).agg(
+        F.max(node_type == "Module").alias("parsed"),
+        listed((node_type == "Call") & name.isNotNull(), name, F.col("bfs")).alias("function_calls"),
+        listed(
+            plain | source, name, F.when(plain, F.col("parent_bfs")).otherwise(F.col("bfs")),
+            F.when(plain, F.col("pos")).otherwise(0),
+        ).alias("imports"),
+        listed(node_type.isin(*P.CONTROL_FLOW_NODES), node_type, F.col("bfs")).alias("control_flow"),
+        F.map_from_entries(F.collect_list(
+            F.when(_is_value(), F.struct("parent_pre", _inferred().alias("var_type")))
+        )).alias("types"),
+        F.collect_list(F.when(_is_target(), F.struct("parent_bfs", "pos", "parent_pre", "name"))).alias("targets"),
     )
-    none = F.array().cast("array<string>")
-    parsed = nodes.filter((F.col("node_type") == "Module")).select(*KEYS)
-    joined = files.select(*KEYS, "content").join(parsed, list(KEYS), "left_semi")
-    for part in (
-        types,
-        listed(extract_calls(nodes), "called", "bfs"),
-        listed(extract_imports(nodes), "imported", "bfs", "pos"),
-        listed(extract_control_flow(nodes), "construct", "bfs"),
-    ):
-        joined = joined.join(part, list(KEYS), "left")
-    return joined.select(
-        *KEYS,
-        F.coalesce(
-            "variable_types", F.create_map().cast("map<string,string>")
-        ).alias("variable_types"),
-        F.coalesce("called", none).alias("function_calls"),
-        F.coalesce("imported", none).alias("imports"),
-        F.regexp_replace("content", r"(?U)^\s+|\s+$", "").alias("surrounding_code"),
-        F.coalesce("construct", none).alias("control_flow"),
-        F.create_map().cast("map<string,string>").alias("data_flow"),
+    typed = F.transform("targets", lambda t: F.struct(
+        (-t["parent_bfs"]).alias("later"), (-t["pos"]).alias("place"), t["name"].alias("name"),
+        F.col("types")[t["parent_pre"]].alias("var_type"),
+    ))
+    last = first_of_each_name(F.array_sort(F.filter(typed, lambda t: t["var_type"].isNotNull())))
+    types = F.map_from_entries(F.array_sort(
+        F.transform(last, lambda t: F.struct(t["name"].alias("key"), t["var_type"].alias("value")))
+    ))
+    return (
+        files.select(*KEYS, "content").join(per_file.filter("parsed"), list(KEYS))
+        .select(
+            *KEYS, types.alias("variable_types"), "function_calls", "imports",
+            F.regexp_replace("content", r"(?U)^\s+|\s+$", "").alias("surrounding_code"),
+            "control_flow",
+            F.create_map().cast("map<string,string>").alias("data_flow"),
+        )
     )
 
 
