@@ -54,16 +54,22 @@ def main() -> None:
         stored["files"] = cut_lineage(I.corpus(spark, sf_dir))
 
     timed("ingest", ingest)
+
+    def ingest_versions():
+        stored["versions"] = cut_lineage(I.corpus(spark, sf_dir, project=I.SMALL))
+
+    timed("ingest_versions", ingest_versions)
     files = stored["files"]
-    old, new = files.filter("snapshot_id = 1"), files.filter("snapshot_id = 2")
+    first, second = (stored["versions"].filter(f"snapshot_id = {v}") for v in (1, 2))
+    old = files.filter("snapshot_id = 1")
     content, book = F.col("content"), rules.RuleBook()
 
     def pattern_versions():
-        return tuple(diff.dedup_last_wins(I.pattern_entities(v)) for v in (old, new))
+        return tuple(diff.dedup_last_wins(I.pattern_entities(v)) for v in (first, second))
 
     def store_entities():
-        stored["old"] = cut_lineage(nodes.extract_entities(old))
-        stored["new"] = cut_lineage(nodes.extract_entities(new))
+        stored["old"] = cut_lineage(nodes.extract_entities(first))
+        stored["new"] = cut_lineage(nodes.extract_entities(second))
 
     def unmatched():
         sides = (diff.dedup_last_wins(stored[v]) for v in ("old", "new"))
@@ -92,7 +98,7 @@ def main() -> None:
     timed("extract_api_usage", lambda: extract.extract_api_usage(files, "requests"))
     timed("syntax_nodes", lambda: nodes.syntax_nodes(old))
     timed("extract_entities", store_entities)
-    timed("project_analysis", lambda: rollups.project_analysis(old, stored["old"]))
+    timed("project_analysis", lambda: rollups.project_analysis(first, stored["old"]))
     timed("diff_exact", lambda: diff.diff_exact(diff.align(*pattern_versions())))
     timed("rename_match", lambda: rename.rename_match(*unmatched()))
     timed("diff_versions", lambda: diff_versions(stored["old"], stored["new"]))
