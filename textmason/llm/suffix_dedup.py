@@ -108,7 +108,8 @@ def _samples(data: np.ndarray, edges: np.ndarray, length: int):
         at = (least[starts - begin] & _LOW).astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         final = np.concatenate((new[1:], [len(starts)])) - 1
-        yield grams[at[new]], at[new] + begin, starts[new], starts[final]
+        # least hashes are small ones: spread them again, for even buckets
+        yield mix64(grams[at[new]]), at[new] + begin, starts[new], starts[final]
 
 
 def _sampled(data, edges, length):
