@@ -39,6 +39,9 @@ LENGTH = 100
 GRAM = 32
 #: Positions sampled at once, which bounds the memory of a very long text.
 STEP = 1 << 20
+#: Bytes of text in a block of documents, on average, and for each bucket of samples; their
+#: number follows the input, so that a block has some samples for each bucket.
+BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 8
 #: A sample seen so often is sent by its whole strings.
 FREQUENT = 4096
 _LOW = np.uint64(0xFFFFFFFF)
@@ -406,8 +409,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: bool = False) -
         raise ValueError(f"length must be from {GRAM + 1} to 255")
     spark = docs.sparkSession
     count = partitions(spark)
-    buckets = blocks = 4 * count
     rows = texts(docs, carry=carry)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
     if carry:
         rows = rows.withColumn("rest", F.col("rest").dropFields("text"))
     dealt = (
