@@ -36,8 +36,8 @@ from textmason.llm.components import components
 from textmason.session import cut_lineage, forget
 
 WORDS, PERCENT = 5, 80
-#: A block of documents is closed beyond so many shingles.
-BLOCK_SHINGLES = 1 << 21
+#: A block of documents is closed beyond so many shingles, or sets.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 21, 1 << 16
 #: From so many sets of a block on, a shingle is counted in the block.
 FREQUENT = 64
 #: Members of a group, on average at most; queries of a group answered in one part.
@@ -123,7 +123,7 @@ def _block_rows(block: int, sets: list, buckets: int) -> list[tuple]:
     digests, firsts, tokens = zip(*sets)
     sizes = np.array([len(t) for t in tokens], np.int64)
     values = np.concatenate(tokens)
-    owner = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+    owner = np.repeat(np.arange(len(sets)).astype(np.uint16), sizes)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     starts, lengths = _runs(values)
@@ -179,7 +179,8 @@ def _ordered_sets(block: int, rows: list[tuple], percent: int):
         if kind == _SETS:
             sets = (digests, firsts, sizes)
         elif kind == _PLACES:
-            places = (np.frombuffer(tokens, np.uint64), np.frombuffer(numbers, np.uint32))
+            owner = np.frombuffer(numbers, np.uint16).astype(np.uint32)
+            places = (np.frombuffer(tokens, np.uint64), owner)
         else:
             both = np.frombuffer(numbers, np.uint32).reshape(-1, 2)
             values.append(np.frombuffer(tokens, np.uint64))
@@ -235,7 +236,7 @@ def token_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
                 for digest, first, text in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns)):
                     held.append((digest, first, shingler.set_of(text.encode("utf-8"))))
                     size += len(held[-1][2])
-                    if size >= BLOCK_SHINGLES:
+                    if size >= BLOCK_SHINGLES or len(held) == BLOCK_SETS:
                         yield _packed(_block_rows(part << 10 | blocks, held, buckets))
                         held, size, blocks = [], 0, blocks + 1
         if held:
@@ -249,7 +250,8 @@ def token_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
                     yield _packed([row])
                 else:
                     tokens.append(np.frombuffer(row[3], np.uint64))
-                    numbers.append(np.frombuffer(row[4], np.uint32))
+                    kind = np.uint32 if row[2] == _FREQUENT else np.uint16
+                    numbers.append(np.frombuffer(row[4], kind).astype(np.uint32))
                     blocks.append(row[1])
                     kinds.append(row[2])
         if tokens:
@@ -356,31 +358,43 @@ def group_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             nodes, sizes, tokens, fronts, parts, groups = (c.to_pylist() for c in batch.columns)
             firsts = [np.frombuffer(t, np.int64)[:f] for t, f in zip(tokens, fronts)]
             lengths = [len(f) for f in firsts]
+            # at most so many shingles are common if this is the first common one
+            left = [len(t) // 8 - np.arange(f) for t, f in zip(tokens, lengths)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(firsts) if firsts else [], pa.int64())]
+                [pa.array(np.concatenate(c).astype(np.int64) if c else [], pa.int64()) for c in (firsts, left)]
                 + [pa.array(np.repeat(np.array(c, np.int64), lengths), pa.int64())
                    for c in (nodes, sizes, parts, groups)],
-                names=["token", "node", "n", "component", "grp"],
+                names=["token", "left", "node", "n", "component", "grp"],
             )
 
     entries = sets.select("node", "n", "tokens", "front", "component", "grp").mapInArrow(
-        front, "token BIGINT, node BIGINT, n BIGINT, component BIGINT, grp BIGINT"
+        front, "token BIGINT, left BIGINT, node BIGINT, n BIGINT, component BIGINT, grp BIGINT"
     )
-    # shingles that stay within one component link nothing new
-    between = (
-        entries.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-        .filter("a <> b").select("token")
+    # Shingles that stay within one component link nothing new. Those that the same sets
+    # have, such as all of a passage, are one class: they would give the same pairs.
+    classes = (
+        entries.groupBy("token").agg(
+            F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("sets"),
+            *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"who{k}") for k in (1, 2)),
+        )
+        .filter("a <> b")
+        .select("token", F.sha1(F.concat_ws("-", "sets", "who1", "who2")).alias("class"))
+    )
+    entries = cut_lineage(
+        entries.join(classes, "token").groupBy("class", "node", "n", "component", "grp")
+        .agg(F.max("left").alias("left"))
     )
-    entries = cut_lineage(entries.join(between, "token"))
-    matrix = entries.groupBy("token", "grp").agg(
-        F.first("component").alias("other"), F.min("n").alias("least_n"), F.max("n").alias("most_n")
+    matrix = entries.groupBy("class", "grp").agg(
+        F.min("component").alias("other"), F.min("n").alias("least_n"), F.max("n").alias("most_n"),
+        F.max("left").alias("most_left"),
     )
-    queries = entries.select("token", "node", "n", "component")
     pairs = cut_lineage(
-        queries.join(matrix, "token")
+        entries.select("class", "node", "n", "component", "left").join(matrix, "class")
         .filter((F.col("component") < F.col("other"))
                 & (100 * F.col("n") >= percent * F.col("least_n"))
-                & (100 * F.col("most_n") >= percent * F.col("n")))
+                & (100 * F.col("most_n") >= percent * F.col("n"))
+                & ((100 + percent) * F.least("left", "most_left")
+                   >= percent * (F.col("n") + F.col("least_n"))))
         .select("node", "grp").distinct()
     )
     parts = pairs.groupBy("grp").agg(
@@ -417,6 +431,7 @@ def group_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                     if _linked(n, tokens, other_n, other_tokens, percent):
                         found[0].append(node)
                         found[1].append(other)
+                        break  # the group is one component, so one link joins them
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["u", "v"])
 
     links = cut_lineage(
