@@ -7,8 +7,8 @@ Documents are sets of word shingles. Equal texts are one set. The join is exact:
 2. In the order (count, hash) a set that may reach the threshold shares one of its first
    ``n - ceil(t n) + 1`` shingles. Sets whose first shingles are all their own have no
    partner and leave here.
-3. Similar sets are grouped: each is compared with the first set of the same least hash,
-   and linked sets become one component, which is cut into groups of bounded size.
+3. Similar sets are grouped: each is compared with the most central set of the same least
+   hash, and linked sets become one component, which is cut into groups of bounded size.
 4. The matrix holds which group has which of the first shingles. A set queries the groups
    of other components that share one; the group's union of shingles bounds the overlap
    with any member, and only groups that reach the bound are opened and compared.
@@ -43,7 +43,7 @@ FREQUENT = 64
 #: Members of a group, on average at most; queries of a group answered in one part.
 GROUP_SETS, GROUP_QUERIES = 64, 2048
 #: Independent least hashes by which similar sets meet.
-KEYS = 2
+KEYS = 4
 #: Words remembered per worker.
 MEMORY_WORDS = 1 << 19
 _ALL = np.uint32(0xFFFFFFFF)
@@ -110,6 +110,17 @@ class Shingler:
         return np.unique(mix64(total))
 
 
+def _packed_sorted(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as bytes that compress: the planes of their differences."""
+    steps = np.diff(values, prepend=np.zeros(1, np.uint64)).astype("<u8")
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, lengths) of equal values in a sorted array."""
     if not len(ordered):
@@ -141,7 +152,7 @@ def _block_rows(block: int, sets: list, buckets: int) -> list[tuple]:
         place = ((some >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         edges = np.searchsorted(place, np.arange(buckets + 1))
         rows += [
-            (k, block, kind, some[a:b].tobytes(), numbers[a:b].tobytes(), None, None, None)
+            (k, block, kind, _packed_sorted(some[a:b]), numbers[a:b].tobytes(), None, None, None)
             for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b
         ]
     return rows
@@ -168,7 +179,7 @@ def _shared(tokens: list, numbers: list, blocks: list, kinds: list):
     for a, n in zip(starts, lengths):
         both = np.empty((n, 2), np.uint32)
         both[:, 0], both[:, 1] = number[a : a + n], np.minimum(df[a : a + n], int(_ALL))
-        yield (0, int(block[a]), _TOKENS, values[a : a + n].tobytes(), both.tobytes(), None, None, None)
+        yield (0, int(block[a]), _TOKENS, _packed_sorted(values[a : a + n]), both.tobytes(), None, None, None)
 
 
 def _ordered_sets(block: int, rows: list[tuple], percent: int):
@@ -183,7 +194,7 @@ def _ordered_sets(block: int, rows: list[tuple], percent: int):
             places = (np.frombuffer(tokens, np.uint64), owner)
         else:
             both = np.frombuffer(numbers, np.uint32).reshape(-1, 2)
-            values.append(np.frombuffer(tokens, np.uint64))
+            values.append(_unpacked_sorted(tokens))
             owners.append(both[:, 0])
             dfs.append(both[:, 1])
     digests, firsts, sizes = sets
@@ -249,7 +260,7 @@ def token_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
                 if row[2] in (_SETS, _PLACES):
                     yield _packed([row])
                 else:
-                    tokens.append(np.frombuffer(row[3], np.uint64))
+                    tokens.append(_unpacked_sorted(row[3]))
                     kind = np.uint32 if row[2] == _FREQUENT else np.uint16
                     numbers.append(np.frombuffer(row[4], kind).astype(np.uint32))
                     blocks.append(row[1])
@@ -307,29 +318,40 @@ def _linked(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray, percent: int) -> b
 
 
 def _keys(batches):
-    """(seed, key, node, n, tokens): least hashes of each set under independent orders."""
+    """(seed, key, node, own): least hashes of each set under independent orders."""
     for batch in batches:
-        nodes, sizes, tokens = batch.columns
+        nodes, shares, tokens = batch.columns
         values = [np.frombuffer(t, np.uint64) for t in tokens.to_pylist()]
         for seed in range(KEYS):
             salt = np.uint64(0xA0761D6478BD642F * (seed + 1) & 0xFFFFFFFFFFFFFFFF)
             keys = [int(mix64(v ^ salt).min().astype(np.int64)) for v in values]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([seed] * len(keys), pa.int32()), pa.array(keys, pa.int64()), nodes, sizes, tokens],
-                names=["seed", "key", "node", "n", "tokens"],
+                [pa.array([seed] * len(keys), pa.int32()), pa.array(keys, pa.int64()), nodes, shares],
+                names=["seed", "key", "node", "own"],
             )
 
 
 def star_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """True links (u, v) of each set with the first set of the same least hash."""
-    keyed = sets.select("node", "n", "tokens").mapInArrow(
-        _keys, "seed INT, key BIGINT, node BIGINT, n BIGINT, tokens BINARY"
+    """True links (u, v) of each set with the most central set of the same least hash.
+
+    The set with the least share of shingles of its own is the one that edited copies were
+    made from, if that is there: copies are more like it than like each other.
+    """
+    own = (F.col("n") - F.octet_length("tokens") / 8) / F.col("n")
+    keyed = sets.select("node", own.alias("own"), "tokens").mapInArrow(
+        _keys, "seed INT, key BIGINT, node BIGINT, own DOUBLE"
+    )
+    central = F.min(F.struct("own", "node"))
+    pivots = (
+        keyed.groupBy("seed", "key").agg(central.alias("central"), F.count("*").alias("sets"))
+        .filter("sets > 1").select("seed", "key", F.col("central.node").alias("pivot"))
+    )
+    pairs = (
+        keyed.join(pivots, ["seed", "key"]).filter("node <> pivot").select("node", "pivot").distinct()
+    )
+    other = sets.select(
+        F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("tokens").alias("pivot_tokens")
     )
-    pivots = keyed.groupBy("seed", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("sets"))
-    pivots = pivots.filter("sets > 1").join(
-        sets.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"),
-                    F.col("tokens").alias("pivot_tokens")), "pivot",
-    ).drop("sets")
 
     def compare(batches):
         for batch in batches:
@@ -341,7 +363,7 @@ def star_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["u", "v"])
 
     return (
-        keyed.join(pivots, ["seed", "key"]).filter("node <> pivot")
+        pairs.join(sets.select("node", "n", "tokens"), "node").join(other, "pivot")
         .select("node", "n", "tokens", "pivot", "pivot_n", "pivot_tokens")
         .mapInArrow(compare, "u BIGINT, v BIGINT")
     )
