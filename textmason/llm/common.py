@@ -58,6 +58,17 @@ def small_bytes(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(data)
 
 
+def join_salted(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 32):
+    """Left join with a table that has one row for each of some ``keys``.
+
+    Rows with equal keys are dealt to ``salts`` parts by ``spread``, and ``small`` is repeated
+    for each, so that no task gets all rows of a hot key.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(each, [*keys, "_salt"], "left").drop("_salt")
+
+
 def mix64(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (a bijection)."""
     out = values.astype(np.uint64, copy=True)

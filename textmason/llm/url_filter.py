@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmason.llm.common import ascii_lower
+from textmason.llm.common import ascii_lower, join_salted
 
 #: (host and path, verdict); a rule fits its host and all subdomains, the longest wins.
 RULES = (
@@ -75,7 +75,7 @@ def templates(parsed: DataFrame, depth: int = DEPTH) -> DataFrame:
         )
         step = F.when(F.col("_variable"), F.lit("*")).otherwise(segment)
         rows = (
-            rows.join(variable, ["host", "template"], "left")
+            join_salted(rows, variable, ["host", "template"], F.col("path"))
             .withColumn("parent", F.when(segment.isNotNull(), F.col("template")).otherwise(F.col("parent")))
             .withColumn("template", F.when(
                 segment.isNotNull(), F.concat("template", F.lit("/"), step)).otherwise(F.col("template")))
@@ -122,7 +122,8 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     rows = templates(parsed.withColumn("rule", rule).withColumn("label", says))
     by_method = F.when(F.col("purity") >= BLOCK_FROM, "block").otherwise("allow")
-    return rows.join(judged(rows), ["host", "parent", "template"], "left").select(
+    found = join_salted(rows, judged(rows), ["host", "parent", "template"], F.col("path"))
+    return found.select(
         "page_id", "host", "path", "rule", "template", "purity",
         F.coalesce("label", by_method).alias("verdict"),
     )

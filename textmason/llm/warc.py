@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmason.llm.common import join_salted
 from textmason.session import cut_lineage, file_system
 
 SKIPPABLE = 0x184D2A5D
@@ -114,8 +115,7 @@ def read_archive(data: bytes) -> list[dict]:
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to): which record each page revisits, if any.
 
-    Only digests seen twice take part in the join. They are repeated for each of ``SALTS``
-    parts, so that no task gets all copies of a payload.
+    Only digests seen twice take part in the join, which is dealt to ``SALTS`` parts a digest.
     """
     rows = pages.select(
         pages["page_id"].cast("bigint").alias("page_id"), pages["url"].cast("string").alias("url"),
@@ -126,11 +126,11 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         rows.filter(F.octet_length("payload") >= least_bytes)
         .groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
         .filter("n > 1 AND largest IS NOT NULL")
-        .select("digest", "largest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .select("digest", "largest")
     )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))
-    return salted.join(copies, ["digest", "salt"], "left").select(
+    joined = join_salted(rows, copies, ["digest"], F.struct("page_id", "url"), SALTS)
+    return joined.select(
         "page_id", "url", "payload", refers.alias("refers_to")
     )
 
