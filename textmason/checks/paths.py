@@ -85,7 +85,8 @@ def _mixed(spark, sf_dir):
 def _opportunity_sql(payload: str) -> str:
     return I.V1_SQL + rf""",
 mixed AS (SELECT project_id, path, {_OTHER_CLIENT} AS content FROM v1)
-SELECT project_id, substr(path, 5) AS file, substr(path, 5) AS entity, 'api_migration' AS type
+SELECT project_id, regexp_extract(path, '[^/]+$') AS file, regexp_extract(path, '[^/]+$') AS entity,
+       'api_migration' AS type
 FROM mixed WHERE regexp_matches(content, 'requests\.\w+\s*\(')
   OR regexp_matches(content, 'timeout=\d+'){payload}"""
 
