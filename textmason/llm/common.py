@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes handed to a Python worker at once; texts may be long, and rows are many.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small, whatever it allowed before."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, str(most)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def texts(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: bool = False
 ) -> DataFrame:
@@ -22,6 +37,7 @@ def texts(
 
     With ``carry`` also ``rest``, the whole row as a struct.
     """
+    bound_batches(docs.sparkSession)
     columns = [
         docs[id_column].cast("bigint").alias("doc_id"),
         F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"),
@@ -69,6 +85,16 @@ def join_salted(rows: DataFrame, small: DataFrame, keys: list[str], spread: Colu
     return dealt.join(each, [*keys, "_salt"], "left").drop("_salt")
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nobody holds any more.
+
+    It does so when the driver's memory is collected, which a driver with free memory puts
+    off; a job of several large steps would keep the files of all of them on the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix64(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (a bijection)."""
     out = values.astype(np.uint64, copy=True)

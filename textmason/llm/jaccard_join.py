@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmason.llm.common import ascii_lower, mix64, partitions, texts
+from textmason.llm.common import ascii_lower, mix64, partitions, release_shuffles, texts
 from textmason.llm.components import components
 from textmason.session import cut_lineage, forget
 
 WORDS, PERCENT = 5, 80
 #: A block of documents is closed beyond so many shingles, or sets.
-BLOCK_SHINGLES, BLOCK_SETS = 1 << 21, 1 << 16
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 20, 1 << 16
 #: From so many sets of a block on, a shingle is counted in the block.
 FREQUENT = 64
 #: Members of a group, on average at most; queries of a group answered in one part.
@@ -45,7 +45,7 @@ GROUP_SETS, GROUP_QUERIES = 64, 2048
 #: Independent least hashes by which similar sets meet.
 KEYS = 4
 #: Words remembered per worker.
-MEMORY_WORDS = 1 << 19
+MEMORY_WORDS = 1 << 18
 _ALL = np.uint32(0xFFFFFFFF)
 
 # kinds of packed rows
@@ -472,6 +472,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     result reads two stored tables; the others are deleted here.
     """
     everything = token_sets(docs, words, percent)
+    release_shuffles(docs.sparkSession)
     sets = everything.filter("tokens IS NOT NULL")
     stars = cut_lineage(star_links(sets, percent))
     first = components(stars)
@@ -491,6 +492,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     more = group_links(grouped, percent)
     linked = components(stars.unionAll(more))
     forget(stars, first, grouped, more)
+    release_shuffles(docs.sparkSession)
     labels = (
         everything.select("node", "first").join(linked, "node")
         .groupBy("component").agg(F.min("first").alias("component_id"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,13 +106,16 @@ def measure(raw: bytes) -> tuple[int, ...]:
 
 
 def _measure(batches):
+    """Rows are (doc_id, text) or (doc_id, whole row)."""
     for batch in batches:
-        rows = [measure(raw) for raw in utf8(batch.column(1))]
-        columns = zip(*rows) if rows else [[] for _ in COUNTS]
-        carried = range(2, batch.num_columns)
+        body, name = batch.column(1), batch.schema.names[1]
+        carried = pa.types.is_struct(body.type)
+        bodies = utf8(pc.struct_field(body, "text") if carried else body)
+        counted = [measure(raw) for raw in bodies]
+        columns = zip(*counted) if counted else [[] for _ in COUNTS]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), *map(batch.column, carried)],
-            names=["doc_id", *COUNTS, *(batch.schema.names[k] for k in carried)],
+            [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), *[body] * carried],
+            names=["doc_id", *COUNTS, *[name] * carried],
         )
 
 
@@ -124,6 +128,7 @@ def repetition_quality(docs: DataFrame, carry: bool = False) -> DataFrame:
     rows = texts(docs, carry=carry)
     if carry:
         schema += f", rest {rows.schema['rest'].dataType.simpleString()}"
+        rows = rows.select("doc_id", "rest")
     counted = rows.mapInArrow(_measure, schema)
     failed = (F.col("n_words") < BASE_WORDS) | (
         100 * F.col("n_repeat_words") > BASE_PERCENT * F.col("n_words")

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmason.llm.common import join_salted
+from textmason.llm.common import bound_batches, join_salted
 from textmason.session import cut_lineage, file_system
 
 SKIPPABLE = 0x184D2A5D
@@ -117,6 +117,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Only digests seen twice take part in the join, which is dealt to ``SALTS`` parts a digest.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(
         pages["page_id"].cast("bigint").alias("page_id"), pages["url"].cast("string").alias("url"),
         F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary").alias("payload"),
