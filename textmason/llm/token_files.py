@@ -32,7 +32,7 @@ BLOCK = 512
 #: A shard is closed at the first document end beyond so many ids.
 SHARD_IDS = 1 << 20
 #: Words remembered per worker, and the longest of them in bytes.
-MEMORY_WORDS, MEMORY_BYTES = 1 << 18, 64
+MEMORY_WORDS, MEMORY_BYTES = 1 << 20, 48
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -109,7 +109,11 @@ class TokenShard:
 
 
 class WordEncoder:
-    """Ids by a tokenizer that never joins across ASCII blanks; words are remembered."""
+    """Ids by a tokenizer that puts A-Z in lower case and never joins across ASCII blanks.
+
+    Words are remembered. A stop or comma behind a letter is a word of its own to such a
+    tokenizer, so it is looked up by itself.
+    """
 
     def __init__(self, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -118,25 +122,51 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_buffer(model)
         self.known: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def _lowered(body: bytes) -> bytes:
+        """A-Z in lower case, unless that could make a special token or compose with a mark."""
+        return body if b"<|" in body or b"\xcc" in body or b"\xcd" in body else body.lower()
+
+    def _learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        for start in range(0, len(words), 4096):
+            some = words[start : start + 4096]
+            found = self.tokenizer.encode(
+                [word.decode("utf-8") for word in some], is_pretokenized=True, add_special_tokens=False
+            )
+            ids = np.array(found.ids, "<u4").tobytes()
+            cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1)) * 4
+            for word, begin, end in zip(some, cuts.tolist(), cuts[1:].tolist()):
+                into[word] = ids[begin:end]
+
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special ones."""
         known = self.known
         if len(known) >= MEMORY_WORDS:
             known.clear()
-        split = [body.split() for body in bodies]
-        unknown = list({word for words in split for word in words if word not in known})
-        once = {}
-        for start in range(0, len(unknown), 4096):
-            some = unknown[start : start + 4096]
-            found = self.tokenizer.encode_batch_fast(
-                [word.decode("utf-8") for word in some], add_special_tokens=False
+        split = [self._lowered(body).split() for body in bodies]
+        found = [list(map(known.get, words)) for words in split]
+        partial = [k for k, ids in enumerate(found) if None in ids]
+        unknown = {word for k in partial for word, ids in zip(split[k], found[k]) if ids is None}
+        now = self._learned(unknown)
+        for k in partial:
+            found[k] = [ids if ids is not None else now[word] for word, ids in zip(split[k], found[k])]
+        known.update(item for item in now.items() if len(item[0]) <= MEMORY_BYTES)
+        return list(map(b"".join, found))
+
+    def _learned(self, unknown: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that aren't known yet."""
+        stem_of = {
+            word: word[:-1] for word in unknown
+            if word[-1:] in (b".", b",") and word[-2:-1].isalpha() and b"<|" not in word
+        }
+        needed = {*stem_of.values(), b".", b","} if stem_of else set()
+        now: dict[bytes, bytes] = {}
+        self._learn(sorted((unknown.difference(stem_of) | needed).difference(self.known)), now)
+        for word, stem in stem_of.items():
+            now[word] = b"".join(
+                now[part] if part in now else self.known[part] for part in (stem, word[-1:])
             )
-            for word, encoding in zip(some, found):
-                ids = np.array(encoding.ids, "<u4").tobytes()
-                (known if len(word) <= MEMORY_BYTES else once)[word] = ids
-        if once:
-            return [b"".join([known.get(w) or once.get(w, b"") for w in words]) for words in split]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return now
 
 
 @lru_cache(maxsize=2)
@@ -153,7 +183,8 @@ SHARDS = (
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Encode all texts, store their shards in ascending doc_id, return the stored table.
 
-    The tokenizer must split at ASCII blanks and drop them. ``before`` counts the ids of the
+    The tokenizer must put A-Z in lower case, drop ASCII blanks, and split there and between
+    letters and stops. ``before`` counts the ids of the
     same part (a range of doc_ids) in earlier shards.
     """
     spark = docs.sparkSession
