@@ -15,6 +15,7 @@ empty table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ BLOCK = 512
 #: A shard is closed at the first document end beyond so many ids.
 SHARD_IDS = 1 << 20
 #: Words remembered per worker, and the longest of them in bytes.
-MEMORY_WORDS, MEMORY_BYTES = 1 << 20, 48
+MEMORY_WORDS, MEMORY_BYTES = 3 << 19, 48
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -108,35 +109,95 @@ class TokenShard:
         return values
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Printable Latin-1 stands for itself, the other bytes for the characters from 256 on.
+    """
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [byte for byte in range(0x100) if byte not in printable]
+    letters = {byte: chr(0x100 + k) for k, byte in enumerate(others)}
+    del letters[0x20]  # no word holds a space: it stands between them
+    return letters
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _is_one_piece(word: bytes) -> bool:
+    """Lower-case Latin letters only: normalising and splitting leave such a word as it is."""
+    if word.isalpha():  # ASCII letters
+        return word.islower()
+    text = word.decode("utf-8")
+    return (
+        text.isalpha() and max(text) < "\u0250" and text == text.lower()
+        and unicodedata.is_normalized("NFC", text)
+    )
+
+
+class _Words(dict):
+    """Ids by word; words that aren't known are noted when they are asked for."""
+
+    def __init__(self):
+        self.unknown: set[bytes] = set()
+
+    def __missing__(self, word: bytes) -> None:
+        self.unknown.add(word)
+
+
 class WordEncoder:
     """Ids by a tokenizer that puts A-Z in lower case and never joins across ASCII blanks.
 
     Words are remembered. A stop or comma behind a letter is a word of its own to such a
-    tokenizer, so it is looked up by itself.
+    tokenizer, so it is looked up by itself. Words of lower-case letters go to the tokenizer's
+    merges directly.
     """
 
     def __init__(self, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_buffer(model)
-        self.known: dict[bytes, bytes] = {}
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.is_end[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.known = _Words()
 
     @staticmethod
     def _lowered(body: bytes) -> bytes:
         """A-Z in lower case, unless that could make a special token or compose with a mark."""
         return body if b"<|" in body or b"\xcc" in body or b"\xcd" in body else body.lower()
 
+    def _learn_letters(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Words of one piece each: the ids of a word end with that of a word's end."""
+        for start in range(0, len(words), 4096):
+            some = words[start : start + 4096]
+            text = b" ".join(some).decode("latin-1").translate(_BYTE_LETTERS)
+            ids = np.array(
+                self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"
+            )
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(some):
+                self._cut(some, ids, [0, *(4 * ends).tolist()], into)
+            else:  # the vocabulary doesn't mark ends
+                self._learn(some, into)
+
     def _learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         for start in range(0, len(words), 4096):
             some = words[start : start + 4096]
             found = self.tokenizer.encode(
                 [word.decode("utf-8") for word in some], is_pretokenized=True, add_special_tokens=False
             )
-            ids = np.array(found.ids, "<u4").tobytes()
-            cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1)) * 4
-            for word, begin, end in zip(some, cuts.tolist(), cuts[1:].tolist()):
-                into[word] = ids[begin:end]
+            cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))
+            self._cut(some, np.array(found.ids, "<u4"), (4 * cuts).tolist(), into)
+
+    @staticmethod
+    def _cut(words: list[bytes], ids: np.ndarray, cuts: list[int], into: dict[bytes, bytes]) -> None:
+        packed = ids.tobytes()
+        into.update((w, packed[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special ones."""
@@ -144,27 +205,35 @@ class WordEncoder:
         if len(known) >= MEMORY_WORDS:
             known.clear()
         split = [self._lowered(body).split() for body in bodies]
-        found = [list(map(known.get, words)) for words in split]
-        partial = [k for k, ids in enumerate(found) if None in ids]
-        unknown = {word for k in partial for word, ids in zip(split[k], found[k]) if ids is None}
-        now = self._learned(unknown)
-        for k in partial:
-            found[k] = [ids if ids is not None else now[word] for word, ids in zip(split[k], found[k])]
+        found = [list(map(known.__getitem__, words)) for words in split]
+        now = self._learned() if known.unknown else {}
+        out = []
+        for words, ids in zip(split, found):
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # some weren't known
+                out.append(b"".join([now[w] if x is None else x for w, x in zip(words, ids)]))
         known.update(item for item in now.items() if len(item[0]) <= MEMORY_BYTES)
-        return list(map(b"".join, found))
+        return out
 
-    def _learned(self, unknown: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that aren't known yet."""
+    def _learned(self) -> dict[bytes, bytes]:
+        """Ids of the words that were asked for and aren't known yet."""
+        unknown, self.known.unknown = self.known.unknown, set()
         stem_of = {
             word: word[:-1] for word in unknown
             if word[-1:] in (b".", b",") and word[-2:-1].isalpha() and b"<|" not in word
         }
         needed = {*stem_of.values(), b".", b","} if stem_of else set()
+        known = self.known
+        new = {word for word in unknown if word not in stem_of}
+        new |= {word for word in needed if word not in known}
         now: dict[bytes, bytes] = {}
-        self._learn(sorted((unknown.difference(stem_of) | needed).difference(self.known)), now)
+        plain = sorted(filter(_is_one_piece, new))
+        self._learn_letters(plain, now)
+        self._learn(sorted(new.difference(plain)), now)
         for word, stem in stem_of.items():
             now[word] = b"".join(
-                now[part] if part in now else self.known[part] for part in (stem, word[-1:])
+                now[part] if part in now else known[part] for part in (stem, word[-1:])
             )
         return now
 
@@ -183,8 +252,8 @@ SHARDS = (
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Encode all texts, store their shards in ascending doc_id, return the stored table.
 
-    The tokenizer must put A-Z in lower case, drop ASCII blanks, and split there and between
-    letters and stops. ``before`` counts the ids of the
+    The tokenizer must be a byte-level one that normalises to NFC and lower case, drops ASCII
+    blanks, and splits there and between letters and stops. ``before`` counts the ids of the
     same part (a range of doc_ids) in earlier shards.
     """
     spark = docs.sparkSession
@@ -245,17 +314,20 @@ def read_tokens(shards: DataFrame) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = TokenShard(row["code"])
-                data = memoryview(shard.all().astype("<u4").tobytes())
-                lengths = np.array(row["lengths"], np.int64)
+            column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            for k in range(batch.num_rows):
+                ids = TokenShard(column["code"][k].as_py()).all()
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                lengths = column["lengths"][k].values.to_numpy()
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
-                sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts, ends)]
-                first = row["part_start"] + row["before"]
+                sums = [
+                    zlib.crc32(data[a:b]) for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())
+                ]
+                first = column["part_start"][k].as_py() + column["before"][k].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(first + starts, pa.int64()),
-                     pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
+                    [column["doc_ids"][k].values, pa.array(first + starts), pa.array(lengths),
+                     pa.array(sums, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
