@@ -14,6 +14,7 @@ empty table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import codecs
 import os
 import unicodedata
 import zlib
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmason.llm.common import partitions, small_bytes, texts
+from textmason.llm.common import partitions, small_bytes, texts, utf8
 from textmason.session import cut_lineage
 
 MAGIC = b"DAC1"
@@ -109,16 +110,16 @@ class TokenShard:
         return values
 
 
-def _byte_letters() -> dict[int, str]:
-    """The character that stands for each byte in a byte-level vocabulary.
+def _byte_letters() -> str:
+    """The characters that stand for the 256 bytes in a byte-level vocabulary.
 
-    Printable Latin-1 stands for itself, the other bytes for the characters from 256 on.
+    Printable Latin-1 stands for itself, the other bytes for the characters from 256 on. A
+    space stays: no word holds one, it stands between words.
     """
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = [byte for byte in range(0x100) if byte not in printable]
-    letters = {byte: chr(0x100 + k) for k, byte in enumerate(others)}
-    del letters[0x20]  # no word holds a space: it stands between them
-    return letters
+    letters = {byte: chr(0x100 + k) for k, byte in enumerate(others)} | {0x20: " "}
+    return "".join(letters.get(byte, chr(byte)) for byte in range(0x100))
 
 
 _BYTE_LETTERS = _byte_letters()
@@ -126,8 +127,6 @@ _BYTE_LETTERS = _byte_letters()
 
 def _is_one_piece(word: bytes) -> bool:
     """Lower-case Latin letters only: normalising and splitting leave such a word as it is."""
-    if word.isalpha():  # ASCII letters
-        return word.islower()
     text = word.decode("utf-8")
     return (
         text.isalpha() and max(text) < "\u0250" and text == text.lower()
@@ -175,7 +174,7 @@ class WordEncoder:
         """Words of one piece each: the ids of a word end with that of a word's end."""
         for start in range(0, len(words), 4096):
             some = words[start : start + 4096]
-            text = b" ".join(some).decode("latin-1").translate(_BYTE_LETTERS)
+            text = codecs.charmap_decode(b" ".join(some), "strict", _BYTE_LETTERS)[0]
             ids = np.array(
                 self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"
             )
@@ -221,16 +220,16 @@ class WordEncoder:
         unknown, self.known.unknown = self.known.unknown, set()
         stem_of = {
             word: word[:-1] for word in unknown
-            if word[-1:] in (b".", b",") and word[-2:-1].isalpha() and b"<|" not in word
+            if word.endswith((b".", b",")) and word[-2:-1].isalpha() and b"<|" not in word
         }
         needed = {*stem_of.values(), b".", b","} if stem_of else set()
         known = self.known
         new = {word for word in unknown if word not in stem_of}
         new |= {word for word in needed if word not in known}
         now: dict[bytes, bytes] = {}
-        plain = sorted(filter(_is_one_piece, new))
+        plain = [w for w in new if (w.islower() if w.isalpha() else not w.isascii() and _is_one_piece(w))]
         self._learn_letters(plain, now)
-        self._learn(sorted(new.difference(plain)), now)
+        self._learn(list(new.difference(plain)), now)
         for word, stem in stem_of.items():
             now[word] = b"".join(
                 now[part] if part in now else known[part] for part in (stem, word[-1:])
@@ -285,7 +284,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataF
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 piece = batch.slice(start, 256)
-                bodies = [body.encode("utf-8") for body in piece.column(1).to_pylist()]
+                bodies = utf8(piece.column(1))
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.encode(bodies)):
                     doc_ids.append(doc_id)
                     held.append(ids + end)
