@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from textmason.llm.common import small_bytes, texts
 
 #: Pre-tokens remembered per worker, and the longest of them in characters.
-MEMORY_TOKENS, MEMORY_CHARS = 3 << 18, 48
+MEMORY_TOKENS, MEMORY_CHARS = 1 << 19, 48
 #: A word of the bitmap has 2 ** WORD_BITS bits.
 WORD_BITS = 8
 _IN_WORD = (1 << WORD_BITS) - 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -85,6 +86,41 @@ def join_salted(rows: DataFrame, small: DataFrame, keys: list[str], spread: Colu
     return dealt.join(each, [*keys, "_salt"], "left").drop("_salt")
 
 
+def return_memory() -> None:
+    """Give memory that a worker has freed back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not this C library
+        pass
+
+
+def tidy(function):
+    """The same function over batches; the worker's freed memory is returned at its end."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            return_memory()
+
+    return run
+
+
+def tidy_group(function):
+    """The same function over a group, likewise."""
+
+    def run(key, *tables):
+        result = function(key, *tables)
+        return_memory()
+        return result
+
+    # cogrouped functions are told apart by how many tables they take
+    return (lambda key, a: run(key, a)) if function.__code__.co_argcount == 2 else (
+        lambda key, a, b: run(key, a, b)
+    )
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of tables that nobody holds any more.
 

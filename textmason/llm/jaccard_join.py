@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmason.llm.common import ascii_lower, mix64, partitions, release_shuffles, texts
+from textmason.llm.common import ascii_lower, mix64, partitions, release_shuffles, texts, tidy
 from textmason.llm.components import components
 from textmason.session import cut_lineage, forget
 
@@ -289,9 +289,9 @@ def token_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
             yield finished(now, rows)
 
     return cut_lineage(
-        distinct.mapInArrow(shingle, _PACKED)
-        .repartition(count, "bucket").mapInArrow(count_shared, _PACKED)
-        .repartition(count, "block").sortWithinPartitions("block").mapInArrow(order, _SETS_SCHEMA)
+        distinct.mapInArrow(tidy(shingle), _PACKED)
+        .repartition(count, "bucket").mapInArrow(tidy(count_shared), _PACKED)
+        .repartition(count, "block").sortWithinPartitions("block").mapInArrow(tidy(order), _SETS_SCHEMA)
     )
 
 
@@ -339,7 +339,7 @@ def star_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     own = (F.col("n") - F.octet_length("tokens") / 8) / F.col("n")
     keyed = sets.select("node", own.alias("own"), "tokens").mapInArrow(
-        _keys, "seed INT, key BIGINT, node BIGINT, own DOUBLE"
+        tidy(_keys), "seed INT, key BIGINT, node BIGINT, own DOUBLE"
     )
     central = F.min(F.struct("own", "node"))
     pivots = (
@@ -365,7 +365,7 @@ def star_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return (
         pairs.join(sets.select("node", "n", "tokens"), "node").join(other, "pivot")
         .select("node", "n", "tokens", "pivot", "pivot_n", "pivot_tokens")
-        .mapInArrow(compare, "u BIGINT, v BIGINT")
+        .mapInArrow(tidy(compare), "u BIGINT, v BIGINT")
     )
 
 
@@ -390,7 +390,7 @@ def group_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             )
 
     entries = sets.select("node", "n", "tokens", "front", "component", "grp").mapInArrow(
-        front, "token BIGINT, left BIGINT, node BIGINT, n BIGINT, component BIGINT, grp BIGINT"
+        tidy(front), "token BIGINT, left BIGINT, node BIGINT, n BIGINT, component BIGINT, grp BIGINT"
     )
     # Shingles that stay within one component link nothing new. Those that the same sets
     # have, such as all of a passage, are one class: they would give the same pairs.
@@ -459,7 +459,7 @@ def group_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = cut_lineage(
         members.unionAll(asking)
         .repartition(partitions(sets.sparkSession), "grp", "part")
-        .sortWithinPartitions("grp", "part", "role").mapInArrow(answer, "u BIGINT, v BIGINT")
+        .sortWithinPartitions("grp", "part", "role").mapInArrow(tidy(answer), "u BIGINT, v BIGINT")
     )
     forget(entries, pairs)
     return links

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmason.llm.common import texts, utf8
+from textmason.llm.common import texts, tidy, utf8
 
 #: Largest share (percent) of word characters inside repeated n-grams, by length.
 MOST_REPEATED = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
@@ -129,7 +129,7 @@ def repetition_quality(docs: DataFrame, carry: bool = False) -> DataFrame:
     if carry:
         schema += f", rest {rows.schema['rest'].dataType.simpleString()}"
         rows = rows.select("doc_id", "rest")
-    counted = rows.mapInArrow(_measure, schema)
+    counted = rows.mapInArrow(tidy(_measure), schema)
     failed = (F.col("n_words") < BASE_WORDS) | (
         100 * F.col("n_repeat_words") > BASE_PERCENT * F.col("n_words")
     )

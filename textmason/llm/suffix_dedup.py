@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmason.llm.common import gather, mix64, partitions, texts, utf8
+from textmason.llm.common import gather, mix64, partitions, texts, tidy, tidy_group, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -420,20 +420,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: bool = False) -
         .repartition(count, "block")
     )
     hashes = (
-        dealt.groupBy("block").applyInArrow(_count_samples(buckets, length), _PACKED)
-        .repartition(count, "bucket").mapInArrow(_repeated_samples, _PACKED)
+        dealt.groupBy("block").applyInArrow(tidy_group(_count_samples(buckets, length)), _PACKED)
+        .repartition(count, "bucket").mapInArrow(tidy(_repeated_samples), _PACKED)
     )
     places = (
         dealt.groupBy("block").cogroup(hashes.groupBy("block"))
-        .applyInArrow(_send_places(buckets, length), _PACKED)
+        .applyInArrow(tidy_group(_send_places(buckets, length)), _PACKED)
     )
     marks = (
         places.repartition(count, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_mark_later(length), _PACKED)
+        .mapInArrow(tidy(_mark_later(length)), _PACKED)
     )
     schema = "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING"
     if carry:
         schema += f", kept STRING, rest {dealt.schema['rest'].dataType.simpleString()}"
     return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(
-        _remove(bool(carry)), schema
+        tidy_group(_remove(bool(carry))), schema
     )
