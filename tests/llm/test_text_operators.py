@@ -84,6 +84,77 @@ def test_licenses(spark):
     assert licenses.scan_licenses(one, known, rules).first().licenses == "both"
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+def commented(text, mark):
+    return "".join(f"{mark} {line}".rstrip() + "\n" for line in text.splitlines())
+
+
+def test_wrapped_licenses(spark):
+    cases = {
+        MIT: "MIT", MIT.replace("\n", "\r\n"): "MIT", "/*\n" + commented(MIT, " *") + " */\n": "MIT",
+        commented(MIT, "#"): "MIT", MIT.replace("charge", "cost"): "",
+        BSD: "BSD-2-Clause", BSD_3: "BSD-3-Clause,BSD-2-Clause",
+        BSD.replace("1. R", "* R").replace("2. R", "* R"): "BSD-2-Clause",
+        commented(BSD_3, "//"): "BSD-3-Clause,BSD-2-Clause",
+        BSD_3.replace(".\n", "\n"): "BSD-3-Clause,BSD-2-Clause",
+        GPL.format(";", ";", 2): "GPL-2.0-or-later", GPL.format(":", ",", 3): "GPL-3.0-or-later",
+        "This project is released under the MIT License.": "MIT",
+        "All of it is\nlicensed under\nthe MIT license, see there": "MIT",
+        "Released under the\n\nMIT License": "", "released under the mit licenses": "",
+        "unreleased under the MIT License": "", "Released under the. MIT License": "",
+        "Sold by One, Inc. All rights\nreserved": "Proprietary",
+    }
+    rows = [(k, t) for k, t in enumerate(cases)]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id INT, text STRING"))
+    assert {r.doc_id: r.licenses for r in found.collect()} == dict(enumerate(cases.values()))
+    known = {"long": "a b c", "short": "a b", "other": "c d", "one": "ab"}
+    one = spark.createDataFrame([(1, "a b c d x a b d ab c d. a\nb")], "doc_id INT, text STRING")
+    row = licenses.scan_licenses(one, known, (("r", ("long", "short")),)).first()
+    assert (row.sentence_ids, row.n_sentences) == ("long,short,one,other,short", 5)
+
+
 def test_byte_bpe(docs):
     codec = byte_bpe.codec_of(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
     whole = tiktoken.Encoding(

@@ -1,9 +1,11 @@
 """Licence scan: known licence sentences first, then ordered rules over their identifiers.
 
-A text is cut into sentences, each is normalised (A-Z in lower case, runs of other ASCII
-characters than letters and digits become one space) and looked up among the known
-sentences. A rule names the identifiers a licence consists of, in order; other sentences
-may lie between. Everything happens inside the document's row: no join and no shuffle.
+A text is cut at the ends of its sentences and normalised (A-Z in lower case, runs of other
+ASCII characters than letters and digits become one space; so does a line break inside a
+sentence, with the mark of a comment that follows it). Known sentences are sought as whole
+words anywhere between two ends, from left to right, the longest first; none overlap. A rule
+names the identifiers a licence consists of, in order; other sentences may lie between.
+Everything happens inside the document's row: no join and no shuffle.
 
 Defined cases: a null or empty text has no sentence and no licence; repeated sentences keep
 all their places; repeated rows give repeated results; an empty table gives an empty
@@ -12,6 +14,8 @@ result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,17 +78,41 @@ RULES = (
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("Proprietary", ("rights-reserved",)),
 )
-#: A sentence ends at a line end, or at one of these marks and a blank.
+#: Where the checking SQL ends a sentence: at every line end too, and it seeks whole sentences
+#: only. It gives the same rows where no known sentence is wrapped or has words around it.
 END = r"[.!?;:][ \t\r\n]+|[\r\n]+"
 #: What separates words: ASCII other than letters and digits, but for the mark of an end.
 GAP = r"[\x00-\x1E\x20-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A sentence ends at one of these marks and a blank, at a blank line (of a comment, too) and
+#: before an item of a list. GPL 2 has a semicolon inside the sentence that names its version.
+SENTENCE_END = (
+    r"[.!?][ \t\r\n]+|(?>\r\n|[\r\n])[ \t*#/;>|]*(?:-*[ \t]*[\r\n]"
+    r"|(?:[-+\u2022]|\(?(?:[0-9]{1,3}|[A-Za-z]|[ivx]{1,5})[.)])[ \t])"
+)
+
+
+def normalised(text: Column) -> Column:
+    """The words of a text, one space between them, and a mark at each end of a sentence."""
+    return F.regexp_replace(ascii_lower(F.regexp_replace(text, SENTENCE_END, "\x1f")), GAP, " ")
+
+
+def _any_of(sentences: list[list[str]]) -> str:
+    """Pattern of the longest of some lists of words, by their common beginnings."""
+    by_word: dict[str, list[list[str]]] = {}
+    for first, *rest in filter(None, sentences):
+        by_word.setdefault(first, []).append(rest)
+    ways = []
+    for word, rests in by_word.items():
+        more = _any_of(rests)
+        if more:
+            more = f"(?: {more})" + ("?" if [] in rests else "")
+        ways.append(re.escape(word) + more)
+    return f"(?:{'|'.join(ways)})" if len(ways) > 1 else "".join(ways)
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order."""
-    marked = F.regexp_replace(text, END, "\x1f")
-    plain = F.regexp_replace(ascii_lower(marked), GAP, " ")
-    return F.split(plain, r" ?\x1f ?")
+def _known_pattern(known: dict[str, str]) -> str:
+    words = _any_of([text.split(" ") for text in known.values()])
+    return rf"(?<![^ \x1f]){words}(?![^ \x1f])"
 
 
 def _rule_pattern(identifiers: tuple[str, ...]) -> str:
@@ -99,9 +127,9 @@ def scan_licenses(docs: DataFrame, known=None, rules=RULES) -> DataFrame:
     """
     known = SENTENCES if known is None else known
     by_text = F.create_map(*(F.lit(x) for name, text in known.items() for x in (text, name)))
-    found = F.filter(
-        F.transform(sentences(F.col("text")), lambda s: by_text[F.trim(s)]),
-        lambda x: x.isNotNull(),
+    found = F.transform(
+        F.regexp_extract_all(normalised(F.col("text")), F.lit(_known_pattern(known)), F.lit(0)),
+        lambda s: by_text[s],
     )
     rows = texts(docs).select("doc_id", F.array_join(found, ",").alias("sentence_ids"))
     chain = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
