@@ -51,6 +51,34 @@ def test_templates_spread_the_labels_of_a_branch(spark):
     assert found["/other/x/1/2/3/4"].template == "/other/x/1/2/**"
 
 
+def test_branches_below_the_named_levels_are_judged_apart(spark):
+    rules = (("h.org/de/", "block"), ("h.org/k", "allow"))
+    paths = [f"/de/x/y/z/spam/{k}" for k in range(10)] + [f"/k{k}" for k in range(8)]
+    paths += ["/fr/x/y/z/help/1", "/fr/x/y/z/spam/a"]
+    rows = [(k, f"http://h.org{path}", None) for k, path in enumerate(paths)]
+    found = {r.path: r for r in url_filter.filter_urls(frame(spark, rows), rules).collect()}
+    assert found["/fr/x/y/z/help/1"].template == "/*/x/y/z/**"
+    assert (found["/fr/x/y/z/help/1"].verdict, found["/fr/x/y/z/help/1"].purity) == ("allow", 0.5)
+    assert found["/fr/x/y/z/spam/a"].verdict == "block" and len(found) == len(rows)
+
+
+def test_branches_part_at_the_sixth_level(spark):
+    top = "/a/b/c/d/e"
+    rules = ((f"h.org{top}/spam/x", "block"), (f"h.org{top}/good/x", "allow"))
+    paths = [f"{top}/spam/x{k}" for k in range(40)] + [f"{top}/good/x{k}//q" for k in range(30)]
+    paths += [f"{top}/spam/z", f"{top}/good/z/q", *["/1/2/3/4/5/6/7/8/9"] * 12, "/", ""]
+    rows = [(k, f"http://h.org{path}", None) for k, path in enumerate(paths)]
+    found = url_filter.filter_urls(frame(spark, rows), rules).collect()
+    verdicts = {r.path: r.verdict for r in found}
+    assert len(found) == len(rows)
+    assert verdicts[f"{top}/spam/z"] == "block" and verdicts[f"{top}/good/z/q"] == "allow"
+    grown = url_filter.templates(frame(spark, rows).selectExpr("'h' AS host", "substr(url, 13) AS path"))
+    nodes = {(r.path, r.parent, r.node) for r in grown.collect()}
+    assert (f"{top}/good/z/q", f"{top}/good/*", f"{top}/good/*/q") in nodes
+    assert ("/1/2/3/4/5/6/7/8/9", "/1/2/3/4/5/6/7/8", "/1/2/3/4/5/6/7/8/9") in nodes
+    assert ("", "", "") in nodes and ("/", "", "") in nodes
+
+
 def test_archives(spark, tmp_path):
     rng = random.Random(1)
     bodies = ["", None, "<p>é</p>", *("<html>" + "".join(rng.choice("abc <>") for _ in range(300)) for _ in range(9))]

@@ -1,9 +1,10 @@
 """URL filter: prefix rules first, then a tree of path templates per host.
 
 The tree is grown level by level. Where a node has many children that are each seen
-rarely, the segment is variable and becomes ``*``. Templates below one node whose labelled
-shares are statistically alike are merged, and a template is blocked when its smoothed
-share of blocked labels is high. Labels are the verdicts of the rules.
+rarely, the segment is variable and becomes ``*``. Nodes below one node whose labelled
+shares are statistically alike are merged, and a page is blocked when the smoothed share of
+blocked labels of its node is high. Labels are the verdicts of the rules. The tree has as
+many levels as the paths; only the name in ``template`` is cut after ``DEPTH`` levels.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule
 and is allowed; repeated rows count once each and get the same verdict; an empty table
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmason.llm.common import ascii_lower, join_salted
+from textmason.session import cut_lineage
 
 #: (host and path, verdict); a rule fits its host and all subdomains, the longest wins.
 RULES = (
@@ -24,7 +26,7 @@ RULES = (
     ("example.com/de/", "block"),
     ("org/fr/", "allow"),
 )
-#: Levels of the tree; deeper segments are folded into ``**``.
+#: Levels that a template names; deeper segments are written as ``**``.
 DEPTH = 4
 #: A segment is variable from so many children on, if each has fewer rows on average.
 MANY_CHILDREN, ROWS_EACH = 8, 4
@@ -56,40 +58,63 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def templates(parsed: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Adds ``parent`` and ``template`` to rows with ``host`` and ``path``."""
-    rows = parsed.withColumn("_parts", F.filter(F.split("path", "/"), lambda s: s != ""))
-    rows = rows.withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
-    for level in range(depth):
+    """Adds ``parent``, ``node`` and ``template`` to rows with ``host`` and ``path``.
+
+    Each level is stored; the next one takes only the pages whose node isn't settled. Below
+    a node with fewer than ``MANY_CHILDREN`` pages, or with one path, no segment can vary.
+    """
+    columns = parsed.columns
+    parts = F.filter(F.split("path", "/"), lambda s: s != "")
+    length, level, levels = F.size(parts), 0, []
+    rows = parsed.withColumn("parent", F.lit("")).withColumn("node", F.lit(""))
+    while True:
         # the children are counted by (node, segment) first, so a hot host is pre-aggregated
-        segment = F.get("_parts", F.lit(level))
+        segment, more = F.get(parts, F.lit(level)), length > level
         children = (
-            rows.filter(segment.isNotNull())
-            .groupBy("host", "template", segment.alias("segment")).agg(F.count("*").alias("n"))
+            rows.filter(more).groupBy("host", "node", segment.alias("segment"))
+            .agg(F.count("*").alias("n"), F.min("path").alias("a"), F.max("path").alias("b"))
         )
-        variable = (
-            children.groupBy("host", "template")
-            .agg(F.count("*").alias("children"), F.sum("n").alias("n"))
-            .filter((F.col("children") >= MANY_CHILDREN)
-                    & (F.col("n") < ROWS_EACH * F.col("children")))
-            .select("host", "template", F.lit(True).alias("_variable"))
+        nodes = (
+            children.groupBy("host", "node")
+            .agg(F.count("*").alias("children"), F.sum("n").alias("n"),
+                 F.min("a").alias("a"), F.max("b").alias("b"))
+            .select(
+                "host", "node",
+                ((F.col("children") >= MANY_CHILDREN)
+                 & (F.col("n") < ROWS_EACH * F.col("children"))).alias("_variable"),
+                ((F.col("n") < MANY_CHILDREN)
+                 | ((F.col("a") == F.col("b")) & (F.col("children") < MANY_CHILDREN))).alias("_settled"),
+            )
         )
+
+        def below(count, first=level):
+            rest = F.slice(parts, first + 1, F.greatest(count, F.lit(0)))
+            return F.concat_ws("/", F.array(F.col("node")), rest)
+
         step = F.when(F.col("_variable"), F.lit("*")).otherwise(segment)
-        rows = (
-            join_salted(rows, variable, ["host", "template"], F.col("path"))
-            .withColumn("parent", F.when(segment.isNotNull(), F.col("template")).otherwise(F.col("parent")))
-            .withColumn("template", F.when(
-                segment.isNotNull(), F.concat("template", F.lit("/"), step)).otherwise(F.col("template")))
-            .drop("_variable")
+        rows = cut_lineage(
+            join_salted(rows, nodes, ["host", "node"], F.col("path")).select(
+                *columns,
+                F.when(~more, F.col("parent")).when(F.col("_settled"), below(length - level - 1))
+                .otherwise(F.col("node")).alias("parent"),
+                F.when(~more, F.col("node")).when(F.col("_settled"), below(length - level))
+                .otherwise(F.concat("node", F.lit("/"), step)).alias("node"),
+                ((length <= level + 1) | F.col("_settled")).alias("_done"),
+            )
         )
-    deeper = F.size("_parts") > depth
-    return rows.withColumn(
-        "template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    ).drop("_parts")
+        levels.append(rows.stored_at)
+        whole, rows = rows, rows.filter("NOT _done").drop("_done")
+        level += 1
+        if rows.isEmpty():
+            break
+    done = parsed.sparkSession.read.schema(whole.schema).parquet(*levels).filter("_done").drop("_done")
+    named = F.concat(F.array_join(F.slice(F.split("node", "/"), 1, depth + 1), "/"), F.lit("/**"))
+    return done.withColumn("template", F.when(length > depth, named).otherwise(F.col("node")))
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """(host, template, purity) from rows with ``host``, ``parent``, ``template``, ``label``."""
-    counted = rows.groupBy("host", "parent", "template").agg(
+    """(host, node, parent, purity) from rows with ``host``, ``parent``, ``node``, ``label``."""
+    counted = rows.groupBy("host", "parent", "node").agg(
         F.count("label").alias("labelled"), F.count_if(F.col("label") == "block").alias("blocked")
     )
     pooled = (
@@ -103,13 +128,13 @@ def judged(rows: DataFrame) -> DataFrame:
         distance * distance <= ALIKE * ALIKE * share * (1 - share) * F.col("labelled")
     )
     marked = counted.join(pooled, ["host", "parent"]).withColumn(
-        "branch", F.when(alike, F.lit("")).otherwise(F.col("template"))
+        "branch", F.when(alike, F.lit("")).otherwise(F.col("node"))
     )
     merged = marked.groupBy("host", "parent", "branch").agg(
         F.sum("labelled").alias("n"), F.sum("blocked").alias("b")
     )
     return marked.join(merged, ["host", "parent", "branch"]).select(
-        "host", "template", "parent", ((F.col("b") + 1) / (F.col("n") + 2)).alias("purity")
+        "host", "node", "parent", ((F.col("b") + 1) / (F.col("n") + 2)).alias("purity")
     )
 
 
@@ -122,7 +147,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     rows = templates(parsed.withColumn("rule", rule).withColumn("label", says))
     by_method = F.when(F.col("purity") >= BLOCK_FROM, "block").otherwise("allow")
-    found = join_salted(rows, judged(rows), ["host", "parent", "template"], F.col("path"))
+    found = join_salted(rows, judged(rows), ["host", "parent", "node"], F.col("path"))
     return found.select(
         "page_id", "host", "path", "rule", "template", "purity",
         F.coalesce("label", by_method).alias("verdict"),
