@@ -101,6 +101,28 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def links_by_brute_force(texts):
+    sets = [brute.shingles(t) for t in texts]
+    return [
+        sum(k != j and len(a & b) > 0 and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets))
+        for k, a in enumerate(sets)
+    ]
+
+
+@pytest.mark.parametrize("groups", [64, 5])
+def test_jaccard_links_are_counted(spark, monkeypatch, groups):
+    monkeypatch.setattr(jaccard_join, "GROUP_SETS", groups)
+    rng = random.Random(21)
+    texts = family(rng) + [" ".join(words(rng, 30))] * 3 + ["", None]
+    base = words(rng, 400, 10_000)
+    texts += [" ".join(base[k : k + 100]) for k in range(0, 100, 5)]
+    found = jaccard_join.jaccard_components(frame(spark, texts), counted=True).drop("digest")
+    groups_of = brute.jaccard_groups(list(enumerate(texts)))
+    want = [(*row, links) for row, links in zip(groups_of, links_by_brute_force(texts))]
+    assert max(w[3] for w in want) > 64
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]

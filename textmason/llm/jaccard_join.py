@@ -13,8 +13,10 @@ Documents are sets of word shingles. Equal texts are one set. The join is exact:
    of other components that share one; the group's union of shingles bounds the overlap
    with any member, and only groups that reach the bound are opened and compared.
 
-No pair inside a component is listed, so groups of copies cost what they hold. Shingles
-that are frequent within a block are counted there, so no bucket gets all their documents.
+No pair inside a component is listed, so groups of copies cost what they hold. To count the
+links of each document, sets query the groups of their own component too, and all members of
+an opened group are compared; a set counts as often as its text is there. Shingles that are
+frequent within a block are counted there, so no bucket gets all their documents.
 
 Defined cases: null, empty and blank texts have no shingle and are linked with nothing;
 a text of fewer words than a shingle is one shingle; rows with equal doc_id are separate
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmason.llm.common import ascii_lower, mix64, partitions, release_shuffles, texts, tidy
+from textmason.llm.common import ascii_lower, gather, mix64, partitions, release_shuffles, texts, tidy
 from textmason.llm.components import components
 from textmason.session import cut_lineage, forget
 
@@ -369,10 +371,13 @@ def star_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def group_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def group_links(sets: DataFrame, percent: int = PERCENT, every: bool = False) -> DataFrame:
     """Links between sets of different components, found through the token-group matrix.
 
-    ``sets`` has node, n, tokens, front, component and grp. The links are stored.
+    ``sets`` has node, n, tokens, front, component and grp. The links are stored. With
+    ``every`` it also has copies, all pairs of sets are found from both sides, and a row
+    (u, v, n) stands for the links of ``u`` into one group: ``v`` is one of the linked sets,
+    and ``n`` is the sum of their copies.
     """
 
     def front(batches):
@@ -399,7 +404,7 @@ def group_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("sets"),
             *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"who{k}") for k in (1, 2)),
         )
-        .filter("a <> b")
+        .filter("sets > 1" if every else "a <> b")
         .select("token", F.sha1(F.concat_ws("-", "sets", "who1", "who2")).alias("class"))
     )
     entries = cut_lineage(
@@ -412,7 +417,7 @@ def group_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     pairs = cut_lineage(
         entries.select("class", "node", "n", "component", "left").join(matrix, "class")
-        .filter((F.col("component") < F.col("other"))
+        .filter((F.lit(True) if every else F.col("component") < F.col("other"))
                 & (100 * F.col("n") >= percent * F.col("least_n"))
                 & (100 * F.col("most_n") >= percent * F.col("n"))
                 & ((100 + percent) * F.least("left", "most_left")
@@ -422,18 +427,49 @@ def group_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     parts = pairs.groupBy("grp").agg(
         F.ceil(F.count("*") / F.lit(GROUP_QUERIES)).cast("int").alias("parts")
     )
-    members = sets.select("grp", "node", "n", "tokens").join(parts, "grp").select(
+    copies = ["copies"] if every else []
+    members = sets.select("grp", "node", "n", "tokens", *copies).join(parts, "grp").select(
         "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.lit(0).alias("role"), "node", "n", "tokens",
+        F.lit(0).alias("role"), "node", "n", "tokens", *copies,
     )
     asking = (
         pairs.join(parts, "grp")
         .select("grp", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"),
                 F.lit(1).alias("role"), "node")
-        .join(sets.select("node", "n", "tokens"), "node")
-        .select("grp", "part", "role", "node", "n", "tokens")
+        .join(sets.select("node", "n", "tokens", *copies), "node")
+        .select("grp", "part", "role", "node", "n", "tokens", *copies)
     )
 
+    def count(batches):
+        now, group, held = None, [], None
+        for batch in batches:
+            found = [[], [], []]
+            for grp, part, role, node, n, data, weight in zip(*(c.to_pylist() for c in batch.columns)):
+                if (grp, part) != now:
+                    now, group, held = (grp, part), [], None
+                tokens = _tokens(data)
+                if role == 0:
+                    group.append((node, n, tokens, weight))
+                    continue
+                if held is None:
+                    values = np.concatenate([t for _, _, t, _ in group])
+                    owner = np.repeat(np.arange(len(group)), [len(t) for _, _, t, _ in group])
+                    order = np.argsort(values, kind="stable")
+                    held = (values[order], owner[order],
+                            *(np.array([m[k] for m in group], np.int64) for k in (0, 1, 3)))
+                values, owner, nodes, sizes, weights = held
+                first = np.searchsorted(values, tokens, "left")
+                last = np.searchsorted(values, tokens, "right")
+                shared = np.bincount(owner[gather(first, last - first)], minlength=len(nodes))
+                linked = (100 * shared >= percent * (n + sizes - shared)) & (nodes != node)
+                if linked.any():
+                    found[0].append(node)
+                    found[1].append(int(nodes[linked][0]))
+                    found[2].append(int(weights[linked].sum()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in found], names=["u", "v", "n"]
+            )
+
     def answer(batches):
         now, group, union = None, [], None
         for batch in batches:
@@ -459,21 +495,33 @@ def group_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = cut_lineage(
         members.unionAll(asking)
         .repartition(partitions(sets.sparkSession), "grp", "part")
-        .sortWithinPartitions("grp", "part", "role").mapInArrow(tidy(answer), "u BIGINT, v BIGINT")
+        .sortWithinPartitions("grp", "part", "role")
+        .mapInArrow(tidy(count if every else answer), "u BIGINT, v BIGINT" + ", n BIGINT" * every)
     )
     forget(entries, pairs)
     return links
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, counted: bool = False
+) -> DataFrame:
     """Per document: n_shingles and component_id, the least doc_id reachable by links.
 
+    With ``counted`` also n_links, how many other documents it is linked with.
+
     ``digest`` is that of the lower-cased text, for callers that need the row again. The
     result reads two stored tables; the others are deleted here.
     """
     everything = token_sets(docs, words, percent)
     release_shuffles(docs.sparkSession)
     sets = everything.filter("tokens IS NOT NULL")
+    rows = texts(docs).select("doc_id", digest_of(F.col("text")).alias("digest"))
+    if counted:
+        weights = cut_lineage(
+            rows.groupBy("digest").agg(F.count("*").alias("copies"))
+            .join(everything.select("digest", "node"), "digest").select("node", "copies")
+        )
+        sets = sets.join(weights, "node")
     stars = cut_lineage(star_links(sets, percent))
     first = components(stars)
     sizes = first.groupBy("component").agg(
@@ -482,15 +530,22 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     placed = first.join(sizes, "component")
     grouped = cut_lineage(
         sets.join(placed, "node", "left").select(
-            "node", "n", "tokens", "front", F.coalesce("component", "node").alias("component"),
+            "node", "n", "tokens", "front", *(["copies"] if counted else []),
+            F.coalesce("component", "node").alias("component"),
             F.xxhash64(
                 F.coalesce("component", "node"),
                 F.pmod(F.xxhash64("node"), F.coalesce("groups", F.lit(1))),
             ).alias("grp"),
         )
     )
-    more = group_links(grouped, percent)
-    linked = components(stars.unionAll(more))
+    more = group_links(grouped, percent, every=counted)
+    linked = components(stars.unionAll(more.select("u", "v")))
+    if counted:
+        others = more.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
+        n_links = cut_lineage(weights.join(others, "node", "left").select(
+            "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        ))
+        forget(weights)
     forget(stars, first, grouped, more)
     release_shuffles(docs.sparkSession)
     labels = (
@@ -498,14 +553,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         .groupBy("component").agg(F.min("first").alias("component_id"))
     )
     by_node = linked.join(labels, "component").select("node", "component_id")
-    by_text = everything.select("node", "digest", "n", "first").join(by_node, "node", "left").select(
+    by_text = everything.select("node", "digest", "n", "first").join(by_node, "node", "left")
+    if counted:
+        by_text = by_text.join(n_links, "node")
+    by_text = by_text.select(
         "digest", F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "first").alias("component_id"),
+        *([F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).alias("n_links")] if counted else []),
     )
-    rows = texts(docs).select("doc_id", digest_of(F.col("text")).alias("digest"))
     return rows.join(by_text, "digest").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
         .alias("component_id"),
+        *(["n_links"] if counted else []),
         "digest",
     )

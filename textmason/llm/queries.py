@@ -63,6 +63,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("digest")
 
 
+def op10_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with the number of links of each document."""
+    docs = table(spark, sf_dir, "documents")
+    return jaccard_join.jaccard_components(docs, counted=True).drop("digest")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -71,6 +77,9 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+#: Further results of these operators.
+MORE_QUERIES: dict[str, Query] = {"op10_jaccard_links": op10_jaccard_links}
+
 # base32 of a digest: its 160 bits in groups of five
 WARC_SQL = """
 WITH hashed AS (
