@@ -149,3 +149,28 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def add_arrays(partials: DataFrame, kind: str, size: int) -> np.ndarray:
+    """Element-wise sum of ``data`` (arrays of ``kind`` as bytes) over rows of (data, part).
+
+    Parts are first added in groups of about the square root of their number, so that neither a
+    task nor the driver gets all of them; the result has ``size`` entries, whatever the input.
+    """
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size, kind)
+        for chunk in table.column("data").iterchunks():
+            for value in chunk:
+                total += np.frombuffer(value.as_buffer(), kind)
+        return pa.table({"data": pa.array([total.tobytes()], pa.binary())})
+
+    def added(rows: DataFrame, key) -> DataFrame:
+        keyed = rows.select("data", key.alias("part"))
+        return keyed.groupBy("part").applyInArrow(lambda table: add(table), "data BINARY")
+
+    groups = int(partitions(partials.sparkSession) ** 0.5)
+    if groups > 8:
+        partials = added(partials, F.pmod("part", F.lit(groups)))
+    rows = added(partials, F.lit(0)).collect()
+    return np.frombuffer(rows[0].data, kind) if rows else np.zeros(size, kind)

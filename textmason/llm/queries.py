@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textmason.llm import (
-    byte_bpe, decontaminate, jaccard_join, licenses, quality, suffix_dedup,
-    token_counts, token_files, url_filter, warc,
+    byte_bpe, decontaminate, divergence, jaccard_join, language_id, licenses, quality,
+    suffix_dedup, token_counts, token_files, url_filter, warc, whitening,
 )
 from textmason.llm.common import table
 
@@ -63,6 +63,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("digest")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same join with the number of links of each document."""
     docs = table(spark, sf_dir, "documents")
@@ -74,6 +86,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_suffix_dedup, op2_quality_rules, op3_license_scan, op4_decontaminate,
         op5_token_counts, op6_url_filter, op7_token_files, op8_byte_bpe, op9_warc, op10_jaccard_join,
+        op11_source_divergence, op12_whitening, op13_language_id,
     )
 }
 
@@ -104,4 +117,5 @@ ORACLES: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op9_warc": WARC_SQL,
+    "op11_source_divergence": divergence.ORACLE,
 }
