@@ -156,8 +156,8 @@ def _price_block(key, terms: pa.Table, groups: pa.Table) -> pa.Table:
     tile = groups.column("tile").to_numpy()
     totals = groups.column("total").to_numpy()
     coded = terms.column("term").combine_chunks().dictionary_encode()
-    n = max(1, len(coded.dictionary))
-    width = 1 << (n - 1).bit_length()
+    n = len(coded.dictionary)  # 0 where no kept term falls into the block
+    width = 1 << max(n - 1, 0).bit_length()
     counts = np.zeros((len(names), width), np.int64)
     counts[:, n:] = -1
     at = pc.index_in(terms.column("source"), pa.array(names, pa.string())).to_numpy()
