@@ -156,7 +156,8 @@ def _price_block(key, terms: pa.Table, groups: pa.Table) -> pa.Table:
     tile = groups.column("tile").to_numpy()
     totals = groups.column("total").to_numpy()
     coded = terms.column("term").combine_chunks().dictionary_encode()
-    n = len(coded.dictionary)  # 0 where no kept term falls into the block
+    # terms of the block that none of these groups has count as 0 too; there may be no term at all
+    n = groups.column("terms")[0].as_py()
     width = 1 << max(n - 1, 0).bit_length()
     counts = np.zeros((len(names), width), np.int64)
     counts[:, n:] = -1
@@ -240,14 +241,15 @@ def _cells(rows: DataFrame) -> DataFrame:
 def _pairs(counted: DataFrame, sizes: DataFrame) -> DataFrame:
     """(lang, source, item, value) of every ordered pair of sources of a language."""
     cell = ["lang", "block", "low", "high"]
-    terms = _cells(counted.select(
-        "lang", "source", "term", "n", "tile", "tiles",
-        F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"),
-    )).drop("tile")
-    groups = _cells(sizes.select(
-        "lang", "source", "total", "tile", "tiles",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-    ))
+    dealt = counted.withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
+    terms = _cells(dealt.select("lang", "source", "term", "n", "tile", "tiles", "block")).drop("tile")
+    of_block = dealt.groupBy("lang", "block").agg(F.count_if("leads").cast("int").alias("terms"))
+    groups = _cells(
+        sizes.select(
+            "lang", "source", "total", "tile", "tiles",
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        ).join(of_block, ["lang", "block"], "left").fillna(0, ["terms"])
+    )
     priced = terms.groupBy(*cell).cogroup(groups.groupBy(*cell)).applyInArrow(
         tidy_group(_price_block), "lang STRING, one STRING, other STRING, there BIGINT, back BIGINT"
     )
