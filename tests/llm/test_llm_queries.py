@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -55,9 +57,28 @@ def test_token_files_of_the_table(spark):
     for doc_id, text, *_ in sorted(tables(spark)[0]):
         n = 1 + len(library.encode(text, add_special_tokens=False).ids)
         assert (found[doc_id].start, found[doc_id].n_tokens) == (start, n)
+        ids = np.array(library.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        assert found[doc_id].ids_crc32 == zlib.crc32(ids.tobytes())
         start += n
 
 
+def test_byte_bpe_of_the_table(spark):
+    ranks = byte_bpe.codec_of(
+        open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN
+    ).ranks
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    )
+    found = {r.doc_id: r for r in QUERIES["op8_byte_bpe"](spark, SF_DIR).collect()}
+    docs = tables(spark)[0]
+    assert len(found) == len(docs)
+    for doc_id, text, *_ in docs:
+        ids, row = library.encode_ordinary(text or ""), found[doc_id]
+        assert row.n_tokens == len(ids)
+        assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+
+
 def kept_by_quality(rows):
     out = []
     for row in rows:

@@ -175,6 +175,30 @@ def test_byte_bpe(docs):
     assert byte_bpe.round_trip(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_pre_tokens_that_share_a_queue_are_merged_alike():
+    codec = byte_bpe.codec_of(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    pieces = [b"a" * k for k in range(1, 60)] + ["".join(
+        rng.choice("aabbeinstr é中") for _ in range(rng.randint(1, 40))).encode() for _ in range(3000)]
+    packed = codec.merge_all(pieces)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in packed] == [codec.merge(p) for p in pieces]
+
+
+def test_memory_of_pre_tokens_changes_nothing(monkeypatch):
+    codec = byte_bpe.ByteBpe(byte_bpe.codec_of(open(RANKS, "rb").read(), public_tokenizers.PATTERN).ranks,
+                             public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(200))
+             for _ in range(20)] + ["x" * 400 + " y", ""]
+    whole = [codec.encode(text) for text in texts]
+    monkeypatch.setattr(byte_bpe, "MEMORY_TOKENS", 50)
+    monkeypatch.setattr(byte_bpe, "STEP_TOKENS", 64)
+    monkeypatch.setattr(byte_bpe, "STEP_IDS", 7)
+    codec.known, codec.before = {}, {}
+    assert codec.encode_all(texts) == whole == [codec.encode(text) for text in texts]
+    assert [codec.decode(ids) for ids in whole] == [text.encode() for text in texts]
+
+
 def test_rank_queue_gives_the_lowest_rank_and_position():
     queue, rng, kept = byte_bpe.RankQueue(60_000), random.Random(2), []
     for _ in range(4000):
@@ -218,6 +242,20 @@ def test_ties_go_to_the_longest_last_piece(byte_pieces):
         assert counter.count(text) == len(library.encode("▁" + text.replace(" ", "▁")).ids)
 
 
+@pytest.mark.parametrize("mark", [True, False])
+@pytest.mark.parametrize("byte_pieces", [True, False])
+def test_unknown_runs_go_on_across_marks(byte_pieces, mark):
+    pieces = [("a", -1.0), ("b", -2.0), ("ab", -3.0)] + [("▁", -1.5)] * mark
+    vocabulary = [("<unk>", 0.0)] + pieces
+    if byte_pieces:
+        vocabulary += [(f"<0x{k:02X}>", 0.0) for k in range(256)]
+    library = tokenizers.Tokenizer(tokenizers.models.Unigram(vocabulary, 0, byte_pieces))
+    counter = token_counts.UnigramCounter(pieces, byte_pieces)
+    counter.unknown = min(s for _, s in vocabulary) - 10
+    for text in ("é é", "é b é", "éé  é a é", "a b ab", " é ", "b é é b"):
+        assert counter.count(text) == len(library.encode("▁" + text.replace(" ", "▁")).ids)
+
+
 def test_token_files(docs, spark):
     shards = token_files.write_tokens(docs, WORDS, end_id=1)
     found = sorted(token_files.read_tokens(shards).collect(), key=lambda r: r.start)
