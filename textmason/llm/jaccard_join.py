@@ -40,6 +40,8 @@ from textmason.session import cut_lineage, forget
 WORDS, PERCENT = 5, 80
 #: A block of documents is closed beyond so many shingles, or sets.
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 20, 1 << 16
+#: Bits of a node's number: of the set in its block, and of the block in its partition.
+SET_BITS, BLOCK_BITS = 16, 24
 #: From so many sets of a block on, a shingle is counted in the block.
 FREQUENT = 64
 #: Members of a group, on average at most; queries of a group answered in one part.
@@ -131,6 +133,13 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate((starts, [len(ordered)])))
 
 
+def _numbered(part: int, block: int) -> int:
+    """Number of a block among all; raises where numbers would run into the next partition's."""
+    if block >> BLOCK_BITS or part >> (63 - SET_BITS - BLOCK_BITS):
+        raise OverflowError(f"block {block} of partition {part} has no number")
+    return part << BLOCK_BITS | block
+
+
 def _block_rows(block: int, sets: list, buckets: int) -> list[tuple]:
     """Packed rows of one block: its sets, its shingles by bucket, its frequent ones."""
     digests, firsts, tokens = zip(*sets)
@@ -142,7 +151,7 @@ def _block_rows(block: int, sets: list, buckets: int) -> list[tuple]:
     starts, lengths = _runs(values)
     frequent = lengths >= FREQUENT
     often = np.repeat(frequent, lengths)
-    home = block % buckets
+    home = int(mix64(np.array([block]))[0] % np.uint64(buckets))
     rows = [(home, block, _SETS, None, None, list(digests), list(firsts), sizes.tolist())]
     if often.any():
         rows.append((home, block, _PLACES, values[often].tobytes(), owner[often].tobytes(),
@@ -220,7 +229,7 @@ def _ordered_sets(block: int, rows: list[tuple], percent: int):
         own = n - len(shared)
         front = n - least_shared(n, percent) + 1 - own if n else 0
         alone = front <= 0
-        yield (block << 32 | k, digest, first, n, None if alone else shared.tobytes(),
+        yield (block << SET_BITS | k, digest, first, n, None if alone else shared.tobytes(),
                0 if alone else front)
 
 
@@ -250,10 +259,10 @@ def token_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
                     held.append((digest, first, shingler.set_of(text.encode("utf-8"))))
                     size += len(held[-1][2])
                     if size >= BLOCK_SHINGLES or len(held) == BLOCK_SETS:
-                        yield _packed(_block_rows(part << 10 | blocks, held, buckets))
+                        yield _packed(_block_rows(_numbered(part, blocks), held, buckets))
                         held, size, blocks = [], 0, blocks + 1
         if held:
-            yield _packed(_block_rows(part << 10 | blocks, held, buckets))
+            yield _packed(_block_rows(_numbered(part, blocks), held, buckets))
 
     def count_shared(batches):
         tokens, numbers, blocks, kinds = [], [], [], []
