@@ -47,7 +47,8 @@ class UnigramCounter:
         self.byte_pieces = byte_pieces
         inner = any(MARK in piece.lstrip(MARK) for piece, _ in pieces)
         lines = any("\n" in piece for piece, _ in pieces)
-        if inner:
+        if inner or not (byte_pieces or any(piece == MARK for piece, _ in pieces)):
+            # a mark that is no piece by itself may be unknown, and unknown runs go on across it
             self.units = None
         elif lines or not byte_pieces:
             self.units = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
