@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from textmason.llm import components, decontaminate, jaccard_join, suffix_dedup
@@ -179,3 +180,44 @@ def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
     whole = sorted(map(tuple, decontaminate.contamination(docs, benchmark).collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 4000)
     assert sorted(map(tuple, decontaminate.contamination(docs, benchmark).collect())) == whole
+    fingerprints, _ = decontaminate.benchmark_fingerprints(benchmark)
+    dealt, blocks = decontaminate.broadcast_blocks(fingerprints)
+    assert blocks > 2 and dealt.count() == fingerprints.distinct().count()
+    assert dealt.select("block").distinct().count() > 2
+    largest = dealt.groupBy("block").agg(
+        F.sum(F.octet_length(F.array_join("around", " ")) + 128).alias("bytes")
+    ).agg(F.max("bytes")).first()[0]
+    assert largest <= decontaminate.BROADCAST_BYTES
+
+
+def test_blocks_of_one_hash_are_split(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 2000)
+    text = "one two three four five six seven eight nine ten"
+    benchmark = spark.createDataFrame([(k, text, 0) for k in range(60)], ITEMS)
+    dealt, blocks = decontaminate.broadcast_blocks(decontaminate.benchmark_fingerprints(benchmark)[0])
+    assert blocks > 5 and dealt.select("hash").distinct().count() == 1
+    row = decontaminate.contamination(frame(spark, [f"so {text} on"]), benchmark).first()
+    assert (row.n_hit, row.n_items) == (10, 60)
+
+
+def test_many_blocks_of_a_partition_keep_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        rows = [(k, f"w{k // 2} a{k // 2} b{k // 2} c{k // 2} d{k // 2}" + " e" * (k % 2)) for k in range(3300)]
+        docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+        found = jaccard_join.jaccard_components(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(k, k) for k in range(3300)]
+
+
+def test_block_numbers_end_with_an_error():
+    assert jaccard_join._numbered(1, 0) == jaccard_join._numbered(0, (1 << 24) - 1) + 1
+    with pytest.raises(OverflowError):
+        jaccard_join._numbered(0, 1 << 24)
+    with pytest.raises(OverflowError):
+        jaccard_join._numbered(1 << 23, 0)

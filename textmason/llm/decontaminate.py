@@ -113,19 +113,40 @@ def _extended() -> Column:
     )
 
 
+def broadcast_blocks(fingerprints: DataFrame) -> tuple[DataFrame, int]:
+    """(fingerprints with their ``block``, number of blocks); a block has ``BROADCAST_BYTES`` at most.
+
+    Rows are dealt by all they hold, so that no hash, window or item can fill a block; their bytes
+    are counted. Only a single row beyond that size would still be sent whole.
+    """
+    rows = fingerprints.distinct().withColumns({
+        "bytes": F.octet_length(F.array_join("around", " ")) + 128,
+        "deal": F.xxhash64("hash", "window", "item_id", "item_at", "around"),
+    })
+    size, n = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-int(size) // BROADCAST_BYTES))
+    while blocks > 1:
+        dealt = rows.groupBy(F.pmod("deal", F.lit(blocks))).agg(F.sum("bytes").alias("bytes"))
+        if dealt.agg(F.max("bytes")).first()[0] <= BROADCAST_BYTES or blocks > 4 * n:
+            break
+        blocks = blocks * 3 // 2 + 1
+    return rows.withColumn("block", F.pmod("deal", F.lit(blocks))).drop("deal", "bytes"), blocks
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Each block of the benchmark is a pass over all documents: a benchmark whose fingerprints take
+    k times ``BROADCAST_BYTES`` takes about k passes.
+    """
     rows = texts(docs).select(
         "doc_id", F.xxhash64("text").alias("body"), words_of(F.col("text")).alias("words")
     )
     fingerprints, lengths = benchmark_fingerprints(benchmark)
-    size = fingerprints.agg(
-        F.coalesce(F.sum(F.octet_length(F.array_join("around", " ")) + 128), F.lit(0))
-    ).first()[0]
-    blocks = max(1, -(-int(size) // BROADCAST_BYTES))
+    fingerprints, blocks = broadcast_blocks(fingerprints)
     found = []
     for block in range(blocks):
-        some = fingerprints.filter(F.pmod("hash", F.lit(blocks)) == block)
+        some = fingerprints.filter(F.col("block") == block).drop("block")
         none = F.array(F.lit(None).cast("struct<window:int,number:bigint>"))
         grams = F.concat(none, _grams(lengths)) if lengths else none  # null: the document itself
         hits = (
