@@ -56,7 +56,7 @@ def main() -> None:
     timed("ingest", ingest)
 
     def ingest_versions():
-        stored["versions"] = cut_lineage(I.corpus(spark, sf_dir, project=I.SMALL))
+        stored["versions"] = cut_lineage(I.corpus(spark, sf_dir))
 
     timed("ingest_versions", ingest_versions)
     files = stored["files"]

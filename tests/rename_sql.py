@@ -1,0 +1,97 @@
+"""Rename matching in SQL, which goes by pairs and steps: for projects of few files."""
+
+from textmason.checks import inputs as I
+
+#: Projects of one customer each.
+SMALL = "o_custkey"
+ENTITIES_SQL = I.ENTITIES_SQL.replace("o_custkey % 50", SMALL)
+# Node counts of the three Python snippets: FunctionDef, arguments, arg, Return, Call,
+# Attribute, keyword, Constant, Assign, BinOp, Mult. JavaScript has none.
+_COUNTS = """CASE WHEN language = 'javascript' THEN NULL
+  WHEN l_partkey % 3 = 0 THEN [1, 1, n_params, 1, 2, 2, 2, 1, 0, 0, 0]
+  WHEN l_partkey % 3 = 1 THEN [1, 1, n_params, 1, 1, 1, 1, 2, 0, 0, 0]
+  ELSE [1, 1, n_params, 1, 1, 2, 2, 2, 1, 1, 1] END"""
+RENAMES_SQL = ENTITIES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+only_old AS MATERIALIZED (
+  SELECT *, {_COUNTS} AS counts,
+         row_number() OVER (PARTITION BY project_id ORDER BY first_place) AS nth_old
+  FROM old JOIN (SELECT project_id, key FROM paired WHERE new_name IS NULL) USING (project_id, key)),
+only_new AS MATERIALIZED (
+  SELECT *, {_COUNTS} AS counts
+  FROM new JOIN (SELECT project_id, key FROM paired WHERE old_name IS NULL) USING (project_id, key)),
+names AS MATERIALIZED (
+  SELECT DISTINCT o.name AS a, n.name AS b FROM only_old o JOIN only_new n USING (project_id)),
+cells AS (
+  SELECT a, b, i, j FROM names, unnest(range(length(a))) x(i), unnest(range(length(b))) y(j)
+  WHERE substr(a, i + 1, 1) = substr(b, j + 1, 1)),
+islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS island FROM cells),
+runs AS (
+  SELECT a, b, i, j, count(*) OVER (PARTITION BY a, b, i - j, island ORDER BY i DESC) AS run
+  FROM islands),
+segments(a, b, alo, ahi, blo, bhi, size) AS (
+  SELECT a, b, 0::BIGINT, length(a), 0::BIGINT, length(b), 0::BIGINT FROM names
+  UNION ALL
+  SELECT a, b, CASE WHEN side = 0 THEN alo ELSE best.i + best.k END,
+         CASE WHEN side = 0 THEN best.i ELSE ahi END,
+         CASE WHEN side = 0 THEN blo ELSE best.j + best.k END,
+         CASE WHEN side = 0 THEN best.j ELSE bhi END, CASE WHEN side = 0 THEN best.k ELSE 0 END
+  FROM (
+    SELECT s.a, s.b, alo, ahi, blo, bhi,
+           arg_max({{'i': i, 'j': j, 'k': least(run, ahi - i, bhi - j)}},
+                   (least(run, ahi - i, bhi - j), -i, -j)) AS best
+    FROM segments s JOIN runs r ON s.a = r.a AND s.b = r.b
+     AND i >= alo AND i < ahi AND j >= blo AND j < bhi
+    GROUP BY s.a, s.b, alo, ahi, blo, bhi) found, (VALUES (0), (1)) sides(side)),
+ratios AS (
+  SELECT a, b, 2 * sum(size)::DOUBLE / (length(a) + length(b)) AS ratio FROM segments GROUP BY a, b),
+scored AS (
+  SELECT project_id, o.key AS old_key, n.key AS new_key, o.name AS old_name,
+         n.name AS new_name, nth_old, n.first_place AS new_position,
+         CASE WHEN o.counts IS NULL OR n.counts IS NULL THEN ratio ELSE 0.4::DOUBLE * ratio
+           + 0.6::DOUBLE
+             * (list_sum(list_transform(range(1, 12), lambda x: least(o.counts[x], n.counts[x])))::DOUBLE
+             / list_sum(list_transform(range(1, 12), lambda x: greatest(o.counts[x], n.counts[x])))::DOUBLE)
+         END AS score
+  FROM only_old o JOIN only_new n USING (project_id)
+  JOIN ratios ON a = o.name AND b = n.name),
+candidates AS MATERIALIZED (SELECT * FROM scored WHERE score >= 0.4::DOUBLE),
+choices AS MATERIALIZED (
+  SELECT o.project_id, o.nth_old, o.key AS old_key,
+         list(new_key ORDER BY score DESC, new_position) FILTER (WHERE new_key IS NOT NULL) AS wanted
+  FROM only_old o LEFT JOIN candidates c USING (project_id, nth_old) GROUP BY ALL),
+picks(project_id, nth_old, old_key, taken, new_key) AS (
+  SELECT project_id, nth_old, old_key,
+         CASE WHEN wanted[1] IS NULL THEN []::VARCHAR[] ELSE [wanted[1]] END, wanted[1]
+  FROM choices WHERE nth_old = 1
+  UNION ALL
+  SELECT project_id, nth_old, old_key,
+         CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick
+  FROM (
+    SELECT c.project_id, c.nth_old, c.old_key, p.taken,
+           list_filter(wanted, lambda x: NOT list_contains(p.taken, x))[1] AS pick
+    FROM picks p JOIN choices c ON c.project_id = p.project_id
+     AND c.nth_old = p.nth_old + 1)),
+renames AS (
+  SELECT project_id, old_key, new_key, old_name, new_name, score
+  FROM picks JOIN candidates USING (project_id, old_key, new_key))"""
+_RENAME_COLUMNS = """project_id, old_key, new_key, old_name, new_name,
+       round(score, 6) AS score"""
+RENAME_MATCH = RENAMES_SQL + f"SELECT {_RENAME_COLUMNS} FROM renames"
+RENAME_CANDIDATES = RENAMES_SQL + f"SELECT {_RENAME_COLUMNS} FROM candidates"
+NAME_SIMILARITY = RENAMES_SQL + """
+SELECT DISTINCT a AS old_name, b AS new_name, round(ratio, 6) AS score FROM ratios WHERE ratio >= 0.9"""
+DIFF_VERSIONS = RENAMES_SQL + """
+SELECT project_id, 'signature_changed' AS change_type, key AS old_key, key AS new_key,
+       0.9::DOUBLE AS confidence, concat('Signature of ', o.name, ' changed') AS description
+FROM old o JOIN new n USING (project_id, key) WHERE o.n_params <> n.n_params
+UNION ALL
+SELECT project_id, 'signature_changed', old_key, new_key, round(score, 6),
+       concat('Signature of ', old_name, ' changed (renamed to ', new_name, ')') FROM renames
+UNION ALL
+SELECT project_id, 'function_added', NULL, key, 1.0, concat('Function ', name, ' was added')
+FROM only_new WHERE (project_id, key) NOT IN (SELECT (project_id, new_key) FROM renames)
+UNION ALL
+SELECT project_id, 'function_removed', key, NULL, 1.0, concat('Function ', name, ' was removed')
+FROM only_old WHERE (project_id, key) NOT IN (SELECT (project_id, old_key) FROM renames)
+"""

@@ -1,6 +1,7 @@
 """Trees of real files, snapshots, reports and whole runs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +243,66 @@ def test_neighbours(spark):
     assert {r.dependent for r in graph.graph_dependents(graph_edges, "B").collect()} == {"A", "D"}
     vertices, kept = graph.graph_build(graph_edges)
     assert vertices.count() == 4 and kept.count() == 3
+
+
+def test_long_chains_are_contracted(spark, monkeypatch):
+    n = 20_000
+    path = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    rounds = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    levels = graph.topological_order(path)
+    found = levels.agg(F.count("*"), F.sum("level"), F.count_if(F.col("v") == F.col("level"))).first()
+    assert tuple(found) == (n + 1, n * (n + 1) // 2, n + 1) and len(rounds) < 40
+    closed = path.union(spark.createDataFrame([(n, 0)], path.schema))
+    assert graph.has_cycle(closed) and not graph.has_cycle(path)
+    with pytest.raises(graph.CycleError):
+        graph.topological_order(closed)
+
+
+def longest_paths(edges):
+    ends = {x for edge in edges for x in edge}
+    levels = {}
+
+    def level(v, seen=()):
+        if v in seen:
+            raise graph.CycleError
+        if v not in levels:
+            levels[v] = max((1 + level(a, (*seen, v)) for a, b in edges if b == v), default=0)
+        return levels[v]
+
+    return {v: level(v) for v in ends}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    n = 14
+    edges = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(8, 26)))
+             if seed == 5 or a < b}
+    frame = spark.createDataFrame(sorted(edges), "src INT, dst INT")
+    try:
+        wanted = longest_paths(edges)
+    except graph.CycleError:
+        wanted = None
+    assert graph.has_cycle(frame) == (wanted is None)
+    if wanted is not None:
+        assert {r.v: r.level for r in graph.topological_order(frame).collect()} == wanted
+
+
+def test_connected_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 140)] + [(7, 7)]
+    parent = {x: x for edge in edges if edge[0] != edge[1] for x in edge}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    frame = spark.createDataFrame(edges, "u INT, v INT")
+    found = graph.connected_components(frame).collect()
+    assert {r.node: r.component for r in found} == {x: root(x) for x in parent} and len(found) == len(parent)
+    assert graph.connected_components(frame.limit(0)).count() == 0
