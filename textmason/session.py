@@ -73,6 +73,12 @@ def delete_folder(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def folder_exists(spark: SparkSession, uri: str) -> bool:
+    """Whether a folder of stored rows is there; of one written by partition, whether it has rows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """(file system, plain path) of an address."""
     if "://" in uri and not uri.startswith("file:"):
