@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmason.checks import inputs as I
@@ -40,24 +37,23 @@ def scan_corpus(spark, sf_dir):
     return found.select("path", F.sha2("content", 256).alias("content_hash"))
 
 
-@query("scan_single_file", """
-SELECT concat(source, '.txt') AS path,
-       sha256(string_agg(cast(doc_id as string), chr(10) ORDER BY doc_id)) AS content_hash
-FROM documents GROUP BY source""")
+@query("scan_single_file", r"""
+SELECT concat('d', cast(doc_id as string), '.txt') AS path,
+       sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS content_hash
+FROM documents WHERE text IS NOT NULL""")
 def scan_single_file(spark, sf_dir):
-    """One file per source, each named and opened by itself; its suffix does not matter."""
+    """A file for each document with its whole text, opened by its address; the suffix does not matter."""
     root = scratch_dir(spark, "single")
-    listed = F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), "\n")
-    rows = I.table(spark, sf_dir, "documents").groupBy("source").agg(listed.alias("content"))
-    files = rows.select(
-        F.lit(0).cast("bigint").alias("project_id"), F.concat("source", F.lit(".txt")).alias("path"),
-        "content",
+    files = I.table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(
+        F.lit(0).alias("project_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.col("text").alias("content"),
     )
-    names = [r.path for r in tree.write_tree(files, root).select("path").collect()]
-    found = reduce(
-        DataFrame.unionByName, [tree.scan_single_file(spark, f"{root}/{name}") for name in names]
+    written = tree.write_tree(files, root)
+    paths = written.select(
+        F.concat(F.lit(f"{root}/"), "path").alias("uri"), "path", F.lit(0).alias("size")
     )
-    return tree.readable(found).select("path", F.sha2("content", 256).alias("content_hash"))
+    found = tree.readable(tree.read_paths(paths))
+    return found.select("path", F.sha2("content", 256).alias("content_hash"))
 
 
 @query("scan_files_table", r"""
