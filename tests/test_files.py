@@ -306,3 +306,45 @@ def test_connected_components(spark):
     found = graph.connected_components(frame).collect()
     assert {r.node: r.component for r in found} == {x: root(x) for x in parent} and len(found) == len(parent)
     assert graph.connected_components(frame.limit(0)).count() == 0
+
+
+def test_a_run_goes_on_after_its_last_whole_stage(spark, files, tmp_path, monkeypatch):
+    from textmason.plans import migration
+
+    code = files({"a.py": "import requests\ndef f(a): return requests.get(a, timeout=30)\n", "b.py": "def g(): pass\n"})
+    issued = F.lit("2024-01-01").cast("timestamp")
+    ledger = str(tmp_path / "ledger")
+    plain = run_migration(code, issued)
+
+    def fail(*_):
+        raise RuntimeError("the driver died")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(migration, "project_analysis", fail)
+        with pytest.raises(RuntimeError):
+            run_migration(code, issued, ledger=ledger)
+    parsed = []
+    extract = migration.extract_entities
+    monkeypatch.setattr(migration, "extract_entities", lambda *a: parsed.append(1) or extract(*a))
+    run = run_migration(code, issued, ledger=ledger)
+    assert not parsed
+    for name in ("entities", "analysis", "operations", "summary"):
+        rows = [sorted(map(str, getattr(r, name).collect())) for r in (plain, run)]
+        assert rows[0] == rows[1]
+    run_migration(code, issued, RuleBook(), ledger=ledger)
+    assert not parsed  # the same catalogue, given by name
+    changed = run_migration(code.filter("path = 'a.py'"), issued, ledger=ledger)
+    assert parsed and changed.entities.count() == 1
+
+
+def test_a_half_written_stage_is_replaced(spark, tmp_path):
+    from textmason.session import Ledger, fingerprint
+
+    ledger = Ledger(spark, str(tmp_path))
+    rows = spark.range(5).selectExpr("id", "concat('t', id) AS t")
+    assert fingerprint(rows, 1) == fingerprint(rows.orderBy(F.desc("id")).repartition(3), 1)
+    assert len({fingerprint(rows, 1), fingerprint(rows, 2), fingerprint(rows.union(rows), 1), fingerprint(rows.limit(0))}) == 4
+    ledger.stage("s", "k", lambda: rows)
+    (tmp_path / "s-k" / "_SUCCESS").unlink()
+    assert ledger.stage("s", "k", lambda: rows.limit(2)).count() == 2
+    assert ledger.stage("s", "k", lambda: rows).count() == 2

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from textmason.functions import text
 from textmason.operators import evidence, extract, nodes, rules
 from textmason.operators.rewrite import rewrite_chain
+from textmason.plans.versions import extract_versions
 
 
 def column(spark, values, expression):
@@ -405,3 +406,78 @@ def test_queries_over_nodes_parse_once(files):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1
     assert found.first().variable_types == {"x": "str", "y": "int", "z": "list"}
+
+
+def test_equal_texts_are_parsed_once(spark, files):
+    old = {f"d{k}/m{k}.py": f"import a{k % 10}\ndef f{k % 10}(a, b=1):\n    return a\n" for k in range(40)}
+    old |= {"broken.py": "def f(:\n", "w.js": "function q(a) {}\nfetch(1)", "e.py": ""}
+    new = old | {f"d{k}/m{k}.py": f"import z\ndef g{k}(): pass\n" for k in range(4)}
+    versions = files(old), files(new, snapshot_id=2)
+    parsed = nodes.parse_once(*versions)
+    python = {t for version in (old, new) for path, t in version.items() if path != "w.js" and t}
+    assert nodes.distinct_texts(*versions).count() <= len(python) + 1
+    assert parsed.select("text_hash").distinct().count() <= len(python) + 1 < len(old)
+    for version in versions:
+        same = [sorted(map(str, rows.collect())) for rows in (nodes.syntax_nodes(version), nodes.nodes_of(version, parsed))]
+        assert same[0] == same[1] and same[0]
+    apart = [sorted(map(str, nodes.extract_entities(version).collect())) for version in versions]
+    together = [sorted(map(str, rows.collect())) for rows in extract_versions(*versions)]
+    assert apart == together
+
+
+def test_imports_resolve_to_the_longest_module(spark, files):
+    tree = files({
+        "src/a/__init__.py": "import b", "src/a/b.py": "import a.c.d.E, os.path\nfrom a import x",
+        "src/a/c/d.py": "from . import y\nimport a.c.d\n", "src/b.py": "", "src/a/c.py": "import a.b.c",
+        "src/__init__.py": "import src", "n.js": "",
+    })
+    imports = nodes.extract_imports(nodes.syntax_nodes(tree))
+    found = {(r.src, r.dst) for r in nodes.import_edges(tree, imports, roots=("src/",)).collect()}
+    assert found == {
+        ("src/a/__init__.py", "src/b.py"), ("src/a/b.py", "src/a/c/d.py"), ("src/a/b.py", "src/a/__init__.py"),
+        ("src/a/c.py", "src/a/b.py"),
+    }
+    whole = {(r.src, r.dst) for r in nodes.import_edges(tree, imports).collect()}
+    assert whole == {("src/__init__.py", "src/__init__.py")} - {("src/__init__.py", "src/__init__.py")}
+
+
+@pytest.mark.parametrize("pattern, literal", [
+    (r"timeout=(\d+)", "timeout="), (r"a|b", ""), (r"(?i)get", ""), (r"(ab)+cde?", "ab"), (r"x*yz", "yz"),
+    (r"foo(?:bar)baz", "foobarbaz"), (r"\bword\b", "word"), (r"[ab]cd", "cd"), (r"(?P<n>get)_\w+(?P=n)", "get_"),
+    (r"(?:ab|cd)efg", "efg"), (r"a{2}bcd", "bcd"), (r"", ""), (r"(?i:GET)xy", "xy"), (r"ab(?=cd)ef", "ab"),
+])
+def test_literals_that_a_pattern_requires(pattern, literal):
+    assert rules.required_literal(pattern) == literal
+
+
+def test_a_thousand_rules_match_as_rule_by_rule(spark, files):
+    import random
+    import re
+
+    rng = random.Random(3)
+    book = rules.RuleBook()
+    for k in range(1000):
+        pattern, replacement = rng.choice([
+            (rf"call_{k}\((\w*)\)", r"new_%d(\1)" % k), (rf"k{k}=(\d+)", rf"q{k}=\g<1>0"), (rf"\bw{k}\b", "v"),
+            (rf"(?i)Name{k}\b", "n"), (r"z" * (k % 5 + 1) + str(k), "y"),
+        ])
+        book = book.add_rule(rules.Rule(f"r{k}", rules.P.RULE_TYPES[0], pattern, replacement, 0.5))
+    words = ["call_{0}(x)", "k{0}=12", "w{0}", "naME{0}", "zz{0}", "timeout=5"]
+    texts = {f"t{k}.py": " ".join(rng.choice(words).format(rng.randrange(1000)) for _ in range(30)) for k in range(30)}
+    texts |= {"empty.py": "", "none.py": "nothing"}
+    frame = files(texts).unionByName(files({"null.py": "x"}).withColumn("content", F.lit(None).cast("string")))
+    found = rules.match_rules(frame, book)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    few = rules._match_by_index(frame, rules.RuleBook(), ("project_id", "path"))
+    assert len(plan) < len(few._jdf.queryExecution().optimizedPlan().toString()) + 200
+    rows = sorted((r.path, r.rule_ord, r.match_ord, r.matched, r.replacement) for r in found.collect())
+    wanted = sorted(
+        (path, order, place, m.group(), re.sub(rule.pattern, rule.replacement, m.group()))
+        for path, text in texts.items() for order, rule in enumerate(book.rules)
+        for place, m in enumerate(re.finditer(rule.pattern, text))
+    )
+    assert rows == wanted and len(rows) > 200
+    unrolled = files(texts).select("project_id", "path", F.inline(rules.matches_of(F.col("content"), rules.RuleBook())))
+    indexed = rules._match_by_index(files(texts), rules.RuleBook(), ("project_id", "path"))
+    assert indexed.columns == unrolled.columns
+    assert sorted(map(str, indexed.collect())) == sorted(map(str, unrolled.collect()))

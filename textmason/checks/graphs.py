@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textmason.checks import inputs as I
 from textmason.checks.registry import query
 from textmason.operators import graph
+from textmason.operators.nodes import extract_imports, import_edges, syntax_nodes
 
 _WITH = "WITH RECURSIVE " + I.EDGES_SQL
 
@@ -72,3 +73,39 @@ def has_cycle(spark, sf_dir):
         ("looped", graph.has_cycle(edges.union(back))),
     ]
     return spark.createDataFrame(rows, "graph STRING, has_cycle BOOLEAN")
+
+
+# A file for each part, in packages below src/; some packages are an __init__.py.
+_MODULE = "concat('p', cast({0} % 7 as string), '.m', cast({0} as string))"
+_FILE = """concat('src/p', cast({0} % 7 as string), '/m', cast({0} as string),
+  CASE WHEN {0} % 4 = 0 THEN '/__init__.py' ELSE '.py' END)"""
+_TEXT = f"""concat('import os, ', {_MODULE.format('(p_partkey div 2)')}, chr(10),
+  'from ', {_MODULE.format('(p_partkey div 3)')}, '.inner import thing', chr(10), 'import p1', chr(10),
+  'import ', {_MODULE.format('p_partkey')}, '.own', chr(10))"""
+
+
+def _modules(spark, sf_dir):
+    return I.table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") * 0).alias("project_id"), F.lit(1).alias("snapshot_id"),
+        F.expr(_FILE.format("p_partkey")).alias("path"), F.expr(_TEXT).alias("content"),
+    )
+
+
+_IMPORTS_SQL = f"""WITH RECURSIVE edges AS MATERIALIZED (
+  SELECT DISTINCT {_FILE.format('p_partkey')} AS src, {_FILE.format('half')} AS dst
+  FROM (SELECT p_partkey, unnest([p_partkey // 2, p_partkey // 3]) AS half FROM part)
+  WHERE half IN (SELECT p_partkey FROM part) AND half <> p_partkey)"""
+
+
+@query("import_edges", _IMPORTS_SQL + " SELECT src, dst FROM edges")
+def imports_as_edges(spark, sf_dir):
+    """Imports of modules, of names in them, of libraries, of folders and of oneself."""
+    files = _modules(spark, sf_dir)
+    return import_edges(files, extract_imports(syntax_nodes(files)), roots=("src/",)).select("src", "dst")
+
+
+@query("import_levels", _IMPORTS_SQL + _REACH_SQL + """
+SELECT v, max(depth) AS level FROM walk GROUP BY v""")
+def import_levels(spark, sf_dir):
+    """Files in the order of what imports them, from their texts."""
+    return graph.topological_order(imports_as_edges(spark, sf_dir))

@@ -159,7 +159,7 @@ def rename_match_in_rounds(spark, sf_dir):
 
 @query("diff_versions")
 def diff_versions(spark, sf_dir):
-    old, new = (extract_entities(I.corpus(spark, sf_dir, v)) for v in (1, 2))
+    old, new = versions.extract_versions(*(I.corpus(spark, sf_dir, v) for v in (1, 2)))
     found = versions.diff_versions(old, new)
     return found.withColumn("confidence", F.round("confidence", 6))
 

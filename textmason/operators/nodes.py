@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ast
 import warnings
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,7 @@ from textmason.operators.extract import (
     pattern_functions,
     pattern_params,
 )
+from textmason.session import cut_lineage
 
 NODE_SCHEMA = (
     "project_id BIGINT, snapshot_id INT, path STRING, bfs INT, pre INT, post INT, "
@@ -232,6 +234,42 @@ def syntax_nodes(files: DataFrame, definitions_only: bool = False) -> DataFrame:
     ).mapInArrow(_parser(definitions_only), NODE_SCHEMA)
 
 
+def distinct_texts(*versions: DataFrame) -> DataFrame:
+    """(text_hash, content) of each distinct Python text in some files tables.
+
+    Equal texts combine before they are shuffled.
+    """
+    rows = [files.select("content") for files in versions]
+    python = reduce(DataFrame.unionAll, rows).filter(detect_language(F.col("content")) == "python")
+    return python.groupBy(_text_hash()).agg(F.first("content").alias("content"))
+
+
+def _text_hash() -> Column:
+    return F.sha2("content", 256).alias("text_hash")
+
+
+_OF_TEXT = [name for name in _ARROW.names if name not in KEYS]
+
+
+def parse_once(*versions: DataFrame, definitions_only: bool = False) -> DataFrame:
+    """Stored syntax nodes by ``text_hash``: each distinct text of all versions is parsed once."""
+    texts = distinct_texts(*versions).select(
+        F.lit(0).cast("bigint").alias("project_id"), F.lit(0).alias("snapshot_id"),
+        F.col("text_hash").alias("path"), "content",
+    )
+    nodes = texts.mapInArrow(_parser(definitions_only), NODE_SCHEMA)
+    return cut_lineage(nodes.select(F.col("path").alias("text_hash"), *_OF_TEXT))
+
+
+def nodes_of(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The rows of ``syntax_nodes`` for files whose texts ``parse_once`` has parsed."""
+    python = files.filter(detect_language(F.col("content")) == "python")
+    places = python.select(
+        F.col("project_id").cast("bigint"), F.col("snapshot_id").cast("int"), "path", _text_hash()
+    )
+    return places.join(parsed, "text_hash").select(*_ARROW.names)
+
+
 def _function(ord: Column, name: Column, args: Column, doc: Column, profile: Column) -> Column:
     return F.struct(
         ord.alias("ord"), name.alias("name"), args.alias("args"), doc.alias("docstring"),
@@ -314,6 +352,41 @@ def extract_imports(nodes: DataFrame) -> DataFrame:
     )
 
 
+def dotted_module(path: Column, roots=()) -> Column:
+    """Dotted name of a Python file; a package's ``__init__.py`` has the package's name.
+
+    ``roots`` are folders that imports leave out, such as ``src/``.
+    """
+    for root in roots:
+        path = F.when(F.startswith(path, F.lit(root)), F.substr(path, F.lit(len(root) + 1))).otherwise(path)
+    plain = F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), r"(^|/)__init__$", "")
+    return F.replace(plain, F.lit("/"), F.lit("."))
+
+
+def import_edges(files: DataFrame, imports: DataFrame, roots=()) -> DataFrame:
+    """(project_id, snapshot_id, src, dst): files and the files of the same tree that they import.
+
+    An import names a module, or something inside one: the longest prefix that is a module of the
+    tree counts. Other imports (of libraries) and imports of oneself give no edge.
+    """
+    tree = ["project_id", "snapshot_id"]
+    modules = (
+        files.filter(F.endswith("path", F.lit(".py")))
+        .select(*tree, dotted_module(F.col("path"), roots).alias("module"), "path")
+        .filter("module <> ''").groupBy(*tree, "module").agg(F.min("path").alias("dst"))
+    )
+    parts = F.split("imported", r"\.")
+    prefixes = (
+        imports.select(*tree, F.col("path").alias("src"), "imported").distinct()
+        .select("*", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n"))
+        .withColumn("module", F.array_join(F.slice(parts, 1, F.col("n")), "."))
+    )
+    found = prefixes.join(modules, [*tree, "module"]).groupBy(*tree, "src", "imported").agg(
+        F.max_by("dst", "n").alias("dst")
+    )
+    return found.filter("src <> dst").select(*tree, "src", "dst").distinct()
+
+
 def extract_calls(nodes: DataFrame) -> DataFrame:
     return nodes.filter((F.col("node_type") == "Call") & F.col("name").isNotNull()).select(
         *KEYS, "bfs", F.col("name").alias("called")

@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,15 +164,20 @@ MATCHES = (
 )
 
 
+def sentences(rule: Rule) -> tuple[str, str]:
+    """(proof obligation, description) of a rule, its own or made of its name."""
+    obligation = rule.proof_obligation or P.PROOF_SENTENCE.format(
+        name=rule.name, confidence=rule.confidence
+    )
+    return obligation, rule.description or P.CHANGE_SENTENCE.format(name=rule.name)
+
+
 def matches_of(content: Column, book: RuleBook) -> Column:
     """All hits of all rules in rule order, then position, as one array."""
 
     def hits(order: int, rule: Rule) -> Column:
         found = F.regexp_extract_all(content, F.lit(java_pattern(rule.pattern)), F.lit(0))
-        obligation = rule.proof_obligation or P.PROOF_SENTENCE.format(
-            name=rule.name, confidence=rule.confidence
-        )
-        description = rule.description or P.CHANGE_SENTENCE.format(name=rule.name)
+        obligation, description = sentences(rule)
         return F.transform(
             found,
             lambda text, position: F.struct(
@@ -191,8 +197,118 @@ def matches_of(content: Column, book: RuleBook) -> Column:
     return F.concat(none, *[hits(i, rule) for i, rule in enumerate(book.rules)])
 
 
+#: A catalogue of more rules is asked through an index of literals instead of rule by rule.
+MOST_UNROLLED = 16
+_REPEATS = (re._constants.MAX_REPEAT, re._constants.MIN_REPEAT, re._constants.POSSESSIVE_REPEAT)
+
+
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of a pattern holds, as far as its parts show; '' if none.
+
+    Branches, optional parts and parts that ignore case require nothing here.
+    """
+    found, run = [""], []
+
+    def end():
+        found.append("".join(run))
+        run.clear()
+
+    def walk(parts):
+        for kind, value in parts:
+            if kind is re._constants.LITERAL:
+                run.append(chr(value))
+            elif kind is re._constants.SUBPATTERN and not (value[1] or value[2]) & re.IGNORECASE:
+                walk(value[3])
+            elif kind in _REPEATS and value[0] > 0:
+                end()  # what is repeated occurs, but not next to what surrounds it
+                walk(value[2])
+                end()
+            elif kind is not re._constants.AT:  # a place takes no characters
+                end()
+
+    parsed = re._parser.parse(pattern)
+    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return ""
+    walk(parsed)
+    end()
+    return max(found, key=len)
+
+
+class RuleIndex:
+    """Rules by the literals they require; a text is asked once for all of them."""
+
+    def __init__(self, book: RuleBook):
+        self.rules = book.rules
+        self.compiled = [re.compile(rule.pattern) for rule in self.rules]
+        self.by_literal: dict[str, list[int]] = {}
+        for order, rule in enumerate(self.rules):
+            self.by_literal.setdefault(required_literal(rule.pattern), []).append(order)
+        self.always = self.by_literal.pop("", [])
+        # literals by a short start: one search over the text finds all places where some begins
+        self.starts: dict[str, list[str]] = {}
+        for literal in self.by_literal:
+            self.starts.setdefault(literal[:LITERAL_START], []).append(literal)
+        sizes = sorted({len(start) for start in self.starts})
+        self.sizes = sizes
+
+    def candidates(self, text: str) -> list[int]:
+        """Rules that may match, in order."""
+        found = set(self.always)
+        for size in self.sizes:
+            held = {text[k : k + size] for k in range(len(text) - size + 1)}
+            for start in held & self.starts.keys():
+                for literal in self.starts[start]:
+                    if literal in text:
+                        found.update(self.by_literal[literal])
+        return sorted(found)
+
+    def hits(self, text: str):
+        """(rule, place among its matches, matched, replacement) in rule order, then position."""
+        for order in self.candidates(text):
+            pattern, rule = self.compiled[order], self.rules[order]
+            for place, match in enumerate(pattern.finditer(text)):
+                matched = match.group()
+                yield order, place, matched, pattern.sub(rule.replacement, matched)
+
+
+#: Characters of a literal by which texts are searched for it.
+LITERAL_START = 4
+
+
+def _match_by_index(files: DataFrame, book: RuleBook, keys) -> DataFrame:
+    """As ``match_rules``; the plan is the same for any number of rules."""
+    keyed = files.select(*keys, "content")
+    width = len(keys)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[:width]]
+    schema = ", ".join([*fields, MATCHES.removeprefix("ARRAY<STRUCT<").removesuffix(">>")])
+    names = [*keyed.columns[:width], "rule_ord", "match_ord", "rule_name", "rule_type", "description",
+             "proof_obligation", "matched", "replacement", "confidence"]
+    kinds = [pa.int32(), pa.int32(), *[pa.string()] * 6, pa.float64()]
+
+    def run(batches):
+        index = RuleIndex(book)
+        for batch in batches:
+            rows, places = [], []
+            for k, text in enumerate(batch.column(width).to_pylist()):
+                for order, place, matched, replaced in index.hits(text) if text is not None else ():
+                    rule = book.rules[order]
+                    obligation, description = sentences(rule)
+                    places.append(k)
+                    rows.append((order, place, rule.name, rule.type, description, obligation, matched, replaced,
+                                 rule.confidence))
+            columns = zip(*rows) if rows else [[]] * len(kinds)
+            kept = [column.take(pa.array(places, pa.int64())) for column in batch.columns[:width]]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, *(pa.array(c, kind) for c, kind in zip(columns, kinds))], names=names
+            )
+
+    return keyed.mapInArrow(run, schema)
+
+
 def match_rules(files: DataFrame, book: RuleBook, keys=("project_id", "path")) -> DataFrame:
     """One row per hit."""
+    if len(book.rules) > MOST_UNROLLED:
+        return _match_by_index(files, book, keys)
     return files.select(*keys, F.inline(matches_of(F.col("content"), book)))
 
 

@@ -17,7 +17,7 @@ from textmason.operators.rollups import (
 )
 from textmason.operators.rules import RuleBook
 from textmason.operators.snapshots import backup_manifest
-from textmason.session import cut_lineage, forget
+from textmason.session import Ledger, cut_lineage, fingerprint, forget
 from textmason.sources.files import readable
 from textmason.sources.tables import read_snapshots, write_report, write_snapshot
 
@@ -46,7 +46,7 @@ def select_project(files: DataFrame, project_id: int) -> DataFrame:
 def run_migration(
     files: DataFrame, issued_at: Column, book: RuleBook | None = None, dry_run: bool = True,
     target_root: str | None = None, snapshot_id: int = 1, report_path: str | None = None,
-    projects: DataFrame | None = None, others: DataFrame | None = None,
+    projects: DataFrame | None = None, others: DataFrame | None = None, ledger: str | None = None,
 ) -> Migration:
     """Run every step.
 
@@ -54,20 +54,33 @@ def run_migration(
     the target unchanged. The files are stored once, read by each step, and deleted at the
     end. Parsed entities, counts and operations are stored too: operations with their texts
     in the target snapshot, or, in a dry run, without any text.
+
+    With ``ledger``, a folder, entities, counts and operations of a dry run are kept there under keys of
+    the files and of what else they depend on; a run that stopped goes on after its last whole
+    stage when it is called again with the same files and parameters.
     """
     if not dry_run and target_root is None:
         raise ValueError("target_root is needed unless dry_run is set")
-    files = cut_lineage(files)
-    entities = cut_lineage(extract_entities(readable(files)))
-    operations = plan_operations(files, book or RuleBook(), issued_at)
+    files, book = cut_lineage(files), book or RuleBook()
+    if ledger is None:
+        stage = lambda name, build, *_: cut_lineage(build())
+    else:
+        kept = Ledger(files.sparkSession, ledger)
+        input_key = fingerprint(files)
+        stage = lambda name, build, *told: kept.stage(
+            name, fingerprint(files.limit(0), input_key, *told), build
+        )
+    entities = stage("entities", lambda: extract_entities(readable(files)))
+    operations = plan_operations(files, book, issued_at)
     manifest = None
     if dry_run:
-        operations = cut_lineage(operations.drop("original", "rewritten"))
+        planned = operations.drop("original", "rewritten")
+        operations = stage("operations", lambda: planned, book, str(issued_at))
     else:
         operations = write_snapshot(operations, target_root, snapshot_id, others)
         written = read_snapshots(files.sparkSession, target_root)
         manifest = backup_manifest(written).filter(F.col("snapshot_id") == snapshot_id)
-    analysis = cut_lineage(project_analysis(files, entities))
+    analysis = stage("analysis", lambda: project_analysis(files, entities))
     forget(files)
     summary = report_summary(operations)
     if report_path is not None:
