@@ -29,14 +29,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from textmason.llm.common import gather, small_bytes, texts
+from textmason.llm.common import gather, small_bytes, texts, tidy
 
 #: Pre-tokens of one of a worker's two generations of memory, and the longest of them in characters.
 MEMORY_TOKENS, MEMORY_CHARS = 1 << 18, 48
 #: Longest pre-token, in bytes, that shares a queue with others.
 SHARED_BYTES = 256
 #: Pre-tokens split from texts at once, and ids decoded at once.
-STEP_TOKENS, STEP_IDS = 1 << 19, 1 << 18
+STEP_TOKENS, STEP_IDS = 1 << 18, 1 << 18
 #: A word of the bitmap has 2 ** WORD_BITS bits.
 WORD_BITS = 8
 _IN_WORD = (1 << WORD_BITS) - 1
@@ -203,9 +203,10 @@ class ByteBpe:
         if (part == none).any():
             raise ValueError("the vocabulary lacks a byte of the text")
         part[ends] = none
-        token = np.repeat(np.arange(len(pieces)), lengths + 1)
-        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
-        pair = np.append(rank_of(part[:-1], part[1:]), _NONE)
+        token = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths + 1)
+        after = np.arange(1, len(data) + 1, dtype=np.int32)
+        before = np.arange(-1, len(data) - 1, dtype=np.int32)
+        pair = np.append(rank_of(part[:-1], part[1:]), _NONE).astype(np.int32)
         alive = part != none
         queue = RankQueue(none)
         some = np.flatnonzero(pair != _NONE)
@@ -236,6 +237,10 @@ class ByteBpe:
         cuts = np.concatenate(([0], 4 * np.cumsum(np.bincount(token[alive], minlength=len(pieces))))).tolist()
         return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def forget(self) -> None:
+        """Drop what is remembered; a worker lives on after its task, and others need the memory."""
+        self.known, self.before = {}, {}
+
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
@@ -324,8 +329,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
             )
+        codec.forget()
 
-    return texts(docs).mapInArrow(encode, "doc_id BIGINT, ids BINARY")
+    return texts(docs).mapInArrow(tidy(encode), "doc_id BIGINT, ids BINARY")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -366,7 +372,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                  pa.array(of_bytes, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        codec.forget()
 
     return texts(docs).mapInArrow(
-        both, "doc_id BIGINT, n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING"
+        tidy(both), "doc_id BIGINT, n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING"
     )
