@@ -1,8 +1,8 @@
 """Rule catalogue and rule matching.
 
-A catalogue is a handful of rows of configuration. It is unrolled into column
-expressions, so matching needs no join with the files, every pattern is a constant
-the JVM compiles once, and a file's matches never leave its row.
+A catalogue is rows of configuration. A handful is unrolled into column expressions, so
+matching needs no join with the files, every pattern is a constant the JVM compiles once,
+and a file's matches never leave its row. More are asked through an index of literals.
 """
 
 from __future__ import annotations
