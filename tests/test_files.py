@@ -348,3 +348,61 @@ def test_a_half_written_stage_is_replaced(spark, tmp_path):
     (tmp_path / "s-k" / "_SUCCESS").unlink()
     assert ledger.stage("s", "k", lambda: rows.limit(2)).count() == 2
     assert ledger.stage("s", "k", lambda: rows).count() == 2
+
+
+def snapshot_rows(spark, texts, project_id=1):
+    rows = [(project_id, path, text, "completed") for path, text in texts.items()]
+    named = spark.createDataFrame(
+        rows, "project_id BIGINT, path STRING, content STRING, status STRING"
+    )
+    return tables.snapshot_rows(named)
+
+
+def contents(rows):
+    return {(r.project_id, r.path): r.content for r in rows.collect()}
+
+
+def test_a_write_that_fails_midway_leaves_the_old_snapshot(spark, tmp_path):
+    root = str(tmp_path / "out")
+    assert tables.read_snapshots(spark, root).count() == 0  # nothing is published yet
+    tables.publish_snapshot(snapshot_rows(spark, {"a.py": "old"}), root, 1)
+    before = tables.read_snapshots(spark, root)
+    broken = snapshot_rows(spark, {f"{k}.py": str(k) for k in range(200)}).repartition(20).withColumn(
+        "content", F.when(F.col("path") == "77.py", F.raise_error(F.lit("lost"))).otherwise(F.col("content"))
+    )
+    with pytest.raises(Exception, match="lost"):
+        tables.publish_snapshot(broken, root, 1)
+    assert contents(tables.read_snapshots(spark, root)) == {(1, "a.py"): "old"}
+
+    # rows that are whole, but that no manifest lists, aren't read either
+    snapshot_rows(spark, {"x.py": "unlisted"}).drop("snapshot_id").write.parquet(
+        f"{root}/snapshot_id=1/write=wlost"
+    )
+    assert contents(tables.read_snapshots(spark, root)) == {(1, "a.py"): "old"}
+    tables.publish_snapshot(snapshot_rows(spark, {"b.py": "new"}), root, 1)
+    assert contents(before) == {(1, "a.py"): "old"}  # a reader goes on with what it began with
+    assert contents(tables.read_snapshots(spark, root)) == {(1, "b.py"): "new"}
+    assert tables.delete_unlisted(spark, root) >= 2
+    assert contents(tables.read_snapshots(spark, root)) == {(1, "b.py"): "new"}
+    assert tables.delete_unlisted(spark, root) == 0
+
+
+def test_a_snapshot_without_rows_replaces_one_with_rows(spark, tmp_path):
+    root = str(tmp_path / "out")
+    for texts in ({"a.py": "1"}, {}):
+        tables.publish_snapshot(snapshot_rows(spark, texts), root, 5)
+    assert tables.read_snapshots(spark, root, 5).count() == 0
+    assert tables.read_snapshots(spark, root, 6).count() == 0
+    assert tables.written_projects(spark, root).count() == 0
+
+
+def test_restored_backups_are_published_whole(spark, tmp_path):
+    root = str(tmp_path / "out")
+    tables.publish_snapshot(snapshot_rows(spark, {"a.py": "1", "b.py": "2"}), root, 1)
+    later = snapshot_rows(spark, {"a.py": "10"}).unionByName(snapshot_rows(spark, {"z.py": "z"}, 2))
+    tables.publish_snapshot(later, root, 2)
+    left = tables.restore_backup(spark, root, 2)
+    # project 2 had no snapshot before, so it becomes empty
+    assert contents(tables.read_snapshots(spark, root, 2)) == {(1, "a.py"): "1", (1, "b.py"): "2"}
+    assert contents(tables.read_snapshots(spark, root, 1)) == {(1, "a.py"): "1", (1, "b.py"): "2"}
+    assert sorted((r.project_id, r.backup_snapshot_id) for r in left.collect()) == [(1, None), (2, None)]

@@ -110,6 +110,21 @@ def backup_snapshot(spark, sf_dir):
     return backup_manifest(written)
 
 
+@query("restore_backup", I.FILES_SQL + """
+SELECT project_id, path, 2 AS snapshot_id, sha256(content) AS content_hash FROM files
+WHERE snapshot_id = 1 AND project_id % 2 = 0""")
+def restore_backup(spark, sf_dir):
+    """Version 1 of even projects, then version 2 of all, then the backups published in its place."""
+    root, versions = scratch_dir(spark, "restored"), I.corpus(spark, sf_dir)
+    rows = tables.snapshot_rows(versions.withColumn("status", F.lit("completed")))
+    tables.publish_snapshot(rows.filter("snapshot_id = 1 AND project_id % 2 = 0"), root, 1)
+    tables.publish_snapshot(rows.filter("snapshot_id = 2"), root, 2)
+    tables.restore_backup(spark, root, 2)
+    return tables.read_snapshots(spark, root, 2).select(
+        "project_id", "path", "snapshot_id", F.sha2("content", 256).alias("content_hash")
+    )
+
+
 @query("write_report", I.MATCHES_SQL + """,
 per_file AS (SELECT project_id, path, avg(confidence) AS confidence FROM matches GROUP BY 1, 2)
 SELECT v1.project_id, concat('project_', cast(v1.project_id as string)) AS name,

@@ -19,7 +19,7 @@ from textmason.operators.rules import RuleBook
 from textmason.operators.snapshots import backup_manifest
 from textmason.session import Ledger, cut_lineage, fingerprint, forget
 from textmason.sources.files import readable
-from textmason.sources.tables import read_snapshots, write_report, write_snapshot
+from textmason.sources.tables import write_report, write_snapshot, written_projects
 
 
 @dataclass(frozen=True)
@@ -78,7 +78,7 @@ def run_migration(
         operations = stage("operations", lambda: planned, book, str(issued_at))
     else:
         operations = write_snapshot(operations, target_root, snapshot_id, others)
-        written = read_snapshots(files.sparkSession, target_root)
+        written = written_projects(files.sparkSession, target_root)
         manifest = backup_manifest(written).filter(F.col("snapshot_id") == snapshot_id)
     analysis = stage("analysis", lambda: project_analysis(files, entities))
     forget(files)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmason.operators.snapshots import passthrough
+from textmason.operators.snapshots import (
+    backup_manifest, consume_backup, passthrough, rollback_full,
+)
+from textmason.session import cut_lineage, delete_folder, folder_exists
 
 PROOF = (
     "STRUCT<rule_name: STRING, confidence: DOUBLE, proof_obligation: STRING, "
@@ -22,6 +27,9 @@ SNAPSHOT_SCHEMA = (
     f"opportunity BOOLEAN, status STRING, error STRING, certificate {CERTIFICATE}, "
     "snapshot_id INT"
 )
+MANIFEST_SCHEMA = (
+    "snapshot_id INT, folder STRING, version BIGINT, project_id BIGINT, files BIGINT"
+)
 PROJECT_SECTION = (
     "project_id BIGINT, project_info STRUCT<name: STRING, source_path: STRING, "
     "target_path: STRING, created_at: TIMESTAMP, status: STRING, completed_at: TIMESTAMP>, "
@@ -52,10 +60,8 @@ def write_snapshot(
     no operation has their path; they are no operations.
 
     Returns the executed operations as stored: texts are written once and later steps
-    read only the columns they need. Writing the same snapshot again replaces it, so a
-    rerun does not duplicate rows. A row that cannot be written is marked, not raised.
-    ``rebalance`` lets the engine split a huge project over several output files and pack
-    small ones together.
+    read only the columns they need. Writing the same snapshot again replaces it whole, once
+    the new one is complete. A row that cannot be written is marked, not raised.
     """
     failed = F.col("rewritten").isNull() | F.col("error").isNotNull()
     rows = operations.select(
@@ -65,33 +71,127 @@ def write_snapshot(
         F.when(failed, F.coalesce("error", F.lit("no text to write"))).alias("error"),
         "certificate",
     )
+    rows = snapshot_rows(rows)
     if others is not None:
-        known = {f.name: f.dataType for f in rows.schema}
-        carried = passthrough(others, operations)
-        given = {"project_id": F.col("project_id"), "path": F.col("path"),
-                 "content": F.col("content"), "status": F.lit("copied"), "opportunity": F.lit(False)}
-        rows = rows.unionByName(carried.select(*(
-            given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in known.items()
-        )))
+        carried = passthrough(others, operations).select("project_id", "path", "content")
+        told = {"status": F.lit("copied"), "opportunity": F.lit(False)}
+        rows = rows.unionByName(snapshot_rows(carried.withColumns(told)))
+    publish_snapshot(rows, root, snapshot_id)
+    return read_snapshots(operations.sparkSession, root, snapshot_id).filter("status != 'copied'")
+
+
+def snapshot_rows(rows: DataFrame) -> DataFrame:
+    """Rows with all columns of a snapshot; those that ``rows`` lacks are null."""
+    fields = rows.sparkSession.createDataFrame([], SNAPSHOT_SCHEMA).schema
+    return rows.select(*(
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in fields
+    ))
+
+
+def publish_snapshot(rows: DataFrame, root: str, snapshot_id: int) -> None:
+    """Write rows of ``SNAPSHOT_SCHEMA`` in a folder of their own, then list it in the manifest.
+
+    Readers see the rows when the manifest has them: at the last step, one file with a row for
+    each project and one for the snapshot itself. A write that fails leaves what was there
+    before; so does a driver lost halfway. Of two writes at once, the one listed last stays.
+    ``rebalance`` lets the engine split a huge project over several output files and pack
+    small ones together.
+    """
+    spark = rows.sparkSession
+    folder = f"snapshot_id={snapshot_id}/write=w{uuid.uuid4().hex}"
     (
-        rows.hint("rebalance", "project_id")
+        rows.drop("snapshot_id")
+        .hint("rebalance", "project_id")
         .sortWithinPartitions("project_id", "path")
-        .write.mode("overwrite")
-        .parquet(f"{root}/snapshot_id={snapshot_id}")
+        .write.parquet(f"{root}/{folder}")
     )
-    return read_snapshots(operations.sparkSession, root).filter(
-        (F.col("snapshot_id") == snapshot_id) & (F.col("status") != "copied")
+    version = _manifest(spark, root).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
+    # the row of the snapshot itself lists a write without any rows, too
+    stored = spark.read.schema("project_id BIGINT").parquet(f"{root}/{folder}")
+    projects = stored.groupBy("project_id").agg(F.count("*").alias("files"))
+    itself = spark.createDataFrame([(None, None)], "project_id BIGINT, files BIGINT")
+    listed = projects.unionByName(itself).select(
+        F.lit(snapshot_id).cast("int").alias("snapshot_id"), F.lit(folder).alias("folder"),
+        F.lit(version).cast("bigint").alias("version"), "project_id", "files",
     )
+    listed.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
 
 
-def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """All snapshots below ``root``; ``snapshot_id`` prunes folders."""
-    return spark.read.schema(SNAPSHOT_SCHEMA).parquet(root)
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    """All rows of the manifest, superseded ones included; a root without one has none."""
+    if not folder_exists(spark, f"{root}/manifest"):
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/manifest")
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """(snapshot_id, folder, project_id, files) of the last write of each snapshot.
+
+    The row of a snapshot itself has null ``files``. The join is on one row a snapshot.
+    """
+    rows = _manifest(spark, root)
+    last = rows.filter("files IS NULL").groupBy("snapshot_id").agg(
+        F.max(F.struct("version", "folder"))["folder"].alias("folder")
+    )
+    return rows.join(last, ["snapshot_id", "folder"], "left_semi").drop("version")
+
+
+def read_snapshots(spark: SparkSession, root: str, snapshot_id: int | None = None) -> DataFrame:
+    """Published snapshots below ``root``, all or one.
+
+    The driver gets the names of the folders, one for each snapshot, and no other row.
+    """
+    listed = published(spark, root).filter("files IS NULL")
+    if snapshot_id is not None:
+        listed = listed.filter(F.col("snapshot_id") == snapshot_id)
+    folders = [f"{root}/{row.folder}" for row in listed.select("folder").collect()]
+    if not folders:
+        return spark.createDataFrame([], SNAPSHOT_SCHEMA)
+    rows = spark.read.schema(SNAPSHOT_SCHEMA).option("basePath", root).parquet(*folders)
+    return rows.drop("write")
+
+
+def written_projects(spark: SparkSession, root: str) -> DataFrame:
+    """(project_id, snapshot_id) of published snapshots, from the manifest; no snapshot is read."""
+    return published(spark, root).filter("files IS NOT NULL").select("project_id", "snapshot_id")
+
+
+def restore_backup(spark: SparkSession, root: str, snapshot_id: int) -> DataFrame:
+    """Publish the files of the projects' backups as the new rows of ``snapshot_id``.
+
+    Projects without a backup become empty. Until the last step readers see the rows that
+    are replaced. Returns the backup manifest afterwards: restored projects have none left.
+    """
+    manifest = backup_manifest(written_projects(spark, root)).filter(
+        F.col("snapshot_id") == snapshot_id
+    )
+    restored = rollback_full(read_snapshots(spark, root), manifest)
+    left = cut_lineage(consume_backup(manifest, restored))
+    publish_snapshot(restored, root, snapshot_id)
+    return left
+
+
+def delete_unlisted(spark: SparkSession, root: str) -> int:
+    """Delete folders of superseded and failed writes, and return how many.
+
+    Call it while nobody writes below ``root`` or reads what a later write replaced.
+    """
+    kept = {row.folder for row in published(spark, root).filter("files IS NULL").collect()}
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/snapshot_id=*/write=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or ()
+    stale = [
+        status.getPath().toString() for status in found
+        if "/".join(status.getPath().toString().rsplit("/", 2)[1:]) not in kept
+    ]
+    for uri in stale:
+        delete_folder(spark, uri)
+    return len(stale)
 
 
 def snapshot_files(spark: SparkSession, root: str, snapshot_id: int) -> DataFrame:
-    rows = read_snapshots(spark, root).filter(
-        (F.col("snapshot_id") == snapshot_id) & F.col("status").isin("completed", "copied")
+    rows = read_snapshots(spark, root, snapshot_id).filter(
+        F.col("status").isin("completed", "copied")
     )
     return rows.select("project_id", "snapshot_id", "path", "content")
 
