@@ -13,6 +13,7 @@ from textmason.operators.rules import RuleBook
 from textmason.plans.migration import run_migration, select_project
 from textmason.sources import files as tree
 from textmason.sources import tables
+from textmason.sources import tree as listing
 
 ISSUED = "2024-01-01 00:00:00"
 
@@ -406,3 +407,47 @@ def test_restored_backups_are_published_whole(spark, tmp_path):
     assert contents(tables.read_snapshots(spark, root, 2)) == {(1, "a.py"): "1", (1, "b.py"): "2"}
     assert contents(tables.read_snapshots(spark, root, 1)) == {(1, "a.py"): "1", (1, "b.py"): "2"}
     assert sorted((r.project_id, r.backup_snapshot_id) for r in left.collect()) == [(1, None), (2, None)]
+
+
+def test_parts_of_a_listing_hold_every_file_once(spark, source, monkeypatch):
+    schema = spark.createDataFrame([], listing.LISTING).schema
+    wanted = {r.path for r in tree.scan_corpus(spark, str(source), code_only=False).collect()}
+    for k in range(40):
+        (source / "flat" / f"{k}.py").parent.mkdir(exist_ok=True)
+        (source / "flat" / f"{k}.py").write_text("x" * k)
+        wanted.add(f"flat/{k}.py")
+    # listed whole; cut inside the flat folder; cut before anything is known
+    for limit in (100_000, 20, 0):
+        monkeypatch.setattr(listing, "LISTED", limit)
+        reader = listing.TreeReader({"path": str(source), "tasks": "4"}, schema)
+        parts = reader.partitions()
+        rows = [r for part in parts for batch in reader.read(part) for r in batch.to_pylist()]
+        assert sorted(r["path"] for r in rows) == sorted(wanted)
+        assert len(parts) >= 4
+        assert {r["path"]: r["size"] for r in rows}["flat/39.py"] == 39
+    code = listing.TreeReader({"path": f"{source}/", "tasks": "4", "suffixes": ".py,.js"}, schema)
+    rows = [r["path"] for part in code.partitions() for b in code.read(part) for r in b.to_pylist()]
+    assert sorted(rows) == sorted(p for p in wanted if p.endswith((".py", ".js")))
+
+
+def test_files_are_opened_only_for_their_text(spark, source, monkeypatch):
+    opened = []
+    monkeypatch.setattr(listing, "read_text", lambda uri: (opened.append(uri), ("text", None))[1])
+
+    def rows(columns, **options):
+        reader = listing.TreeReader(
+            {"path": str(source), **options}, spark.createDataFrame([], columns).schema
+        )
+        return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+    assert len(rows(listing.LISTING)) == 8 and not opened
+    assert len(rows(listing.TEXTS, suffixes=".js")) == 1 and len(opened) == 1
+
+
+def test_a_scan_lists_when_it_is_first_used(spark, tmp_path):
+    root = tmp_path / "later"
+    assert tree.scan_corpus(spark, str(root)).count() == 0
+    scan = tree.scan_corpus(spark, str(root))
+    root.mkdir()
+    (root / "__init__.py").write_text("a\r\n")
+    assert [(r.path, r.content) for r in scan.collect()] == [("__init__.py", "a\n")]
