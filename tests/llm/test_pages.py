@@ -79,6 +79,56 @@ def test_branches_part_at_the_sixth_level(spark):
     assert ("", "", "") in nodes and ("/", "", "") in nodes
 
 
+def grown_by_levels(paths):
+    """(path, parent, node) of one host's paths, one level at a time."""
+    parts = {path: [s for s in path.split("/") if s] for path in paths}
+    places = [[path, "", ""] for path in paths]
+    for level in range(max(map(len, parts.values()), default=0)):
+        below = {}
+        for path, _, node in places:
+            if len(parts[path]) > level:
+                below.setdefault(node, []).append(parts[path][level])
+        for place in places:
+            path, _, node = place
+            if len(parts[path]) > level:
+                kids = below[node]
+                varies = len(set(kids)) >= url_filter.MANY_CHILDREN and (
+                    len(kids) < url_filter.ROWS_EACH * len(set(kids)))
+                step = "*" if varies else parts[path][level]
+                place[1:] = node, f"{node}/{step}"
+    return sorted(map(tuple, places))
+
+
+def grown(spark, paths):
+    rows = spark.createDataFrame([("h", path) for path in paths], "host STRING, path STRING")
+    found = url_filter.templates(rows)
+    assert found.columns == ["host", "path", "parent", "node", "template"]
+    return sorted((r.path, r.parent, r.node) for r in found.collect())
+
+
+def test_trees_are_those_grown_by_levels(spark):
+    rng = random.Random(5)
+    for choices in ("a", "ab", "abcdefghijklmnop", "aaaaaaaab"):
+        paths = [
+            "/" + "/".join(rng.choice(choices) + rng.choice(["", "", "/"]) for _ in range(rng.randrange(9)))
+            for _ in range(150)
+        ]
+        paths += ["/x/y/z/" + rng.choice(["", "u", "u/v", "u/v/w"]) for _ in range(40)]
+        paths += [f"/x/y/k/{rng.randrange(30)}/m/n/{rng.choice('pq')}" for _ in range(40)]
+        paths += ["/x/\U0010ffff\U0010ffff/1", "/x/\U0010ffff/1"] * 9
+        assert grown(spark, paths) == grown_by_levels(paths)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(
+        url_filter, "cut_lineage", lambda df, cut=url_filter.cut_lineage: stored.append(1) or cut(df)
+    )
+    paths = ["/a" * k for k in range(0, 400, 3)] * 3 + ["/a" * 200 + f"/b{k}" * 50 for k in range(4)] * 9
+    assert grown(spark, paths) == grown_by_levels(paths)
+    assert len(stored) <= 5
+
+
 def test_archives(spark, tmp_path):
     rng = random.Random(1)
     bodies = ["", None, "<p>é</p>", *("<html>" + "".join(rng.choice("abc <>") for _ in range(300)) for _ in range(9))]

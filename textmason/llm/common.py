@@ -86,6 +86,17 @@ def join_salted(rows: DataFrame, small: DataFrame, keys: list[str], spread: Colu
     return dealt.join(each, [*keys, "_salt"], "left").drop("_salt")
 
 
+def join_dealt(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 1024):
+    """The same join for keys most of which are rare.
+
+    A row of ``small`` is repeated for those parts only that rows of its key are in, so it is
+    repeated at most as often as its key occurs. ``rows`` is computed twice.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    each = dealt.select(*keys, "_salt").distinct().join(small, keys)
+    return dealt.join(each, [*keys, "_salt"], "left").drop("_salt")
+
+
 def return_memory() -> None:
     """Give memory that a worker has freed back to the machine; workers live on between tasks."""
     pa.default_memory_pool().release_unused()

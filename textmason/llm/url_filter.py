@@ -7,8 +7,9 @@ blocked labels of its node is high. Labels are the verdicts of the rules. The tr
 many levels as the paths; only the name in ``template`` is cut after ``DEPTH`` levels.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule
-and is allowed; repeated rows count once each and get the same verdict; an empty table
-gives an empty result; other columns of the input are ignored.
+and is allowed; a long path, of hundreds of segments, is followed to its end; repeated rows
+count once each and get the same verdict; an empty table gives an empty result; other columns
+of the input are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmason.llm.common import ascii_lower, join_salted
+from textmason.llm.common import ascii_lower, join_dealt
 from textmason.session import cut_lineage
 
 #: (host and path, verdict); a rule fits its host and all subdomains, the longest wins.
@@ -60,54 +61,68 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def templates(parsed: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Adds ``parent``, ``node`` and ``template`` to rows with ``host`` and ``path``.
 
-    Each level is stored; the next one takes only the pages whose node isn't settled. Below
-    a node with fewer than ``MANY_CHILDREN`` pages, or with one path, no segment can vary.
+    Each round is stored; the next one takes only the pages that aren't at their end. Below a
+    node with fewer than ``MANY_CHILDREN`` pages no segment can vary, so its pages are finished
+    at once. Below a node with one child all pages go down to the next branching at once (or to
+    their end on the way there), so rounds follow the branchings on a path, not its length.
     """
     columns = parsed.columns
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    length, level, levels = F.size(parts), 0, []
-    rows = parsed.withColumn("parent", F.lit("")).withColumn("node", F.lit(""))
+    length, level, rounds = F.size(parts), F.col("_level"), []
+    segment, more = F.get(parts, level), length > level
+    rest = F.transform(
+        F.slice(parts, level + 1, F.greatest(length - level, F.lit(0))),
+        lambda s: F.struct(F.lit(False).alias("end"), s.alias("segment")),
+    )
+    end = F.array(F.struct(F.lit(True).alias("end"), F.lit("").alias("segment")))
+
+    def below(count):
+        taken = F.slice(parts, level + 1, F.greatest(count, F.lit(0)))
+        return F.concat_ws("/", F.array(F.col("node")), taken)
+
+    rows = parsed.select(
+        *columns, F.lit("").alias("parent"), F.lit("").alias("node"), F.lit(0).alias("_level")
+    )
     while True:
         # the children are counted by (node, segment) first, so a hot host is pre-aggregated
-        segment, more = F.get(parts, F.lit(level)), length > level
         children = (
             rows.filter(more).groupBy("host", "node", segment.alias("segment"))
-            .agg(F.count("*").alias("n"), F.min("path").alias("a"), F.max("path").alias("b"))
+            # of all paths on from here: the first if an end comes last, the last if it comes first
+            .agg(F.count("*").alias("n"), F.min(F.concat(rest, end)).alias("a"), F.max(rest).alias("b"))
         )
-        nodes = (
-            children.groupBy("host", "node")
-            .agg(F.count("*").alias("children"), F.sum("n").alias("n"),
-                 F.min("a").alias("a"), F.max("b").alias("b"))
-            .select(
-                "host", "node",
-                ((F.col("children") >= MANY_CHILDREN)
-                 & (F.col("n") < ROWS_EACH * F.col("children"))).alias("_variable"),
-                ((F.col("n") < MANY_CHILDREN)
-                 | ((F.col("a") == F.col("b")) & (F.col("children") < MANY_CHILDREN))).alias("_settled"),
-            )
+        nodes = children.groupBy("host", "node").agg(
+            F.count("*").alias("children"), F.sum("n").alias("n"),
+            F.min("a").alias("a"), F.max("b").alias("b"),
         )
-
-        def below(count, first=level):
-            rest = F.slice(parts, first + 1, F.greatest(count, F.lit(0)))
-            return F.concat_ws("/", F.array(F.col("node")), rest)
-
-        step = F.when(F.col("_variable"), F.lit("*")).otherwise(segment)
+        # both follow any path on, so they part where segments differ, or where the last one ends
+        common = F.array_position(F.zip_with("a", "b", lambda a, b: a.eqNullSafe(b)), False) - 1
+        nodes = nodes.select(
+            "host", "node",
+            ((F.col("children") >= MANY_CHILDREN)
+             & (F.col("n") < ROWS_EACH * F.col("children"))).alias("_variable"),
+            (F.col("n") < MANY_CHILDREN).alias("_settled"),
+            F.when(F.col("children") == 1, common).otherwise(1).cast("int").alias("_common"),
+        )
+        left = length - level
+        taken = F.when(F.col("_settled"), left).otherwise(F.least(left, F.col("_common")))
         rows = cut_lineage(
-            join_salted(rows, nodes, ["host", "node"], F.col("path")).select(
+            join_dealt(rows, nodes, ["host", "node"], F.col("path"))
+            .withColumn("_taken", F.when(more, taken).otherwise(0))
+            .select(
                 *columns,
-                F.when(~more, F.col("parent")).when(F.col("_settled"), below(length - level - 1))
-                .otherwise(F.col("node")).alias("parent"),
-                F.when(~more, F.col("node")).when(F.col("_settled"), below(length - level))
-                .otherwise(F.concat("node", F.lit("/"), step)).alias("node"),
-                ((length <= level + 1) | F.col("_settled")).alias("_done"),
+                F.when(more, below(F.col("_taken") - 1)).otherwise(F.col("parent")).alias("parent"),
+                F.when(more & F.col("_variable"), F.concat("node", F.lit("/*")))
+                .when(more, below(F.col("_taken"))).otherwise(F.col("node")).alias("node"),
+                (level + F.col("_taken")).alias("_level"),
+                (level + F.col("_taken") >= length).alias("_done"),
             )
         )
-        levels.append(rows.stored_at)
+        rounds.append(rows.stored_at)
         whole, rows = rows, rows.filter("NOT _done").drop("_done")
-        level += 1
         if rows.isEmpty():
             break
-    done = parsed.sparkSession.read.schema(whole.schema).parquet(*levels).filter("_done").drop("_done")
+    done = parsed.sparkSession.read.schema(whole.schema).parquet(*rounds).filter("_done")
+    done = done.drop("_done", "_level")
     named = F.concat(F.array_join(F.slice(F.split("node", "/"), 1, depth + 1), "/"), F.lit("/**"))
     return done.withColumn("template", F.when(length > depth, named).otherwise(F.col("node")))
 
@@ -147,7 +162,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     rows = templates(parsed.withColumn("rule", rule).withColumn("label", says))
     by_method = F.when(F.col("purity") >= BLOCK_FROM, "block").otherwise("allow")
-    found = join_salted(rows, judged(rows), ["host", "parent", "node"], F.col("path"))
+    found = join_dealt(rows, judged(rows), ["host", "parent", "node"], F.col("path"))
     return found.select(
         "page_id", "host", "path", "rule", "template", "purity",
         F.coalesce("label", by_method).alias("verdict"),
