@@ -33,7 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmason.llm.common import ascii_lower, gather, mix64, partitions, release_shuffles, texts, tidy
+from textmason.llm.common import (
+    ascii_lower, gather, join_dealt, mix64, partitions, release_shuffles, texts, tidy,
+)
 from textmason.llm.components import components
 from textmason.session import cut_lineage, forget
 
@@ -570,7 +572,8 @@ def jaccard_components(
         F.coalesce("component_id", "first").alias("component_id"),
         *([F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).alias("n_links")] if counted else []),
     )
-    return rows.join(by_text, "digest").select(
+    # every digest is there; a text with many copies is dealt to many tasks
+    return join_dealt(rows, by_text, ["digest"], F.col("doc_id")).select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
         .alias("component_id"),
