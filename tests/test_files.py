@@ -11,6 +11,7 @@ from textmason.operators.evidence import plan_operations
 from textmason.operators.rollups import report_summary
 from textmason.operators.rules import RuleBook
 from textmason.plans.migration import run_migration, select_project
+from textmason.session import SHUFFLE_CLEANUP, cut_lineage, forget
 from textmason.sources import files as tree
 from textmason.sources import tables
 from textmason.sources import tree as listing
@@ -451,3 +452,13 @@ def test_a_scan_lists_when_it_is_first_used(spark, tmp_path):
     root.mkdir()
     (root / "__init__.py").write_text("a\r\n")
     assert [(r.path, r.content) for r in scan.collect()] == [("__init__.py", "a\n")]
+
+
+def test_stored_tables_leave_the_session_as_it_was(spark):
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    stored = cut_lineage(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    assert stored.count() == 7 and spark.conf.get(SHUFFLE_CLEANUP) == before
+    with pytest.raises(Exception, match="lost"):
+        cut_lineage(spark.range(3).select(F.raise_error(F.lit("lost")).alias("x")))
+    assert spark.conf.get(SHUFFLE_CLEANUP) == before
+    forget(stored)

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether a query's shuffle files are deleted when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     return (
@@ -53,11 +57,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Store ``df`` as a table in the shared folder and read it back.
 
     Rounds of an iterative job start from stored data, so a lost executor costs one
-    round, and the sizes the optimizer sees are those of the real files.
+    round, and the sizes the optimizer sees are those of the real files. Nothing reads the
+    shuffle files of the write again, so they are deleted with its end, not when the driver
+    collects its memory.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, "cut")
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
