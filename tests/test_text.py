@@ -425,6 +425,37 @@ def test_equal_texts_are_parsed_once(spark, files):
     assert apart == together
 
 
+def test_readers_of_few_nodes_are_sent_few(spark, files):
+    code = """import a.b, c
+from d import e
+class K:
+    def m(self, x: int, y: 'z' = 1) -> int:
+        \'\'\' Two.
+            lines\'\'\'
+        self.t = f.g(x).h(k=x, n=-1, s="q", u=u"r")
+        v = f.g(x)
+        while x:
+            del y
+"""
+    table = files({"a.py": code, "broken.py": "def f(a):\n  (", "e.py": "import os"})
+    whole = nodes.syntax_nodes(table)
+    rows = lambda df: sorted(map(str, df.collect()))
+    broken = F.col("node_type").isin("SyntaxError", "Unparsable")
+    for kinds, under in (
+        (nodes.DEFINITIONS, ()), (nodes.CALLS, ()), (nodes.IMPORTS, ()), ((), nodes.ASSIGNED),
+        (nodes.KEYWORDS, nodes.KEYWORDS), (nodes.CONTEXT, nodes.ASSIGNED),
+    ):
+        kept = F.col("node_type").isin(*kinds) | F.col("parent_type").isin(*under) | broken
+        assert rows(nodes.syntax_nodes(table, kinds=kinds, under=under)) == rows(whole.filter(kept)) != []
+    few = lambda *wanted: nodes.syntax_nodes(table, kinds=wanted[0], under=wanted[1])
+    for read, wanted in (
+        (nodes.node_profile, (nodes.DEFINITIONS, ())), (nodes.infer_variable_types, ((), nodes.ASSIGNED)),
+        (nodes.call_arguments, (nodes.KEYWORDS, nodes.KEYWORDS)), (nodes.py_functions, (nodes.DEFINITIONS, ())),
+        (lambda some: nodes.semantic_context(table, some), (nodes.CONTEXT, nodes.ASSIGNED)),
+    ):
+        assert rows(read(few(*wanted))) == rows(read(whole)) != []
+
+
 def test_imports_resolve_to_the_longest_module(spark, files):
     tree = files({
         "src/a/__init__.py": "import b", "src/a/b.py": "import a.c.d.E, os.path\nfrom a import x",

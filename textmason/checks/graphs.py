@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textmason.checks import inputs as I
 from textmason.checks.registry import query
 from textmason.operators import graph
-from textmason.operators.nodes import extract_imports, import_edges, syntax_nodes
+from textmason.operators.nodes import IMPORTS, extract_imports, import_edges, syntax_nodes
 
 _WITH = "WITH RECURSIVE " + I.EDGES_SQL
 
@@ -101,7 +101,8 @@ _IMPORTS_SQL = f"""WITH RECURSIVE edges AS MATERIALIZED (
 def imports_as_edges(spark, sf_dir):
     """Imports of modules, of names in them, of libraries, of folders and of oneself."""
     files = _modules(spark, sf_dir)
-    return import_edges(files, extract_imports(syntax_nodes(files)), roots=("src/",)).select("src", "dst")
+    imports = extract_imports(syntax_nodes(files, kinds=IMPORTS))
+    return import_edges(files, imports, roots=("src/",)).select("src", "dst")
 
 
 @query("import_levels", _IMPORTS_SQL + _REACH_SQL + """
