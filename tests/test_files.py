@@ -220,6 +220,21 @@ def levels(spark, text):
     return {r.v: r.level for r in graph.topological_order(edges(spark, text)).collect()}
 
 
+def test_graphs_of_many_vertices_are_dealt(spark, monkeypatch):
+    from textmason import session
+
+    path = [(k, k + 1) for k in range(20)] + [(0, 9), (3, 15)]
+    table = spark.createDataFrame([(f"{a:02}", f"{b:02}") for a, b in path], "src STRING, dst STRING")
+    apart = sorted(graph.topological_order(table).collect())
+    monkeypatch.setattr(session, "SENT_ROWS", 0)
+    stored = session.cut_lineage(table)
+    joined = table.join(session.dealt(stored).select("src"), "src")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(graph.topological_order(table).collect()) == apart
+    back = spark.createDataFrame([("20", "00")], "src STRING, dst STRING")
+    assert graph.has_cycle(table.union(back)) and not graph.has_cycle(table)
+
+
 def test_topological_levels(spark):
     assert levels(spark, "AB BC AC AB") == {"A": 0, "B": 1, "C": 2}
     assert levels(spark, "AB AC BD CD XD") == {"A": 0, "X": 0, "B": 1, "C": 1, "D": 2}

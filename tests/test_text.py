@@ -456,6 +456,13 @@ class K:
         assert rows(read(few(*wanted))) == rows(read(whole)) != []
 
 
+def test_modules_are_not_sent_through_the_driver(spark, files):
+    tree = files({"a.py": "import b.c", "b.py": ""})
+    edges = nodes.import_edges(tree, nodes.extract_imports(nodes.syntax_nodes(tree)))
+    assert [(r.src, r.dst) for r in edges.collect()] == [("a.py", "b.py")]
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
 def test_imports_resolve_to_the_longest_module(spark, files):
     tree = files({
         "src/a/__init__.py": "import b", "src/a/b.py": "import a.c.d.E, os.path\nfrom a import x",

@@ -85,7 +85,8 @@ _TEXT = f"""concat('import os, ', {_MODULE.format('(p_partkey div 2)')}, chr(10)
 
 
 def _modules(spark, sf_dir):
-    return I.table(spark, sf_dir, "part").select(
+    # A small file of keys becomes much text: dealt, so that not one task parses it all.
+    return I.table(spark, sf_dir, "part").repartition("p_partkey").select(
         (F.col("p_partkey") * 0).alias("project_id"), F.lit(1).alias("snapshot_id"),
         F.expr(_FILE.format("p_partkey")).alias("path"), F.expr(_TEXT).alias("content"),
     )
