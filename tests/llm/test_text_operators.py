@@ -284,3 +284,24 @@ def test_random_access():
         assert all(shard[k] == ids[k] for k in range(0, n, 7))
     with pytest.raises(IndexError):
         shard[n]
+
+
+def test_matches_come_longest_first():
+    """Segmentation relies on it: among equal scores the longest last piece wins."""
+    rng = random.Random(8)
+    for _ in range(300):
+        pieces = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(8)}
+        scored = [(piece, rng.choice((-1.0, -2.0, -3.0))) for piece in pieces]
+        counter = token_counts.UnigramCounter(scored, True)
+        text = "".join(rng.choice("abcd") for _ in range(12))
+        found = [(end, -length) for end, (length, _) in counter.automaton.iter(text)]
+        assert found == sorted(found)
+        best = [(0.0, 0)]
+        for end in range(1, len(text) + 1):
+            ends = [(len(p), v) for p, v in scored if text[:end].endswith(p)]
+            options = [(best[end - n][0] + v, n, best[end - n][1] + 1) for n, v in ends]
+            if all(n > 1 for n, _ in ends):
+                options.append((best[end - 1][0] + counter.unknown, 0, best[end - 1][1] + 1))
+            score, _, count = max(options)
+            best.append((score, count))
+        assert counter.segment(text) == best[-1][1]

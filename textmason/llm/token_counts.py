@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -28,6 +29,7 @@ from textmason.llm.common import small_bytes, texts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+_NONE = float("-inf")
 #: Words remembered per worker, and the longest of them.
 MEMORY_WORDS, MEMORY_CHARS = 1 << 18, 48
 
@@ -58,29 +60,33 @@ class UnigramCounter:
 
     def segment(self, text: str) -> int:
         """Pieces of the best segmentation of ``text``."""
-        n = len(text)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        if not self.empty:
-            for end, match in self.automaton.iter(text):
-                ending[end].append(match)
-        score, count, unknown_run = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(1, n + 1):
-            best, size, is_unknown = None, 0, False
-            matches = sorted(ending[end - 1], reverse=True)  # the longest first
-            for length, value in matches:
-                total = score[end - length] + value
-                if best is None or total > best:
-                    best, size, is_unknown = total, count[end - length] + 1, False
-            if not matches or matches[-1][0] != 1:
-                total = score[end - 1] + self.unknown
-                if best is None or total > best:
-                    if self.byte_pieces:
-                        more = len(text[end - 1].encode("utf-8"))
+        score, count, unknown_run = [0.0], [0], [False]
+        unknown, byte_pieces = self.unknown, self.byte_pieces
+        best, size, covered, settled = _NONE, 0, False, 0
+        # matches come by their end, the longest of an end first; a last entry settles the rest
+        found = () if self.empty else self.automaton.iter(text)
+        for last, (length, value) in chain(found, ((len(text), (1, 0.0)),)):
+            while settled < last:  # no further match ends there
+                if not covered and score[settled] + unknown > best:
+                    best, is_unknown = score[settled] + unknown, True
+                    if byte_pieces:
+                        size = count[settled] + len(text[settled].encode("utf-8"))
                     else:
-                        more = 0 if unknown_run[end - 1] else 1
-                    best, size, is_unknown = total, count[end - 1] + more, True
-            score[end], count[end], unknown_run[end] = best, size, is_unknown
-        return count[n]
+                        size = count[settled] + (0 if unknown_run[settled] else 1)
+                else:
+                    is_unknown = False
+                score.append(best)
+                count.append(size)
+                unknown_run.append(is_unknown)
+                best, covered = _NONE, False
+                settled += 1
+            start = settled + 1 - length
+            total = score[start] + value
+            if total > best:
+                best, size = total, count[start] + 1
+            if length == 1:
+                covered = True
+        return count[-1]
 
     def count(self, text: str) -> int:
         """Tokens of a text; a mark is put before it and for each space."""
