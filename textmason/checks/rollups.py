@@ -218,10 +218,10 @@ FROM merged GROUP BY 1, 2""")
 def multiset_jaccard(spark, sf_dir):
     """Token multisets of neighbouring documents, whole texts."""
     documents = I.table(spark, sf_dir, "documents")
-    tokens = (
-        documents.select(F.col("doc_id").alias("id"), F.explode(F.split("text", " ")).alias("token"))
-        .groupBy("id", "token")
-        .agg(F.count("*").alias("n"))
+    # texts are dealt by document once, whole: their tokens are counted where they are joined
+    dealt = documents.select(F.col("doc_id").alias("id"), "text").filter("id IS NOT NULL").repartition("id")
+    tokens = dealt.select(
+        "id", F.explode(F.split("text", " ")).alias("token"), F.lit(1).cast("bigint").alias("n")
     )
     left = documents.select(F.col("doc_id").alias("left_id"))
     right = documents.select(
