@@ -1,9 +1,14 @@
 """How much the queries move and hold, on rows built here."""
 
+import datetime
+import os
 
+from pyspark.sql import functions as F
 
 from textmason.checks import rollups
 from textmason.functions.similarity import multiset_jaccard
+from textmason.operators import extract
+from textmason.sources import tables
 
 
 def _plan(df):
@@ -38,3 +43,30 @@ def test_multiset_jaccard_query_deals_texts_once(spark, tmp_path):
     # of the documents of one id the tokens add up, and each of them makes a pair
     assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 0.5), (1, 2, 0.5), (2, 3, 0.0), (2, 3, 0.0)]
     assert not [line for line in _exchanges(found) if "token" in line.split("(")[1]]
+
+
+def test_report_sections_are_compressed(spark, tmp_path):
+    operations = spark.createDataFrame(
+        [(1, "a.py", "x", "pending")], "project_id BIGINT, path STRING, op_id STRING, status STRING"
+    ).withColumns({
+        "changes": F.array().cast(tables.CHANGES), "certificate": F.lit(None).cast(tables.CERTIFICATE),
+    })
+    at = datetime.datetime(2024, 1, 1)
+    projects = spark.createDataFrame(
+        [(1, "p", "s", "t", at, "done", at)],
+        "project_id BIGINT, name STRING, source_path STRING, target_path STRING, created_at TIMESTAMP,"
+        " status STRING, completed_at TIMESTAMP",
+    )
+    summary = spark.createDataFrame(
+        [(1, 1, 0, 0, 0.0, 0.0)],
+        "project_id BIGINT, total_operations BIGINT, completed_operations BIGINT, failed_operations BIGINT,"
+        " total_confidence DOUBLE, average_confidence DOUBLE",
+    )
+    entities = extract.functions_by_pattern(spark.createDataFrame(
+        [(1, 1, "a.py", "def f(a):")], "project_id BIGINT, snapshot_id INT, path STRING, content STRING"
+    ))
+    path = tables.write_report(f"{tmp_path}/r", projects, summary, operations, entities)
+    for section in tables.SECTIONS:
+        parts = [name for name in os.listdir(f"{path}/{section}") if name.startswith("part-")]
+        assert parts and all(name.endswith(".json.gz") for name in parts)
+        assert tables.read_report(spark, path, section).count() == 1

@@ -11,7 +11,7 @@ from textmason.operators.evidence import plan_operations
 from textmason.operators.rollups import report_summary
 from textmason.operators.rules import RuleBook
 from textmason.operators.snapshots import backup_manifest, passthrough
-from textmason.session import scratch_dir
+from textmason.session import cut_lineage, forget, scratch_dir
 from textmason.sources import files as tree
 from textmason.sources import tables
 
@@ -134,7 +134,8 @@ SELECT v1.project_id, concat('project_', cast(v1.project_id as string)) AS name,
          AS average_confidence
 FROM v1 LEFT JOIN per_file USING (project_id, path) GROUP BY v1.project_id""")
 def write_report(spark, sf_dir):
-    operations = planned(spark, sf_dir)
+    files = cut_lineage(I.corpus(spark, sf_dir, 1))  # all sections read it
+    operations = plan_operations(files, RuleBook(), I.issued_at())
     projects = operations.select("project_id").distinct().select(
         "project_id",
         F.concat(F.lit("project_"), F.col("project_id").cast("string")).alias("name"),
@@ -142,10 +143,10 @@ def write_report(spark, sf_dir):
         I.issued_at().alias("created_at"), F.lit("completed").alias("status"),
         F.lit(None).cast("timestamp").alias("completed_at"),
     )
-    entities = I.pattern_entities(I.corpus(spark, sf_dir, 1))
     path = tables.write_report(
-        scratch_dir(spark, "report"), projects, report_summary(operations), operations, entities
+        scratch_dir(spark, "report"), projects, report_summary(operations), operations, I.pattern_entities(files)
     )
+    forget(files)
     rows = tables.read_report(spark, path, "project").select(
         "project_id", "project_info.name", "transformation_summary.*"
     )
