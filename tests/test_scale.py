@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textmason.checks import rollups
 from textmason.functions.similarity import multiset_jaccard
 from textmason.operators import extract
+from textmason.sources import files as tree
 from textmason.sources import tables
 
 
@@ -70,3 +71,19 @@ def test_report_sections_are_compressed(spark, tmp_path):
         parts = [name for name in os.listdir(f"{path}/{section}") if name.startswith("part-")]
         assert parts and all(name.endswith(".json.gz") for name in parts)
         assert tables.read_report(spark, path, section).count() == 1
+
+
+def test_a_worker_holds_few_texts(spark, tmp_path):
+    import pyarrow as pa
+
+    uris = []
+    for k in range(4):
+        (tmp_path / f"{k}.txt").write_text("x" * (3 << 20))
+        uris.append(f"{tmp_path}/{k}.txt")
+    batch = pa.RecordBatch.from_arrays([pa.array(uris), pa.array(uris)], names=["uri", "path"])
+    assert [out.num_rows for out in tree._read_files([batch])] == [2, 2]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rows = spark.createDataFrame([(1, "a/b.txt", "t"), (1, "n.txt", None)], "project_id BIGINT, path STRING, content STRING")
+    done = tree.write_tree(rows, f"{tmp_path}/out")
+    assert sorted(r["status"] for r in done.collect()) == ["completed", "failed"]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000

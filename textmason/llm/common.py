@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmason.session import BATCH_BYTES, BATCH_ROWS, bound_batches
+
 #: Size up to which a table may be sent to every executor.
 BROADCAST_BYTES = 16 << 20
 
@@ -18,19 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows and bytes handed to a Python worker at once; texts may be long, and rows are many.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Keep the session's Arrow batches small, whatever it allowed before."""
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key, str(most)).lower().removesuffix("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
-
-
 def texts(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: bool = False
 ) -> DataFrame:
