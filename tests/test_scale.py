@@ -5,9 +5,10 @@ import os
 
 from pyspark.sql import functions as F
 
-from textmason.checks import rollups
+from textmason.checks import inputs as I
+from textmason.checks import joins, rollups
 from textmason.functions.similarity import multiset_jaccard
-from textmason.operators import extract
+from textmason.operators import diff, extract
 from textmason.sources import files as tree
 from textmason.sources import tables
 
@@ -20,6 +21,17 @@ def _exchanges(df):
     return [line for line in _plan(df).splitlines() if "Exchange hashpartitioning" in line]
 
 
+def _line_items(spark, folder):
+    """Orders 1 to 40 of three items each, and one order whose items all leave version 2."""
+    items = [(o, 10 * o + n, o % 5, n, 5.0 * n) for o in range(1, 41) for n in (1, 2, 3)]
+    items += [(41, 11, 1, 1, 3.0), (None, 1, 1, 1, 1.0), (42, None, 2, 1, 4.0)]
+    schema = "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE"
+    spark.createDataFrame(items, schema).write.parquet(f"{folder}/lineitem.parquet")
+    orders = [(o, o % 7) for o in range(1, 43)] + [(3, 4), (None, 1)]
+    spark.createDataFrame(orders, "o_orderkey BIGINT, o_custkey BIGINT").write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
 def test_multiset_jaccard_deals_no_tokens_by_pair(spark):
     tokens = spark.createDataFrame(
         [(1, "a", 2), (1, "b", 1), (2, "a", 1), (2, None, 1), (3, "a", 1), (3, "a", 1), (3, "b", 1), (None, "a", 1)],
@@ -87,3 +99,44 @@ def test_a_worker_holds_few_texts(spark, tmp_path):
     done = tree.write_tree(rows, f"{tmp_path}/out")
     assert sorted(r["status"] for r in done.collect()) == ["completed", "failed"]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_functions_by_pattern_is_both_extractors(spark, files):
+    texts = {
+        "a.js": "async function f(a, b = 1) {}\nfunction f(c) {}\nconst g = (x) => x\nlet h = async y => y\nfunction k( q ) {}",
+        "b.js": "def no(a):", "c.py": "def f(self, a, b=1):\n  pass\ndef f(c):\n  pass\ndef g():", "d": "", "e.js": "",
+    }
+    found = files(texts).unionByName(files({"n.py": None, "n.js": None}))
+    js = F.endswith("path", F.lit(".js"))
+    apart = extract.js_functions(found.filter(js)).unionByName(extract.py_functions_regex(found.filter(~js)))
+    once = extract.functions_by_pattern(found)
+    assert once.schema.simpleString() == apart.schema.simpleString()
+    rows = lambda df: sorted(df.select(F.to_json(F.struct(*df.columns))).toPandas().iloc[:, 0])
+    assert rows(once) == rows(apart) and len(rows(once)) == 7
+
+
+def test_line_items_are_dealt_as_numbers_to_parts_that_follow_their_count(spark, tmp_path, monkeypatch):
+    folder = _line_items(spark, tmp_path)
+    plain = sorted(tuple(r) for r in I.corpus(spark, folder).collect())
+    assert plain and not [r for r in plain if r[1] == 2 and r[2].endswith("_41.py")]
+    exact = lambda: sorted(
+        map(str, joins.signature_count_change(spark, folder).collect() + joins.unmatched_old(spark, folder).collect())
+    )
+    before = exact()
+    monkeypatch.setattr(I, "TASK_ITEMS", 10)  # as if the table were large
+    assert I.item_parts(spark, folder) == 13
+    assert sorted(tuple(r) for r in I.corpus(spark, folder).collect()) == plain
+    assert exact() == before
+    found = joins.signature_count_change(spark, folder)
+    lines = _exchanges(found)
+    assert [line for line in lines if "key" in line and ", 13)" in line]
+    assert [line for line in lines if "hashpartitioning(l_orderkey" in line and ", 13)" in line]
+    assert "snippet" not in "".join(line for line in _plan(found).splitlines() if "partial_collect_list" in line)
+
+
+def test_a_dealt_inventory_is_the_same(spark, files):
+    found = extract.functions_by_pattern(files({"a.py": "def f(a):\ndef f(b):", "b.py": "def g():"}))
+    dealt = diff.dedup_last_wins(found, keep=("name", "args"), parts=5)
+    whole = diff.dedup_last_wins(found).select(*dealt.columns)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect()))
+    assert dealt.columns == ["project_id", "key", "position", "name", "args"]

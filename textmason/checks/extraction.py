@@ -27,13 +27,8 @@ JS_SNIPPET = """CASE l_partkey % 4
 
 
 def _scripts(spark, sf_dir):
-    rows = I.table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.lit(1).alias("v"), "l_linenumber", "l_partkey",
-        F.expr(JS_SNIPPET).alias("snippet"),
-    )
-    texts = I._ordered_text(rows, ["l_orderkey", "v"], ["l_linenumber", "l_partkey"])
-    path = F.expr("concat('web/s_', cast(l_orderkey as string), '.js')")
-    return I._with_project(spark, sf_dir, texts, path)
+    texts = I.texts(spark, sf_dir, (1,), ["l_linenumber", "l_partkey"], JS_SNIPPET)
+    return I.files(texts, F.expr("concat('web/s_', cast(l_orderkey as string), '.js')"))
 
 
 SCRIPTS_SQL = f"""WITH scripts AS (

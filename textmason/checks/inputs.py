@@ -6,10 +6,12 @@ and, as ``*_SQL``, in the checking SQL. Snippet templates are shared text that b
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmason.operators.extract import js_functions, py_functions_regex
+from textmason.operators.extract import functions_by_pattern
 
 ISSUED_AT = "2024-01-01 00:00:00"
 
@@ -53,42 +55,61 @@ SNIPPET = f"""CASE
    '    return requests.put(url, data=body, timeout=30*1000)') END"""
 
 
-def _ordered_text(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Snippets of one file joined in order; a file is one row by definition."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, "snippet")))
-    return rows.groupBy(*group).agg(
-        F.array_join(F.transform(listed, lambda s: s["snippet"]), "\n").alias("content")
-    )
+#: Line items of one task, so that its memory does not grow with the table.
+TASK_ITEMS = 500_000
+
+
+def item_parts(spark: SparkSession, sf_dir: str) -> int | None:
+    """Partitions for line items, or for as many rows; None if the session's own are enough.
+
+    The count reads footers only.
+    """
+    rows = table(spark, sf_dir, "lineitem").count()
+    if rows <= TASK_ITEMS * spark.sparkContext.defaultParallelism:
+        return None
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ITEMS))
 
 
-def _with_project(
-    spark, sf_dir, texts: DataFrame, path, project: str = "o_custkey % 50"
+def texts(
+    spark, sf_dir, versions, order: list[str], snippet: str, project: str = "o_custkey % 50"
 ) -> DataFrame:
-    # Line items are grouped by order key first, so this join reuses their partitioning.
+    """(project_id, l_orderkey, v, content): an order's snippets in each version, joined in order.
+
+    Line items are dealt by order as numbers, before any text is made of them: all versions, their
+    grouping and the join with orders use that one shuffle. A file is one row by definition.
+    """
+    field = r"\bl_(?!orderkey\b)\w+"
+    fields = sorted({"l_partkey", *order, *re.findall(field, snippet)})
+    parts = item_parts(spark, sf_dir)
+    items = (
+        table(spark, sf_dir, "lineitem").select("l_orderkey", *fields)
+        .repartition(*([parts] if parts else []), "l_orderkey")
+        .groupBy("l_orderkey").agg(F.collect_list(F.struct(*fields)).alias("items"))
+    )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return texts.join(orders, texts["l_orderkey"] == orders["o_orderkey"]).select(
-        F.expr(project).alias("project_id"),
-        F.col("v").cast("int").alias("snapshot_id"),
-        path.alias("path"),
-        "content",
+    rows = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).select(
+        F.expr(project).alias("project_id"), "l_orderkey",
+        F.explode(F.array(*[F.lit(v) for v in versions])).alias("v"), "items",
+    )
+    named = ", ".join(f"'{c}', x.{c}" for c in order)
+    held = "v = 1 OR x.l_partkey % 11 <> 0"  # version 2 lacks some
+    text = re.sub(field, lambda found: f"x.{found[0]}", snippet)
+    listed = F.expr(f"array_sort(transform(filter(items, x -> {held}), x -> named_struct({named}, 'snippet', {text})))")
+    return rows.filter(F.expr(f"exists(items, x -> {held})")).select(
+        "project_id", "l_orderkey", "v",
+        F.array_join(F.transform(listed, lambda s: s["snippet"]), "\n").alias("content"),
     )
 
 
-def _items(spark, sf_dir, versions) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").withColumn(
-        "v", F.explode(F.array(*[F.lit(v) for v in versions]))
-    )
-    return items.filter("v = 1 OR l_partkey % 11 <> 0")
+def files(rows: DataFrame, path) -> DataFrame:
+    return rows.select("project_id", F.col("v").cast("int").alias("snapshot_id"), path.alias("path"), "content")
 
 
 def corpus(
     spark: SparkSession, sf_dir: str, *versions: int, project: str = "o_custkey % 50"
 ) -> DataFrame:
-    rows = _items(spark, sf_dir, versions or (1, 2)).select(
-        "l_orderkey", "v", "l_linenumber", "l_partkey", F.expr(SNIPPET).alias("snippet")
-    )
-    texts = _ordered_text(rows, ["l_orderkey", "v"], ["l_linenumber", "l_partkey"])
-    return _with_project(spark, sf_dir, texts, F.expr(PATH), project)
+    rows = texts(spark, sf_dir, versions or (1, 2), ["l_linenumber", "l_partkey"], SNIPPET, project)
+    return files(rows, F.expr(PATH))
 
 
 PATH = f"concat({FOLDER}, {MODULE}, '.', {EXT})"
@@ -152,8 +173,7 @@ matches AS (
 
 def pattern_entities(files: DataFrame) -> DataFrame:
     """Functions without any parsing, for key comparisons."""
-    js = F.endswith("path", F.lit(".js"))
-    return js_functions(files.filter(js)).unionByName(py_functions_regex(files.filter(~js)))
+    return functions_by_pattern(files)
 
 
 # JavaScript keeps the first of a name, Python all; a comparison then keeps the last.
@@ -218,13 +238,9 @@ _DEEP_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extend
 
 def deep_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python files; those of every tenth order do not parse."""
-    rows = _items(spark, sf_dir, (1,)).select(
-        "l_orderkey", "v", *_DEEP_ORDER, F.expr(DEEP_SNIPPET).alias("snippet")
-    )
-    texts = _ordered_text(rows, ["l_orderkey", "v"], _DEEP_ORDER)
-    whole = texts.withColumn("content", F.concat("content", F.expr(DEEP_BROKEN)))
-    path = F.expr("concat('lib/d_', cast(l_orderkey as string), '.py')")
-    return _with_project(spark, sf_dir, whole, path)
+    rows = texts(spark, sf_dir, (1,), _DEEP_ORDER, DEEP_SNIPPET)
+    whole = rows.withColumn("content", F.concat("content", F.expr(DEEP_BROKEN)))
+    return files(whole, F.expr("concat('lib/d_', cast(l_orderkey as string), '.py')"))
 
 
 DEEP_SQL = f"""WITH deep AS (

@@ -17,15 +17,17 @@ from textmason.plans import versions
 from textmason.session import cut_lineage
 
 
-def versions_by_pattern(spark, sf_dir):
+def versions_by_pattern(spark, sf_dir, keep=None):
     """(old, new) functions found by pattern, one row per key."""
+    parts = I.item_parts(spark, sf_dir)
     return tuple(
-        diff.dedup_last_wins(I.pattern_entities(I.corpus(spark, sf_dir, v))) for v in (1, 2)
+        diff.dedup_last_wins(I.pattern_entities(I.corpus(spark, sf_dir, v)), keep=keep, parts=parts)
+        for v in (1, 2)
     )
 
 
 def aligned_by_pattern(spark, sf_dir):
-    return diff.align(*versions_by_pattern(spark, sf_dir))
+    return diff.align(*versions_by_pattern(spark, sf_dir, diff.COMPARED))
 
 
 @query("entity_key", I.ENTITIES_SQL + """

@@ -12,20 +12,31 @@ from textmason.functions.text import fill
 PROJECT_SCOPE = ("project_id",)
 # Option: compare the two versions of each file only.
 FILE_SCOPE = ("project_id", "path")
+# What ``align`` reads of a function beside its key and position.
+COMPARED = ("name", "language", "args", "profile")
 
 
 def entity_key(module: Column, name: Column) -> Column:
     return F.concat_ws(".", module, name)
 
 
-def dedup_last_wins(entities: DataFrame, scope=PROJECT_SCOPE) -> DataFrame:
+def dedup_last_wins(
+    entities: DataFrame, scope=PROJECT_SCOPE, keep: tuple[str, ...] | None = None, parts: int | None = None
+) -> DataFrame:
     """One row per key: the last definition, at the position of the first.
 
-    ``position`` orders the rows of a scope. Copies of a key combine before the shuffle.
+    ``position`` orders the rows of a scope. ``keep`` names the columns that the caller reads, by
+    default all. Copies of a key combine before the shuffle, unless ``parts`` deals the
+    rows to so many partitions first, each of which sorts them once.
     """
     keyed = entities.withColumn("key", entity_key(F.col("module"), F.col("name")))
     here = F.struct("path", "ord")
-    rest = [c for c in keyed.columns if c not in (*scope, "key", "path", "ord")]
+    rest = [
+        c for c in keyed.columns
+        if c not in (*scope, "key", "path", "ord") and (keep is None or c in keep)
+    ]
+    if parts:
+        keyed = keyed.select(*scope, "key", "path", "ord", *rest).repartition(parts, *scope, "key")
     return (
         keyed.groupBy(*scope, "key")
         .agg(
@@ -57,9 +68,7 @@ def align(old: DataFrame, new: DataFrame, scope=PROJECT_SCOPE) -> DataFrame:
     shuffle, and every kind of difference is a filter on its result.
     """
     sides = [
-        rows.select(
-            *scope, "key", F.struct("position", "name", "language", "args", "profile").alias(label)
-        )
+        rows.select(*scope, "key", F.struct("position", *COMPARED).alias(label))
         for rows, label in ((old, "old"), (new, "new"))
     ]
     return sides[0].join(sides[1], [*scope, "key"], "full_outer")
