@@ -78,7 +78,7 @@ def test_report_sections_are_compressed(spark, tmp_path):
     entities = extract.functions_by_pattern(spark.createDataFrame(
         [(1, 1, "a.py", "def f(a):")], "project_id BIGINT, snapshot_id INT, path STRING, content STRING"
     ))
-    path = tables.write_report(f"{tmp_path}/r", projects, summary, operations, entities)
+    path = tables.write_report(f"{tmp_path}/r", projects, summary, operations, entities, compression="gzip")
     for section in tables.SECTIONS:
         parts = [name for name in os.listdir(f"{path}/{section}") if name.startswith("part-")]
         assert parts and all(name.endswith(".json.gz") for name in parts)

@@ -144,7 +144,8 @@ def write_report(spark, sf_dir):
         F.lit(None).cast("timestamp").alias("completed_at"),
     )
     path = tables.write_report(
-        scratch_dir(spark, "report"), projects, report_summary(operations), operations, I.pattern_entities(files)
+        scratch_dir(spark, "report"), projects, report_summary(operations), operations, I.pattern_entities(files),
+        compression="gzip",
     )
     forget(files)
     rows = tables.read_report(spark, path, "project").select(

@@ -227,9 +227,9 @@ def report_projects(projects: DataFrame, summary: DataFrame) -> DataFrame:
 
 def write_report(
     path: str, projects: DataFrame, summary: DataFrame, operations: DataFrame,
-    entities: DataFrame,
+    entities: DataFrame, compression: str = "none",
 ) -> str:
-    """JSON lines in one folder per section, as gzip files: their certificates repeat most of their text.
+    """JSON lines in one folder per section; with ``compression`` gzip a seventh of the size, as certificates repeat.
 
     A project's operations are rows, not one array, since one project may hold a large
     share of all files.
@@ -240,7 +240,7 @@ def write_report(
         "api_entities": report_entities(entities),
     }
     for section, rows in parts.items():
-        rows.write.mode("overwrite").options(ignoreNullFields="false", compression="gzip").json(f"{path}/{section}")
+        rows.write.mode("overwrite").options(ignoreNullFields="false", compression=compression).json(f"{path}/{section}")
     return path
 
 
