@@ -1,5 +1,9 @@
 """Edge-case strings."""
 
+import ast
+import gc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -519,3 +523,27 @@ def test_a_thousand_rules_match_as_rule_by_rule(spark, files):
     indexed = rules._match_by_index(files(texts), rules.RuleBook(), ("project_id", "path"))
     assert indexed.columns == unrolled.columns
     assert sorted(map(str, indexed.collect())) == sorted(map(str, unrolled.collect()))
+
+
+def test_rows_of_definitions_are_those_of_the_whole_table():
+    texts = [
+        "", "x = 1", "def f(:", "def f(): del a.b[0], (c, d)\ndef g(): return c",
+        "class A:\n  def f(self, a: int, b: 'x'=1):\n    '''Doc'''\n    def g():\n      del a\n"
+        "      return [lambda q: q for q in a]\n    async def h():\n      def k(z: list[int]): pass\n  def m(self): ...",
+        "if 1:\n  @d(1)\n  def y(*, a, **k) -> int:\n    x: int = 1\n    return x.y.z\nimport os\nfrom . import x",
+    ]
+    for text in texts:
+        whole = [row for row in nodes.tree_rows(text) if row[9] in ("FunctionDef", "SyntaxError")]
+        assert nodes.tree_rows(text, nodes.DEFINITIONS) == whole
+
+
+def test_parsing_leaves_no_collector_running(monkeypatch):
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1], pa.int64()), pa.array([1], pa.int32()), pa.array(["a.py"]), pa.array(["def f(): pass"])],
+        names=["project_id", "snapshot_id", "path", "content"],
+    )
+    during, parse = [], ast.parse
+    monkeypatch.setattr(nodes.ast, "parse", lambda text: during.append(gc.isenabled()) or parse(text))
+    assert gc.isenabled()
+    assert [b.num_rows for b in nodes._parser(nodes.DEFINITIONS)([batch])] == [1]
+    assert during == [False] and gc.isenabled()

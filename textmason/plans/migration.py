@@ -17,7 +17,7 @@ from textmason.operators.rollups import (
 )
 from textmason.operators.rules import RuleBook
 from textmason.operators.snapshots import backup_manifest
-from textmason.session import Ledger, cut_lineage, fingerprint, forget
+from textmason.session import Ledger, cut_lineage, fine_tasks, fingerprint, forget
 from textmason.sources.files import readable
 from textmason.sources.tables import write_report, write_snapshot, written_projects
 
@@ -70,7 +70,8 @@ def run_migration(
         stage = lambda name, build, *told: kept.stage(
             name, fingerprint(files.limit(0), input_key, *told), build
         )
-    entities = stage("entities", lambda: extract_entities(readable(files)))
+    with fine_tasks(files.sparkSession):
+        entities = stage("entities", lambda: extract_entities(readable(files)))
     operations = plan_operations(files, book, issued_at)
     manifest = None
     if dry_run:
