@@ -6,7 +6,8 @@ import os
 from pyspark.sql import functions as F
 
 from textmason.checks import inputs as I
-from textmason.checks import joins, rollups
+from textmason import session
+from textmason.checks import joins, rollups, scans
 from textmason.functions.similarity import multiset_jaccard
 from textmason.operators import diff, extract
 from textmason.sources import files as tree
@@ -140,3 +141,60 @@ def test_a_dealt_inventory_is_the_same(spark, files):
     whole = diff.dedup_last_wins(found).select(*dealt.columns)
     assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect()))
     assert dealt.columns == ["project_id", "key", "position", "name", "args"]
+
+
+def _files_below(folder):
+    return [os.path.join(at, name) for at, _, names in os.walk(folder) for name in names]
+
+
+def test_scan_corpus_keeps_one_tree_of_files_at_a_time(spark, tmp_path, monkeypatch):
+    folder = _line_items(spark, tmp_path)
+    whole = {(r.path, r.content_hash) for r in scans.scan_corpus(spark, folder).collect()}
+    roots, counts = [], []
+    write, delete = tree.write_tree, tree.delete_tree
+
+    def written(files, root, *more):
+        roots.append(root.removeprefix("file:"))
+        return write(files, root, *more)
+
+    def deleted(rows, root):
+        counts.append(len(_files_below(roots[-1])))
+        assert not any(_files_below(r) for r in roots[:-1])
+        delete(rows, root)
+
+    monkeypatch.setattr(scans, "TREE_FILES", 10)
+    monkeypatch.setattr(tree, "write_tree", written)
+    monkeypatch.setattr(tree, "delete_tree", deleted)
+    in_trees = [(r.path, r.content_hash) for r in scans.scan_corpus(spark, folder).collect()]
+    assert len(in_trees) == len(whole) > 40 and set(in_trees) == whole
+    assert len(counts) == 5 and max(counts) < len(whole) // 2
+    assert not any(os.path.exists(root) for root in roots)
+
+
+def _jobs_that(spark, monkeypatch, module):
+    """Tables that a module stores."""
+    stored, cut = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df, *by: stored.append(df) or cut(df, *by))
+    return stored
+
+
+def test_counts_of_a_project_make_the_code_files_once(spark, tmp_path, monkeypatch):
+    folder = _line_items(spark, tmp_path)
+    for query in (rollups.project_analysis, rollups.run_metrics):
+        with monkeypatch.context() as patched:
+            stored = _jobs_that(spark, patched, rollups)
+            rows = query(spark, folder)
+            assert [set(table.columns) for table in stored] == [
+                {"project_id", "snapshot_id", "path", "content"}, {"project_id"}
+            ]
+            assert "lineitem" not in _plan(rows) and rows.count() == 7
+
+
+def test_texts_to_parse_are_read_in_several_tasks_a_core(spark, tmp_path):
+    key, cores = "spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism
+    for k in range(3 * cores):
+        spark.range(50_000).selectExpr("sha2(string(id + rand()), 256) AS x").coalesce(1).write.mode("append").parquet(str(tmp_path))
+    before = spark.read.parquet(str(tmp_path)).rdd.getNumPartitions()
+    with session.fine_tasks(spark):
+        assert spark.read.parquet(str(tmp_path)).rdd.getNumPartitions() >= 3 * cores > before
+    assert spark.conf.get(key, None) is None

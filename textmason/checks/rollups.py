@@ -12,9 +12,11 @@ from textmason.checks.registry import query
 from textmason.checks.scans import planned
 from textmason.functions.similarity import multiset_jaccard as jaccard
 from textmason.operators import rollups
+from textmason.operators.evidence import plan_operations
 from textmason.operators.nodes import extract_entities
+from textmason.operators.rules import RuleBook
 from textmason.plans.migration import run_migration as migrate
-from textmason.session import cut_lineage, scratch_dir
+from textmason.session import cut_lineage, fine_tasks, scratch_dir
 from textmason.sources import tables
 
 _PER_FILE_SQL = I.MATCHES_SQL + """,
@@ -32,13 +34,19 @@ found AS (
   GROUP BY project_id)"""
 
 
+def _counted(rows):
+    """The column of a table that counts by project read, stored in many tasks, as texts are parsed for it."""
+    with fine_tasks(rows.sparkSession):
+        return cut_lineage(rows.select("project_id"))
+
+
 @query("project_analysis", I.V1_SQL + "," + _FOUND_SQL + """
 SELECT project_id, count(*) AS total_files, any_value(entities) AS entities,
        any_value(entities) * 10 AS complexity_score, 'completed' AS analysis_status
 FROM v1 JOIN found USING (project_id) GROUP BY project_id""")
 def project_analysis(spark, sf_dir):
-    files = I.corpus(spark, sf_dir, 1)
-    return rollups.project_analysis(files, extract_entities(files))
+    files = cut_lineage(I.corpus(spark, sf_dir, 1))  # both counts read it
+    return rollups.project_analysis(files, _counted(extract_entities(files)))
 
 
 @query("execution_summary", I.OUTCOMES_SQL + """
@@ -88,9 +96,10 @@ SELECT project_id, coalesce(any_value(entities), 0) AS entities,
 FROM planned LEFT JOIN opportunities USING (project_id) LEFT JOIN found USING (project_id)
 GROUP BY project_id""")
 def run_metrics(spark, sf_dir):
-    files = I.corpus(spark, sf_dir, 1)
+    files = cut_lineage(I.corpus(spark, sf_dir, 1))  # all three tables read it
     metrics = rollups.run_metrics(
-        extract_entities(files), rollups.opportunities(files), planned(spark, sf_dir)
+        _counted(extract_entities(files)), rollups.opportunities(files),
+        plan_operations(files, RuleBook(), I.issued_at()),
     )
     return metrics.withColumn("mean_confidence", F.round("mean_confidence", 6))
 
