@@ -16,7 +16,7 @@ from textmason.operators.evidence import plan_operations
 from textmason.operators.nodes import extract_entities
 from textmason.operators.rules import RuleBook
 from textmason.plans.migration import run_migration as migrate
-from textmason.session import cut_lineage, fine_tasks, scratch_dir
+from textmason.session import cut_lineage, fine_tasks, forget, scratch_dir
 from textmason.sources import tables
 
 _PER_FILE_SQL = I.MATCHES_SQL + """,
@@ -168,11 +168,15 @@ def run_migration_executed(spark, sf_dir):
         I.issued_at().alias("completed_at"),
     )
     root, report = scratch_dir(spark, "target"), scratch_dir(spark, "report")
+    run = None
     for snapshot in (1, 2):
+        if run is not None:  # only the last run is read below
+            forget(run.entities, run.analysis)
         run = migrate(
             files, I.issued_at(), dry_run=False, target_root=root, snapshot_id=snapshot,
-            report_path=report, projects=projects, others=others,
+            report_path=report, projects=projects, others=others, report_compression="gzip",
         )
+    forget(files, run.entities, run.analysis)
     text = lambda *parts: F.concat_ws(" ", *[p.cast("string") for p in parts])
     summary = F.col("transformation_summary")
     stored = tables.read_snapshots(spark, root).filter("snapshot_id = 2")

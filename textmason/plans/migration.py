@@ -47,6 +47,7 @@ def run_migration(
     files: DataFrame, issued_at: Column, book: RuleBook | None = None, dry_run: bool = True,
     target_root: str | None = None, snapshot_id: int = 1, report_path: str | None = None,
     projects: DataFrame | None = None, others: DataFrame | None = None, ledger: str | None = None,
+    report_compression: str = "none",
 ) -> Migration:
     """Run every step.
 
@@ -87,7 +88,7 @@ def run_migration(
     if report_path is not None:
         if projects is None:
             raise ValueError("projects are needed for a report")
-        write_report(report_path, projects, summary, operations, entities)
+        write_report(report_path, projects, summary, operations, entities, report_compression)
     return Migration(
         entities=entities,
         analysis=analysis,

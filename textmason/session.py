@@ -54,22 +54,28 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession):
+    """Queries run inside delete their shuffle files when they end, not when the driver collects its memory."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     """Store ``df`` as a table in the shared folder, in folders of the columns ``by``, and read it back.
 
     Rounds of an iterative job start from stored data, so a lost executor costs one
     round, and the sizes the optimizer sees are those of the real files. Nothing reads the
-    shuffle files of the write again, so they are deleted with its end, not when the driver
-    collects its memory.
+    shuffle files of the write again, so they are deleted with its end.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, "cut")
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with passing_shuffles(spark):
         df.write.partitionBy(*by).parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textmason.operators.snapshots import (
     backup_manifest, consume_backup, passthrough, rollback_full,
 )
-from textmason.session import cut_lineage, delete_folder, folder_exists
+from textmason.session import cut_lineage, delete_folder, folder_exists, passing_shuffles
 
 PROOF = (
     "STRUCT<rule_name: STRING, confidence: DOUBLE, proof_obligation: STRING, "
@@ -100,12 +100,9 @@ def publish_snapshot(rows: DataFrame, root: str, snapshot_id: int) -> None:
     """
     spark = rows.sparkSession
     folder = f"snapshot_id={snapshot_id}/write=w{uuid.uuid4().hex}"
-    (
-        rows.drop("snapshot_id")
-        .hint("rebalance", "project_id")
-        .sortWithinPartitions("project_id", "path")
-        .write.parquet(f"{root}/{folder}")
-    )
+    dealt = rows.drop("snapshot_id").hint("rebalance", "project_id").sortWithinPartitions("project_id", "path")
+    with passing_shuffles(spark):
+        dealt.write.parquet(f"{root}/{folder}")
     version = _manifest(spark, root).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
     # the row of the snapshot itself lists a write without any rows, too
     stored = spark.read.schema("project_id BIGINT").parquet(f"{root}/{folder}")
@@ -240,7 +237,8 @@ def write_report(
         "api_entities": report_entities(entities),
     }
     for section, rows in parts.items():
-        rows.write.mode("overwrite").options(ignoreNullFields="false", compression=compression).json(f"{path}/{section}")
+        with passing_shuffles(rows.sparkSession):
+            rows.write.mode("overwrite").options(ignoreNullFields="false", compression=compression).json(f"{path}/{section}")
     return path
 
 
